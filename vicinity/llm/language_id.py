@@ -5,7 +5,8 @@ a new text, the longest match found in that language.  A text is cut greedily
 into longest matches (phrases); the language that needs the fewest phrases per
 letter wins.  Phrases don't cross white space, so the count of a text is the sum
 over its words and each distinct word of a slice of texts is parsed once; the
-parse runs over all those words in step, one automaton transition per character.
+parse runs over all those words in step, one automaton transition per letter;
+digits, punctuation and symbols are left out of both sides.
 
 Bounds: at most `max_languages` languages (the most frequent) and `train_chars`
 characters of labelled text per language are held, in whole documents, so the
@@ -18,6 +19,7 @@ labelled text every document is `und`.
 """
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -68,7 +70,8 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
 
 def fit(texts: dict[str, list[str]], train_chars: int) -> dict | None:
     """Automata by language from labelled texts (driver side, bounded input)."""
-    joined = {lang: " ".join(" ".join(t.lower().split()) for t in texts[lang])[:train_chars] for lang in sorted(texts)}
+    joined = {lang: " ".join(re.sub(r"[^\w\s]|[\d_]", "", t.lower()) for t in texts[lang]) for lang in sorted(texts)}
+    joined = {lang: " ".join(t.split())[:train_chars] for lang, t in joined.items()}
     joined = {k: v for k, v in joined.items() if v}
     if not joined:
         return None
@@ -80,7 +83,9 @@ def fit(texts: dict[str, list[str]], train_chars: int) -> dict | None:
     for lang, t in joined.items():
         points = np.minimum(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), 65536)
         automata[lang] = suffix_automaton(code[points].tolist())
-    return {"langs": list(automata), "code": code, "tables": list(automata.values())}
+    letter = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
+    letter = np.append(letter, True)  # beyond the first plane: taken as letters that match nothing
+    return {"langs": list(automata), "code": code, "letter": letter, "tables": list(automata.values())}
 
 
 def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -111,8 +116,10 @@ def _word_counts(model: dict):
     def compute(store, words):
         lowered = [w.lower() for w in words]
         lens = np.fromiter(map(len, lowered), np.int64, len(lowered))
-        points = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
-        codes = model["code"][np.minimum(points, 65536)]
+        points = np.minimum(np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32), 65536)
+        letter = model["letter"][points]
+        lens = np.bincount(np.repeat(np.arange(len(words)), lens)[letter], minlength=len(words))
+        codes = model["code"][points[letter]]
         begin = np.cumsum(lens) - lens
         pieces = -(-lens // SEGMENT)
         owner = np.repeat(np.arange(len(lens)), pieces)
@@ -122,7 +129,7 @@ def _word_counts(model: dict):
         rows = np.empty((len(words), len(model["tables"]) + 1), np.float32)
         for k, table in enumerate(model["tables"]):
             rows[:, k] = np.bincount(owner, phrases(table, codes, starts, sizes), len(words))
-        rows[:, -1] = np.fromiter((sum(map(str.isalpha, w)) if not w.isalpha() else len(w) for w in lowered), np.int64, len(lowered))
+        rows[:, -1] = lens
         before = 0 if store is None else len(store)
         return (rows if store is None else np.concatenate([store, rows])), np.arange(before, before + len(rows))
 
