@@ -120,7 +120,7 @@ class WordCache:
     memory of a worker is bounded and results never depend on it.
     """
 
-    def __init__(self, compute, most: int = 600_000):
+    def __init__(self, compute, most: int = 1_000_000):
         self.compute, self.most = compute, most
         self.keys, self.rows, self.store = np.zeros(0, np.uint64), np.zeros(0, np.int64), None
 
