@@ -19,6 +19,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_crf import fit, judge
+
+    docs = _table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -44,5 +51,5 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_packing, op6_toxicity, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op4_packing, op6_toxicity, op9_line_crf, op10_language_id)}
 ORACLES: dict[str, str] = {}
