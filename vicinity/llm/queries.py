@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -57,5 +64,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_jaccard_join, op4_packing, op6_toxicity, op9_line_crf, op10_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op9_line_crf, op10_language_id)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import line_dedup
+
+    return {"op5_line_dedup": line_dedup.ORACLE}
+
+
+ORACLES = _oracles()
