@@ -50,6 +50,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -64,7 +70,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op9_line_crf, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op9_line_crf, op10_language_id)}
 
 
 def _oracles() -> dict[str, str]:
