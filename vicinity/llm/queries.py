@@ -26,6 +26,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_lm import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc_zip import archive_round_trip
 
@@ -77,7 +83,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op8_warc_zip, op9_line_crf, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality_lm, op8_warc_zip, op9_line_crf, op10_language_id)}
 
 
 def _oracles() -> dict[str, str]:
