@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .shared import components, written
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 BUCKET_SHINGLES = 1 << 20
 LOW48 = np.uint64((1 << 48) - 1)
 

@@ -81,9 +81,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     lens = ends - starts
     begin = np.cumsum(lens) - lens
-    within = np.arange(int(lens.sum()), dtype=np.int64) - np.repeat(begin, lens)
-    powers = np.cumprod(np.full(int(lens.max()) + 1, BASE, np.uint64))
-    values = BYTE_KEYS[data[within + np.repeat(starts, lens)]] * powers[within]
+    size = int(lens.sum())
+    small = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.arange(size, dtype=small)
+    at -= np.repeat(begin.astype(small), lens)  # place of each byte in its span
+    values = np.cumprod(np.full(int(lens.max()) + 1, BASE, np.uint64))[at]
+    at += np.repeat(starts.astype(small), lens)
+    values *= BYTE_KEYS[data[at]]
+    del at
     full = lens > 0
     out = np.zeros(len(starts), np.uint64)
     out[full] = np.add.reduceat(values, begin[full])
