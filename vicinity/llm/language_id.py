@@ -136,9 +136,10 @@ def _word_counts(model: dict):
     return compute
 
 
-def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score) of every row.  score is 1 - phrases of the best
-    language / mean phrases of the others, 0 to 1; 1 where only one is known."""
+def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, lang_pred, score, *carry) of every row.  score is 1 - phrases of the
+    best language / mean phrases of the others, 0 to 1; 1 where only one is known.
+    Columns named in carry come along unchanged."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
@@ -164,10 +165,11 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
                         score[some] = 1 - low[some] / np.maximum(others[some], 1e-9) if counts.shape[1] > 1 else 1.0
                 langs += [m["langs"][k] if k >= 0 else UND for k in pred.tolist()]
                 scores.append(np.clip(score, 0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], [id_col, "lang_pred", "score"])
+            own = [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, *(batch.column(c) for c in carry)], [id_col, "lang_pred", "score", *carry])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    schema = ", ".join(f"`{c}` {k}" for c, k in ((id_col, docs.schema[id_col].dataType.simpleString()), ("lang_pred", "string"), ("score", "double"), *((c, docs.schema[c].dataType.simpleString()) for c in carry)))
+    return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame, learnable: Column, id_col="doc_id", text_col="text", lang_col="lang", train_chars=30_000, max_languages=24) -> dict | None:

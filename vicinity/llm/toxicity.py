@@ -157,8 +157,9 @@ def _solve(sample, features, groups, bits, l2, fairness) -> ToxicityModel:
     return ToxicityModel(bits, float(bias), features[used], w)
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id_col, score) of every row; a word counts once however often it occurs."""
+def score(docs: DataFrame, model: ToxicityModel, id_col="doc_id", text_col="text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, score, *carry) of every row; a word counts once however often it
+    occurs.  Columns named in carry come along unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast((model.bits, model.bias, model.features, model.weights))
 
     def run(batches):
@@ -173,6 +174,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col="doc_id", text_col="text
                 pairs = np.unique(doc * (1 << m.bits) + f[hit])
                 logit = m.bias + np.bincount(pairs >> m.bits, table[pairs & ((1 << m.bits) - 1)], b - a)
                 out.append(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *(batch.column(c) for c in carry)], [id_col, "score", *carry])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double")
+    schema = ", ".join(f"`{c}` {k}" for c, k in ((id_col, docs.schema[id_col].dataType.simpleString()), ("score", "double"), *((c, docs.schema[c].dataType.simpleString()) for c in carry)))
+    return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(run, schema)
