@@ -249,15 +249,16 @@ def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5,
 
     small = profiles.select("id", "n", "p1", "p2")
     reps = small.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
-    # documents with links, by class; equal documents share everything, so a class has one row
-    classes = profiles.where("n_first > 0").select("id", "n", "p1", "p2", "n_first", "shared")
-    sets = classes.join(reps, ["n", "p1", "p2"]).where("id = rep").dropDuplicates(["id"]).select(F.col("id").alias("x"), "n", "n_first", "shared")
-    sets = written(sets)
-    keyed = sets.select("x", (F.col("n") - F.size("shared")).alias("own"), (F.lit(1.0) - F.size("shared") / F.col("n")).alias("rare"), F.explode(F.slice("shared", 1, F.col("n_first").cast("int"))).alias("shingle"))
+    # equal documents share everything, so of each class its representative goes on
+    may = profiles.where("n_first > 0")
+    rep_ids = reps.join(may.select("n", "p1", "p2").distinct(), ["n", "p1", "p2"], "left_semi").select(F.col("rep").alias("id"))
+    rare = F.lit(1.0) - F.size("shared") / F.col("n")
+    first = may.select("id", rare.alias("rare"), F.slice("shared", 1, F.col("n_first").cast("int")).alias("first"))
+    keyed = first.join(rep_ids, "id", "left_semi").select(F.col("id").alias("x"), "rare", F.explode("first").alias("shingle"))
     pivots = keyed.groupBy("shingle").agg(F.min(F.struct("rare", "x")).alias("p"), F.count("*").alias("m")).where("m > 1").select("shingle", F.col("p.x").alias("region"))
     regions = written(keyed.join(pivots, "shingle").select("region", "x").distinct())
     sizes = regions.groupBy("region").agg(F.count("*").alias("members"))
-    members = sets.select("x", "n", "shared")
+    members = may.select(F.col("id").alias("x"), "n", "shared")
 
     little = regions.join(sizes.where(F.col("members").between(2, region)), "region")
     rows = little.join(members, "x").select("region", (F.col("x") != F.col("region")).cast("int").alias("rank"), "x", "n", "shared", F.lit(True).alias("new"))
@@ -266,6 +267,9 @@ def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5,
     big = written(regions.join(sizes.where(F.col("members") > region), "region").select("region", "x"))
     if big.isEmpty():
         return small.join(reps, ["n", "p1", "p2"], "left").select("id", "n", "rep"), links
+    # only what lies in large regions goes through the rounds
+    sets = written(may.select(F.col("id").alias("x"), "n", "shared", rare.alias("rare")).join(big.select("x").distinct(), "x", "left_semi"))
+    members = sets.select("x", "n", "shared")
     # d0: distance to the first pivot; home: linked, directly or not, with the first pivot
     state = _against(big, big.select("region", F.col("region").alias("pivot")).distinct(), members)
     linked = F.lit(100) * F.col("both") >= F.lit(percent) * F.col("either")
@@ -277,8 +281,7 @@ def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5,
         left = out.groupBy("region").agg(F.count("*").alias("m")).where(F.col("m") > region // 4)
         if left.isEmpty():
             break
-        rare = sets.select("x", (F.lit(1.0) - F.size("shared") / F.col("n")).alias("rare"))
-        pick = out.join(left, "region").join(rare, "x").groupBy("region").agg(F.min(F.struct("rare", "x", "d0")).alias("p")).select("region", F.col("p.x").alias("pivot"), F.col("p.d0").alias("pd"))
+        pick = out.join(left, "region").join(sets.select("x", "rare"), "x").groupBy("region").agg(F.min(F.struct("rare", "x", "d0")).alias("p")).select("region", F.col("p.x").alias("pivot"), F.col("p.d0").alias("pd"))
         tested = _against(state.join(pick.select("region", F.col("pivot").alias("q"), "pd"), "region").where(F.abs(F.col("d0") - F.col("pd")) <= limit).select("region", "x", "home"), pick.select("region", "pivot"), members)
         tested = written(tested.where(linked).select("region", "x", "home", "pivot"))
         joins = tested.groupBy("region").agg(F.bool_or("home").alias("joins"))
