@@ -72,7 +72,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col, text_col, label_col, m
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(rows), "k").select("y", "t")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", identity_terms=tuple(IDENTITY_TERMS), bits=20, max_labelled=20_000, max_features=2_000, l2=0.05, fairness=5.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", identity_terms=tuple(IDENTITY_TERMS), bits=20, max_labelled=8_000, max_features=1_000, l2=0.05, fairness=5.0) -> ToxicityModel:
     """`labels` holds the rows that may be learned from."""
     rows = _labelled(docs, labels, id_col, text_col, label_col, max_labelled)
 
