@@ -46,6 +46,7 @@ from .shared import components, written
 
 CHUNK_BYTES = 3 << 20
 BUCKET_SHINGLES = 1 << 20
+BROADCAST_IDS = 2_000_000  # 16 MB of ids; more are joined by a shuffle
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -235,6 +236,13 @@ def _against(rows: DataFrame, pivots: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumn("both", both).withColumn("either", F.col("nx") + F.col("np") - F.col("both")).drop("sx", "sp", "nx", "np")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """The ids, staged, and broadcast if they are few: then lists needn't be shuffled to
+    meet them."""
+    ids = written(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5, percent: int = 75, region: int = 512, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
     """Returns (profiles, links): profiles has id, n and rep (the smallest id with the
     same set; null without shingles); links (a, b) between representatives span all
@@ -254,11 +262,12 @@ def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5,
     rep_ids = reps.join(may.select("n", "p1", "p2").distinct(), ["n", "p1", "p2"], "left_semi").select(F.col("rep").alias("id"))
     rare = F.lit(1.0) - F.size("shared") / F.col("n")
     first = may.select("id", rare.alias("rare"), F.slice("shared", 1, F.col("n_first").cast("int")).alias("first"))
-    keyed = first.join(rep_ids, "id", "left_semi").select(F.col("id").alias("x"), "rare", F.explode("first").alias("shingle"))
+    keyed = first.join(_small(rep_ids), "id", "left_semi").select(F.col("id").alias("x"), "rare", F.explode("first").alias("shingle"))
     pivots = keyed.groupBy("shingle").agg(F.min(F.struct("rare", "x")).alias("p"), F.count("*").alias("m")).where("m > 1").select("shingle", F.col("p.x").alias("region"))
     regions = written(keyed.join(pivots, "shingle").select("region", "x").distinct())
     sizes = regions.groupBy("region").agg(F.count("*").alias("members"))
-    members = may.select(F.col("id").alias("x"), "n", "shared")
+    sharing = regions.join(sizes.where("members > 1"), "region").select("x").distinct()
+    members = may.select(F.col("id").alias("x"), "n", "shared").join(_small(sharing), "x", "left_semi")
 
     little = regions.join(sizes.where(F.col("members").between(2, region)), "region")
     rows = little.join(members, "x").select("region", (F.col("x") != F.col("region")).cast("int").alias("rank"), "x", "n", "shared", F.lit(True).alias("new"))
