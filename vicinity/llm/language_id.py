@@ -103,7 +103,7 @@ def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.n
         stuck = to < 0
         fresh = table[0][c[stuck]]
         begun = state[:live][stuck] > 0
-        count[:live][stuck] += begun + (fresh < 0)  # ends the phrase; an unknown character is one of its own
+        count[:live][stuck] += begun.astype(np.int64) + (fresh < 0)  # ends the phrase; an unknown character is one of its own
         to[stuck] = np.maximum(fresh, 0)
         state[:live] = to
     count += state > 0
