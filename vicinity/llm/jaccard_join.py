@@ -30,7 +30,8 @@ resolved exactly.  (Only 64-bit hash equality stands for equality of shingles.)
 Null or empty texts, or texts without words: no shingles, linked with nothing.
 Texts shorter than n words: one shingle, the whole sequence.  Rows with a null id
 are kept with a null component.  Extra columns are ignored; ids must be integers,
-and rows that repeat an id count as documents of that id.
+and rows that repeat an id count as documents of that id: each comes out, and all are
+in one component.
 """
 from __future__ import annotations
 
@@ -38,6 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,7 @@ def _deal(docs: DataFrame, n: int, bits: int) -> DataFrame:
     (kind 0), or a chunk's ids, sizes and set fingerprints (kind 1)."""
 
     def run(batches):
+        part_id, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, data, offsets in tx.text_slices(batch.column(1), CHUNK_BYTES):
@@ -92,7 +95,8 @@ def _deal(docs: DataFrame, n: int, bits: int) -> DataFrame:
                     mark = (at[:-1], at[1:])
                     total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)]) for x in (hashes, tx.mix(hashes * tx.GRAM_KEYS[9]))]
                     prints = [t[mark[1]] - t[mark[0]] for t in total]
-                    chunk = int(tx.mix(np.array([ids[c], ids[d - 1], d - c], np.int64).view(np.uint64) * tx.GRAM_KEYS[:3]).sum(dtype=np.uint64).view(np.int64))
+                    chunk = int(tx.mix(np.array([(part_id << 32) + nth], np.uint64)).view(np.int64)[0])  # mix is one to one: no two chunks share a key
+                    nth += 1
                     meta = b"".join(x.astype(np.int64, copy=False).tobytes() for x in (ids[c:d], sizes, prints[0].view(np.int64), prints[1].view(np.int64)))
                     used = np.flatnonzero(np.diff(edges)).tolist()
                     rows = [low[edges[k] : edges[k + 1]].tobytes() + doc[edges[k] : edges[k + 1]].tobytes() for k in used]
@@ -153,8 +157,8 @@ def _profiles(common: DataFrame, bits: int, percent: int) -> DataFrame:
 
     def run(table):
         kinds, blobs = table.column("kind").to_pylist(), table.column("data").to_pylist()
-        metas = [b for k, b in zip(kinds, blobs) if k == 1]
-        ids, sizes, p1, p2 = (np.concatenate(x) for x in zip(*(np.frombuffer(m, np.int64).reshape(4, -1) for m in metas[:1])))
+        (meta,) = [b for k, b in zip(kinds, blobs) if k == 1]
+        ids, sizes, p1, p2 = np.frombuffer(meta, np.int64).reshape(4, -1)
         full, docs, grades = [], [], []
         for k, b in zip(kinds, blobs):
             if k == 0:
@@ -259,6 +263,10 @@ def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5,
     reps = small.where("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"))
     # equal documents share everything, so of each class its representative goes on
     may = profiles.where("n_first > 0")
+    repeated = written(small.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"))
+    again = not repeated.isEmpty()
+    if again:  # rows of one id with equal sets say the same
+        may = may.dropDuplicates(["id", "n", "p1", "p2"])
     rep_ids = reps.join(may.select("n", "p1", "p2").distinct(), ["n", "p1", "p2"], "left_semi").select(F.col("rep").alias("id"))
     rare = F.lit(1.0) - F.size("shared") / F.col("n")
     first = may.select("id", rare.alias("rare"), F.slice("shared", 1, F.col("n_first").cast("int")).alias("first"))
@@ -271,7 +279,10 @@ def jaccard_links(docs: DataFrame, id_col="doc_id", text_col="text", n: int = 5,
 
     little = regions.join(sizes.where(F.col("members").between(2, region)), "region")
     rows = little.join(members, "x").select("region", (F.col("x") != F.col("region")).cast("int").alias("rank"), "x", "n", "shared", F.lit(True).alias("new"))
-    links = written(_region_links(rows, ["region"], percent))
+    links = _region_links(rows, ["region"], percent)
+    if again:  # rows of one id are one node, whichever sets they are equal to
+        links = links.unionByName(small.join(repeated, "id").join(reps, ["n", "p1", "p2"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct())
+    links = written(links)
 
     big = written(regions.join(sizes.where(F.col("members") > region), "region").select("region", "x"))
     if big.isEmpty():
@@ -321,8 +332,8 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", **how)
     profiles, links = jaccard_links(docs, id_col, text_col, **how)
     groups = components(links)
     kind = docs.schema[id_col].dataType
-    out = profiles.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").cast(kind).alias("component_id"))
+    out = profiles.withColumn("rep", F.coalesce("rep", "id")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    out = out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").cast(kind).alias("component_id"))
     nulls = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col(id_col).alias("component_id"))
     return out.unionByName(nulls)
 
