@@ -32,3 +32,48 @@ def test_jaccard_repeated_rows(spark):
         for docs, times in ((table.repartition(3), 1), (one.union(one), 2), (one.union(one).union(table.repartition(2)), 3)):
             got = sorted(map(tuple, jaccard_components(docs, **how).collect()))
             assert got == sorted(want * times)
+
+
+def test_quality_word_order(spark):
+    """Real words in nonsense order, in three scripts, score worse than in good order."""
+    from vicinity.llm import quality_lm as q
+
+    rng = random.Random(4)
+    vocabularies = [[a + b for a in "кто где как мир дом лес".split() for b in "ы ами ого ить ная".split()], [a + b for a in ("stone", "river", "cloud", "field") for b in ("s", "ing", "ed", "ly", "er", "est")], [chr(0x4E00 + 7 * k) for k in range(40)]]
+    texts, bad = [], []
+    for v, gap in zip(vocabularies, (" ", " ", "")):
+        follow = {w: rng.sample(v, 3) for w in v}
+        for _ in range(60):
+            w = [rng.choice(v)]
+            while len(w) < 80:
+                w.append(rng.choice(follow[w[-1]]))
+            texts.append(gap.join(w))
+            bad.append(gap.join(rng.sample(w, len(w))))
+    n = len(texts)
+    table = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts + bad)], DOCS)
+    trusted = table.where(f"doc_id < {n} AND doc_id % 60 < 40").select("doc_id")
+    out = {r.doc_id: r for r in q.classify(table.repartition(3), trusted).collect()}
+    fresh = [i for i in range(n) if i % 60 >= 40]
+    assert sum(out[i].kept for i in fresh) >= 0.8 * len(fresh)
+    assert all(out[n + i].perplexity > 1.2 * out[i].perplexity for i in fresh)
+    again = {r.doc_id: r.perplexity for r in q.classify(table.coalesce(1), trusted).collect()}
+    assert all(again[i] == pytest.approx(out[i].perplexity) for i in again) and len(again) == 2 * n
+
+
+def test_quality_shares(spark):
+    """After any context the shares and the weight of what is below sum to one, and the shards grow with the text."""
+    from vicinity.llm import quality_lm as q
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(60)) for _ in range(30)]
+    table = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(texts)], DOCS)
+    top = {r.g3: r for r in q._word_counts(table, "text").collect()}
+    shards, bottom = q.train_words(table)
+    found = {r.key: r for r in shards.collect()}
+    for gram, context in (("g3", "x3"), ("g2", "x2")):
+        total = {}
+        for g, x in {(r[gram], r[context]) for r in top.values()}:
+            total[x] = total.get(x, 0) + found[g].share
+        assert all(total[x] + found[x].back == pytest.approx(1, abs=1e-5) for x in total)
+    assert sum(found[g].share for g in {r.g1 for r in top.values()}) + bottom == pytest.approx(1, abs=1e-5)
+    assert q.train_words(table.where("doc_id < 10"))[0].count() < shards.count()
