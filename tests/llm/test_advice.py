@@ -77,3 +77,33 @@ def test_quality_shares(spark):
         assert all(total[x] + found[x].back == pytest.approx(1, abs=1e-5) for x in total)
     assert sum(found[g].share for g in {r.g1 for r in top.values()}) + bottom == pytest.approx(1, abs=1e-5)
     assert q.train_words(table.where("doc_id < 10"))[0].count() < shards.count()
+
+
+def test_languages_alphabets(spark):
+    """More languages than any bound, alphabets far beyond one table, texts longer than
+    a sample, words longer than a segment."""
+    from vicinity.llm.language_id import _automaton, identify, phrases
+
+    rng = random.Random(2)
+    texts, langs = [], []
+    for k in range(30):  # scripts of 40 letters, each pair of languages in one script
+        script = [chr((0x430, 0x4E00 + 100 * k, 0x3B1, 0x20000 + 100 * k)[k // 2 % 4] + j) for j in range(24)]
+        own = ["".join(rng.choice(script) for _ in range(5)) for _ in range(60)]
+        for _ in range(6):
+            texts.append(" ".join(rng.choice(own) for _ in range(40)))
+            langs.append(f"l{k:02}")
+    own = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(50)]
+    texts += [" ".join(rng.choice(own) for _ in range(6000)), " ".join(rng.choice(own) for _ in range(40))]
+    langs += ["long", None]
+    n = len(texts)
+    table = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate(zip(texts, langs))], DOCS)
+    got = {r.doc_id: r.lang_pred for r in identify(table, F.col("doc_id") % 6 != 5).collect()}
+    assert all(got[i] == langs[i] for i in range(n - 1)) and got[n - 1] == "long"
+    code = [rng.randrange(1, 200) for _ in range(3000)]
+    probe = code[100:1300] + [0, 0] + code[5:90] + [300]
+    dense, sparse = _automaton(code), _automaton(code, 1)
+    import numpy as np
+
+    for t, *rare in (dense, sparse):
+        many = phrases(t, np.array(probe * 40), np.arange(40) * len(probe), np.full(40, len(probe)), rare)
+        assert phrases(t, np.array(probe), np.array([0]), np.array([len(probe)]), rare).tolist() == [5] and many.tolist() == [5] * 40

@@ -5,13 +5,18 @@ a new text, the longest match found in that language.  A text is cut greedily
 into longest matches (phrases); the language that needs the fewest phrases per
 letter wins.  Phrases don't cross white space, so the count of a text is the sum
 over its words and each distinct word of a slice of texts is parsed once; the
-parse runs over all those words in step, one automaton transition per letter;
-digits, punctuation and symbols are left out of both sides.
+parse runs over all those words in step, one automaton transition per letter (the
+few that are much longer than the others end one by one, from the state they are
+in); digits, punctuation and symbols are left out of both sides.
 
-Bounds: at most `max_languages` languages (the most frequent) and `train_chars`
-characters of labelled text per language are held, in whole documents, so the
-automata that are broadcast hold at most 2 * train_chars states of 64 symbols
-each.  Documents are scored whole, with no shuffle.
+Every character of a language's sample has a symbol of its own.  Transitions by the
+language's most frequent characters are a table, unless there are many languages;
+all others are sparse.  A character that the sample lacks matches nothing.
+
+Bounds: `train_chars` characters of labelled text per language are held, so its
+automaton has at most 2 * train_chars states and 3 * train_chars transitions.  All
+languages are learned, unless `max_languages` asks for the most frequent only.
+Documents are scored whole, with no shuffle.
 
 Null text or text without a letter: `und`, score 0.  Null or unlearned languages
 are never predicted.  Ties go to the language that sorts first.  Without any
@@ -29,14 +34,17 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 
-SYMBOLS = 64
-SEGMENT = 64  # words are parsed in segments of so many characters
+SYMBOLS = 64  # symbols of the table
+TABLES = 24  # languages up to which there are tables, of some 15 MB each
+SEGMENT, FEW = 64, 32  # beyond so many letters, fewer words than these are ended one by one
+POINTS = 0x110000
 UND = "und"
 
 
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """Transitions [state, symbol] -> state or -1 of the smallest automaton that
-    accepts exactly the substrings of `codes`; state 0 is the start."""
+def _automaton(codes: list[int], width: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest automaton that accepts exactly the substrings of `codes`; state 0 is
+    the start.  Transitions by symbols below width are a table [state, symbol] -> state
+    or -1; those by others are keys (state << 32 | symbol), ascending, and states."""
     step, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         new = len(step)
@@ -61,11 +69,21 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(step), SYMBOLS), -1, np.int32)
+    table = np.full((len(step), width), -1, np.int32)
+    rare = {}
     for s, out in enumerate(step):
         for c, to in out.items():
-            table[s, c] = to
-    return table
+            if c < width:
+                table[s, c] = to
+            else:
+                rare[s << 32 | c] = to
+    keys = np.array(sorted(rare), np.int64)
+    return table, keys, np.array([rare[k] for k in keys.tolist()], np.int32)
+
+
+def suffix_automaton(codes: list[int]) -> np.ndarray:
+    """The table alone, for codes below SYMBOLS."""
+    return _automaton(codes)[0]
 
 
 def fit(texts: dict[str, list[str]], train_chars: int) -> dict | None:
@@ -75,33 +93,78 @@ def fit(texts: dict[str, list[str]], train_chars: int) -> dict | None:
     joined = {k: v for k, v in joined.items() if v}
     if not joined:
         return None
-    common = [c for c, _ in Counter("".join(joined.values())).most_common() if ord(c) < 65536][: SYMBOLS - 1]
-    code = np.zeros(65537, np.uint8)  # 0: a character that matches nothing
-    for k, c in enumerate(common, 1):
-        code[ord(c)] = k
-    automata = {}
-    for lang, t in joined.items():
-        points = np.minimum(np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32), 65536)
-        automata[lang] = suffix_automaton(code[points].tolist())
-    letter = np.fromiter((chr(c).isalpha() for c in range(65536)), bool, 65536)
-    letter = np.append(letter, True)  # beyond the first plane: taken as letters that match nothing
-    return {"langs": list(automata), "code": code, "letter": letter, "tables": list(automata.values())}
-
-
-def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    width = SYMBOLS if len(joined) <= TABLES else 1
+    every = sorted(set().union(*joined.values()))
+    index = {c: k for k, c in enumerate(every, 1)}
+    char = np.zeros(POINTS, np.int32)  # 0: a character of no sample
+    char[[ord(c) for c in every]] = np.arange(1, len(every) + 1)
+    codes, automata = [], []
+    for t in joined.values():
+        code = np.zeros(len(every) + 1, np.int32)  # 0: a character that matches nothing
+        for k, (c, _) in enumerate(sorted(Counter(t).items(), key=lambda x: (-x[1], x[0])), 1):
+            code[index[c]] = k
+        codes.append(code)
+        automata.append(_automaton([int(code[index[c]]) for c in t], width))
+    letter = np.fromiter((chr(c).isalpha() for c in range(POINTS)), bool, POINTS)
+    return {"langs": list(joined), "char": char, "codes": codes, "letter": letter, "tables": automata}
+
+
+_walks: dict[int, tuple] = {}
+
+
+def _walk(table: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
+    """All transitions as one dict by state << 32 | symbol (made once a worker)."""
+    held = _walks.get(id(table))
+    if held is None or held[0] is not table:
+        state, symbol = np.nonzero(table >= 0)
+        step = dict(zip((state << 32 | symbol).tolist(), table[state, symbol].tolist()))
+        step.update(zip(rare[0].tolist(), rare[1].tolist()))
+        _walks[id(table)] = held = (table, step)
+    return held[1]
+
+
+def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, rare=(np.zeros(0, np.int64), np.zeros(0, np.int32))) -> np.ndarray:
     """Number of greedy longest matches in each segment of `codes`."""
     order = np.argsort(-lens, kind="stable")
     starts, lens = starts[order], lens[order]
-    flat = table.reshape(-1)
+    flat, width = table.reshape(-1), table.shape[1]
+    keys, targets = rare
+
+    def move(state, c):
+        far = c >= width
+        to = flat[state * width + np.where(far, 0, c)].astype(np.int64)
+        if far.any():
+            to[far] = -1
+            if len(keys):
+                want = state[far] << 32 | c[far]
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                to[far] = np.where(keys[at] == want, targets[at], -1)
+        return to
+
     state = np.zeros(len(starts), np.int64)
     count = np.zeros(len(starts), np.int64)
     live = len(starts)
     for t in range(int(lens[0]) if len(lens) else 0):
         live = int(np.searchsorted(-lens[:live], -t, "left"))
+        if t >= SEGMENT and live < FEW:
+            step = _walk(table, rare)
+            for k in range(live):
+                s, n = int(state[k]), 0
+                for c in codes[starts[k] + t : starts[k] + lens[k]].tolist():
+                    to = step.get(s << 32 | c, -1)
+                    if to < 0:
+                        n += s > 0
+                        to = step.get(c, -1)
+                        if to < 0:
+                            n, to = n + 1, 0
+                    s = to
+                state[k] = s
+                count[k] += n
+            break
         c = codes[starts[:live] + t].astype(np.int64)
-        to = flat[state[:live] * SYMBOLS + c]
+        to = move(state[:live], c)
         stuck = to < 0
-        fresh = table[0][c[stuck]]
+        fresh = move(np.zeros(int(stuck.sum()), np.int64), c[stuck])
         begun = state[:live][stuck] > 0
         count[:live][stuck] += begun.astype(np.int64) + (fresh < 0)  # ends the phrase; an unknown character is one of its own
         to[stuck] = np.maximum(fresh, 0)
@@ -116,19 +179,14 @@ def _word_counts(model: dict):
     def compute(store, words):
         lowered = [w.lower() for w in words]
         lens = np.fromiter(map(len, lowered), np.int64, len(lowered))
-        points = np.minimum(np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32), 65536)
+        points = np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), np.uint32)
         letter = model["letter"][points]
         lens = np.bincount(np.repeat(np.arange(len(words)), lens)[letter], minlength=len(words))
-        codes = model["code"][points[letter]]
-        begin = np.cumsum(lens) - lens
-        pieces = -(-lens // SEGMENT)
-        owner = np.repeat(np.arange(len(lens)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        starts = begin[owner] + nth * SEGMENT
-        sizes = np.minimum(SEGMENT, lens[owner] - nth * SEGMENT)
+        chars = model["char"][points[letter]]
+        starts = np.cumsum(lens) - lens
         rows = np.empty((len(words), len(model["tables"]) + 1), np.float32)
-        for k, table in enumerate(model["tables"]):
-            rows[:, k] = np.bincount(owner, phrases(table, codes, starts, sizes), len(words))
+        for k, (table, *rare) in enumerate(model["tables"]):
+            rows[:, k] = phrases(table, model["codes"][k][chars], starts, lens, rare)
         rows[:, -1] = lens
         before = 0 if store is None else len(store)
         return (rows if store is None else np.concatenate([store, rows])), np.arange(before, before + len(rows))
@@ -172,24 +230,31 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(run, schema)
 
 
-def learn(docs: DataFrame, learnable: Column, id_col="doc_id", text_col="text", lang_col="lang", train_chars=30_000, max_languages=24) -> dict | None:
+def learn(docs: DataFrame, learnable: Column, id_col="doc_id", text_col="text", lang_col="lang", train_chars=30_000, max_languages: int | None = None) -> dict | None:
     """Fits the automata on labelled rows for which `learnable` holds.
 
-    Rows are counted by language; then rows are kept by a hash of their id at a
-    rate that gives about twice the characters needed, and at most 400 of those
-    with at most `train_chars` characters each go to the driver.
+    Rows are counted by language; then each language's rows are kept by a hash at a
+    rate of its own that gives about twice the characters needed, and that with its
+    smallest hash always.  Of a longer text a passage of `train_chars` letters, from a
+    place that the hash gives, counts.  Equal texts of a language count once.
     """
-    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = rows.where((F.length("t") <= train_chars) & F.col("t").rlike("\\p{L}"))
-    counts = rows.groupBy("l").agg(F.sum(F.length("t")).alias("c")).orderBy(F.desc("c"), "l").limit(max_languages).collect()
+    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    rows = rows.where(F.col("t").rlike("\\p{L}")).withColumn("d", F.pmod("h", F.lit(10**12)))
+    counts = rows.groupBy("l").agg(F.sum(F.least(F.length("t"), F.lit(train_chars))).alias("c"), F.min("d").alias("least"))
+    if max_languages is not None:
+        counts = counts.orderBy(F.desc("c"), "l").limit(max_languages)
+    counts = counts.collect()
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64(F.col("k")), F.lit(1_000_000))
-    rate = F.coalesce(*[F.when(F.col("l") == r.l, F.lit(int(1e6 * min(1.0, 2.5 * train_chars / max(1, r.c))) + 1)) for r in counts], F.lit(0))
-    drawn = rows.where(draw < rate).select("l", "k", "t").orderBy(F.xxhash64("k"), "k").limit(400 * len(counts)).collect()
+    rates = [(r.l, max(r.least, int(1e12 * min(1.0, 2.5 * train_chars / max(1, r.c))))) for r in counts]
+    rates = docs.sparkSession.createDataFrame(rates, "l string, most long")
+    drawn = rows.join(F.broadcast(rates), "l").where("d <= most")
+    letters = F.regexp_replace("t", "[^\\p{L}\\s]", "")
+    passage = F.substring(letters, F.pmod("d", F.greatest(F.lit(1), F.length(letters) - train_chars + 1)).cast("int") + 1, F.lit(train_chars))
+    drawn = drawn.select("l", "d", F.when(F.length("t") > train_chars, passage).otherwise(F.col("t")).alias("t")).groupBy("l", "t").agg(F.min("d").alias("d"))
     texts: dict[str, list[str]] = {}
     held: Counter = Counter()
-    for r in drawn:
+    for r in drawn.orderBy("d", "l", "t").collect():
         if held[r.l] < train_chars:
             texts.setdefault(r.l, []).append(r.t)
             held[r.l] += len(r.t)
