@@ -107,3 +107,20 @@ def test_languages_alphabets(spark):
     for t, *rare in (dense, sparse):
         many = phrases(t, np.array(probe * 40), np.arange(40) * len(probe), np.full(40, len(probe)), rare)
         assert phrases(t, np.array(probe), np.array([0]), np.array([len(probe)]), rare).tolist() == [5] and many.tolist() == [5] * 40
+
+
+def test_crf_long_documents(spark):
+    """Lines after the 500th of a labelled text reach the weights, summed by tasks as on the driver."""
+    import numpy as np
+
+    from vicinity.llm.line_crf import fit
+
+    good, bad = "A calm line of several words.", "## $$ 12345 BUY NOW %%"
+    texts = ["\n".join([good] * 500 + [bad if y else good] * 700) for y in (0, 1)] * 4 + [good, bad]
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    crf = fit(table, labels)
+    short = fit(spark.createDataFrame([(i, "\n".join(t.split("\n")[:500]), "en") for i, t in enumerate(texts)], DOCS), labels)
+    assert not np.allclose(crf.emit, short.emit, atol=0.01)
+    tasks = fit(table, labels, driver_lines=0)
+    assert np.allclose(crf.emit, tasks.emit, atol=1e-4) and np.allclose(crf.pair, tasks.pair, atol=1e-4)

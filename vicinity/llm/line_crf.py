@@ -7,8 +7,10 @@ document is kept if enough of its words lie in content lines and the base rules
 don't fail it.
 
 The field is fitted by gradient ascent on the conditional likelihood of lines that
-inherit their document's quality label, from at most `max_labelled` documents drawn
-by a hash of their id; everything else reads all documents whole, without a shuffle.
+inherit their document's quality label, all lines of about `max_labelled` documents
+drawn by a hash of their id (at most 1.2 times as many labels); beyond DRIVER_LINES of
+them tasks sum the gradients of each step.  Everything else reads all documents whole,
+without a shuffle.
 
 Null or empty text: no words, base rules fail.  Ties in decoding go to content.
 Without labels of both kinds every line is content.  Repeated rows are judged each
@@ -21,9 +23,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import written
 
+DRIVER_LINES = 500_000  # 20 MB of features
 SYMBOL = tx.byte_set(b"#*$%&|<>")
 DIGIT = tx.byte_set(b"0123456789")
 UPPER = tx.byte_set(bytes(range(65, 91)))
@@ -126,42 +131,59 @@ class LineCrf:
         return labels
 
 
-def train(feats: np.ndarray, first_line: np.ndarray, labels: np.ndarray, steps: int = 120, l2: float = 1e-3) -> LineCrf:
-    """Maximises the conditional log likelihood with forward and backward passes
-    over all documents in step (Adam)."""
+def gradient(emit: np.ndarray, pair: np.ndarray, feats: np.ndarray, first_line: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Gradient of the conditional log likelihood, by forward and backward passes over
+    all documents in step."""
     lens = np.diff(first_line)
     order = np.argsort(-lens, kind="stable")
     begin, lens = first_line[:-1][order], lens[order]
     lives = [int(np.searchsorted(-lens, -t, "left")) for t in range(int(lens[0]) if len(lens) else 0)]
-    emit, pair = np.zeros((2, feats.shape[1])), np.zeros((2, 2))
     gold = np.eye(2)[labels]
     lse = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
+    score = feats @ emit.T
+    alpha, beta = np.zeros_like(score), np.zeros_like(score)
+    for t, live in enumerate(lives):
+        at = begin[:live] + t
+        alpha[at] = score[at] + (lse(alpha[at - 1][:, :, None] + pair, 1) if t else 0)
+    for t in range(len(lives) - 2, -1, -1):
+        at = begin[: lives[t + 1]] + t
+        beta[at] = lse(pair + (score[at + 1] + beta[at + 1])[:, None, :], 2)
+    p = np.exp(alpha + beta - lse(alpha + beta, 1)[:, None])
+    g_emit = (gold - p).T @ feats
+    later = np.ones(len(feats), bool)
+    later[first_line[:-1][np.diff(first_line) > 0]] = False
+    at = np.flatnonzero(later)
+    joint = alpha[at - 1][:, :, None] + pair + (score[at] + beta[at])[:, None, :]
+    joint = np.exp(joint - lse(joint.reshape(len(at), 4), 1)[:, None, None])
+    g_pair = np.einsum("na,nb->ab", gold[at - 1], gold[at]) - joint.sum(0)
+    return np.append(g_emit, g_pair)
+
+
+def ascend(slope, n_lines: int, n_features: int, steps: int = 120, l2: float = 1e-3) -> LineCrf:
+    """Follows slope(emit, pair), the gradient over all n_lines (Adam)."""
+    emit, pair = np.zeros((2, n_features)), np.zeros((2, 2))
     m, v = np.zeros(emit.size + 4), np.zeros(emit.size + 4)
     for it in range(1, steps + 1):
-        score = feats @ emit.T
-        alpha, beta = np.zeros_like(score), np.zeros_like(score)
-        for t, live in enumerate(lives):
-            at = begin[:live] + t
-            alpha[at] = score[at] + (lse(alpha[at - 1][:, :, None] + pair, 1) if t else 0)
-        for t in range(len(lives) - 2, -1, -1):
-            at = begin[: lives[t + 1]] + t
-            beta[at] = lse(pair + (score[at + 1] + beta[at + 1])[:, None, :], 2)
-        p = np.exp(alpha + beta - lse(alpha + beta, 1)[:, None])
-        g_emit = (gold - p).T @ feats
-        g_pair = np.zeros((2, 2))
-        for t in range(1, len(lives)):
-            at = begin[: lives[t]] + t
-            joint = alpha[at - 1][:, :, None] + pair + (score[at] + beta[at])[:, None, :]
-            joint = np.exp(joint - lse(joint.reshape(len(at), 4), 1)[:, None, None])
-            g_pair += np.einsum("na,nb->ab", gold[at - 1], gold[at]) - joint.sum(0)
-        g = np.append(g_emit, g_pair) / max(1, len(feats)) - l2 * np.append(emit, pair)
+        g = slope(emit, pair) / max(1, n_lines) - l2 * np.append(emit, pair)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.3 * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.999**it)) + 1e-8)
         emit, pair = emit + step[:-4].reshape(emit.shape), pair + step[-4:].reshape(2, 2)
     return LineCrf(emit, pair)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", max_labelled=2_000) -> LineCrf:
+def train(feats: np.ndarray, first_line: np.ndarray, labels: np.ndarray, steps: int = 120, l2: float = 1e-3) -> LineCrf:
+    """Maximises the conditional log likelihood of lines at hand."""
+    return ascend(lambda emit, pair: gradient(emit, pair, feats, first_line, labels), len(feats), feats.shape[1], steps, l2)
+
+
+def _together(labels: list[int], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, first lines and line labels of documents (1 is content)."""
+    feats = np.frombuffer(b"".join(blobs), np.float32).reshape(-1, N_FEATURES)
+    lens = np.array([len(b) // (4 * N_FEATURES) for b in blobs], np.int64)
+    return feats, np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)]), np.repeat(1 - np.array(labels, np.int64), lens)
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", max_labelled=2_000, driver_lines=DRIVER_LINES) -> LineCrf:
     """A field fitted on documents with label 1 (content) or 0 (boilerplate)."""
     from .toxicity import _labelled
 
@@ -169,19 +191,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
     def lines(batches):
         for batch in batches:
-            out = []
-            for _, _, data, offsets in tx.text_slices(batch.column(1)):
+            for k, _, data, offsets in tx.text_slices(batch.column(1)):
                 _, feats, _, first = analyse(data, offsets)
-                out += [feats[a : min(b, a + 500)].reshape(-1).tolist() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], ["y", "f"])
+                out = [feats[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, len(out)), pa.array(out, pa.binary())], ["y", "f"])
 
-    sample = rows.mapInArrow(lines, "y int, f array<float>").toPandas()
-    sample = sample[sample.f.map(len) > 0]
-    if sample.y.nunique() < 2:
+    sample = written(rows.mapInArrow(lines, "y int, f binary")).where(F.octet_length("f") > 0)
+    size = sample.agg(F.sum(F.octet_length("f")).alias("bytes"), F.min("y").alias("lo"), F.max("y").alias("hi")).first()
+    if size.bytes is None or size.lo == size.hi:
         return LineCrf(np.stack([np.eye(N_FEATURES)[0], np.zeros(N_FEATURES)]), np.zeros((2, 2)))
-    feats = np.concatenate([np.asarray(f, np.float32) for f in sample.f]).reshape(-1, N_FEATURES)
-    lens = np.array([len(f) // N_FEATURES for f in sample.f])
-    return train(feats, np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)]), np.repeat(1 - sample.y.to_numpy(int), lens))
+    n = size.bytes // (4 * N_FEATURES)
+    if n <= driver_lines:
+        got = sample.collect()
+        return train(*_together([r.y for r in got], [bytes(r.f) for r in got]))
+
+    def slope(emit, pair):
+        def run(batches):
+            total = np.zeros(emit.size + 4)
+            for batch in batches:
+                total += gradient(emit, pair, *_together(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["g"])
+
+        return np.sum([r.g for r in sample.mapInArrow(run, "g array<double>").collect()], 0)
+
+    return ascend(slope, n, N_FEATURES)
 
 
 def judge(docs: DataFrame, model: LineCrf, id_col="doc_id", text_col="text", min_content: float = 0.5, with_spans: bool = False) -> DataFrame:
