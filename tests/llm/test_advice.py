@@ -124,3 +124,14 @@ def test_crf_long_documents(spark):
     assert not np.allclose(crf.emit, short.emit, atol=0.01)
     tasks = fit(table, labels, driver_lines=0)
     assert np.allclose(crf.emit, tasks.emit, atol=1e-4) and np.allclose(crf.pair, tasks.pair, atol=1e-4)
+
+
+def test_line_runs_with_another_first_place(spark):
+    """A run's tail goes though the first place of its first line lacks it."""
+    from vicinity.llm.line_dedup import dedup_lines
+
+    w = "word " * 59 + "end"
+    texts = [w, *(f"{w}\ny1\ny2\nown {k}\nmore {k}" for k in range(6)), f"{w}\ny1"]
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOCS)).collect()}
+    assert [out[0], out[1], out[7]] == [w, "y1\ny2\nown 0\nmore 0", ""]
+    assert [out[k + 1] for k in range(1, 6)] == [f"own {k}\nmore {k}" for k in range(1, 6)]

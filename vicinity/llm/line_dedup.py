@@ -1,7 +1,8 @@
 """Line dedup by winnowing, with DataFrame functions only.
 
-Blank lines are skipped.  From each line on, the shortest stretch of lines that has
-`min_words` words or `min_lines` lines is a window.  The smallest line hash of a
+Blank lines are skipped.  From each line on, every stretch of up to `min_lines` lines
+that has `min_words` words or `min_lines` lines is a window: the longer ones too, since
+a longer run may have its first place elsewhere than its first lines.  The smallest line hash of a
 window is its fingerprint: any repeated run of so many words or lines holds a whole
 window, so the same fingerprint is selected wherever the run occurs.  Positions are
 joined by fingerprint and window; of each, the first place in order of (id, line)
@@ -37,25 +38,21 @@ def _lines(text: Column) -> Column:
 
 
 def _windows(lines: Column, min_words: int, min_lines: int) -> Column:
-    def window(line, i):
+    def windows(line, i):
         at = [line, *(F.get(lines, i + k) for k in range(1, 2 * min_lines - 1))]
-        total, size = line.w, F.lit(None).cast("int")
-        sizes = []
-        for k in range(1, min_lines + 1):
-            sizes.append((k, total))
-            total = total + at[k].w if k < min_lines else total
-        for k, words in reversed(sizes):
-            full = (words >= min_words) if k < min_lines else words.isNotNull()
-            size = F.when(full, k).otherwise(size)
-        held = lambda f: F.array(*(F.when(F.lit(k) < size, f(at[k])) for k in range(min_lines)))
-        after = lambda f: F.array(*(f(F.get(lines, i + size + k)) for k in range(min_lines - 1)))
-        hashes = held(lambda r: r.h)
-        return F.struct(
-            i.alias("i"), F.array_min(hashes).alias("fingerprint"), F.xxhash64(hashes, size).alias("window"),
-            F.array_compact(held(lambda r: r.p)).alias("covers"), after(lambda r: r.p).alias("next_p"), after(lambda r: r.h).alias("next_h"), size.alias("size"),
-        )
-
-    return F.filter(F.transform(lines, window), lambda r: r["size"].isNotNull())
+        out, total = [], F.lit(0)
+        for size in range(1, min_lines + 1):
+            total = total + at[size - 1].w  # null beyond the last line
+            hashes = F.array(*(at[k].h for k in range(size)))
+            after = at[size : size + min_lines - 1]
+            row = F.struct(
+                i.alias("i"), F.array_min(hashes).alias("fingerprint"), F.xxhash64(hashes, F.lit(size)).alias("window"),
+                F.array(*(at[k].p for k in range(size))).alias("covers"), F.array(*(r.p for r in after)).alias("next_p"), F.array(*(r.h for r in after)).alias("next_h"),
+            )
+            out.append(F.when(total >= min_words if size < min_lines else total.isNotNull(), row))
+        return F.array_compact(F.array(*out))
+
+    return F.flatten(F.transform(lines, windows))
 
 
 def repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words: int = 50, min_lines: int = 3) -> DataFrame:
