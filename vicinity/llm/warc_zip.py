@@ -9,11 +9,19 @@ The reader never extracts.  It reads the end of the file, finds the central
 directory by the end record or its ZIP64 form, takes from it where the members lie,
 reads the index by its range and then ranges of records, neighbours together.
 
+The reader hashes each payload that it reads and fails where the digest or the size
+in the headers is another; a revisit's are those of the response that it refers to.
+
 Payloads are the pages' text in UTF-8; null is empty.  Of records with equal
 payloads of at least `min_bytes` bytes the smallest id is a response, others are
 revisits that refer to it and hold headers only.  Rows that repeat an id are records
-of their own; with equal payloads all rows of the smallest id are responses.  Extra
-columns are ignored; an empty table gives an archive without packages.
+of their own, each response or revisit by its own payload; with equal payloads all
+rows of the smallest id are responses.  Rows with a null id are responses that no
+revisit refers to, and are read back with a null id.  Extra columns are ignored, so
+their names don't matter; an empty table gives an archive without packages.
+
+Links of revisits are counted and broadcast up to BROADCAST_LINKS, so that payloads
+stay where they are; more are joined, which shuffles payloads once.
 """
 from __future__ import annotations
 
@@ -27,23 +35,24 @@ import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir
+from .shared import shared_dir, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 BATCH = 4 << 20  # bytes of neighbouring records that one range read may take
+BROADCAST_LINKS = 1_000_000  # of some 80 bytes
 
 
 # --- writing -----------------------------------------------------------------
 
-def warc_record(kind: str, uri: str, page_id: int, digest: str, length: int, payload: bytes, refers_to: int | None) -> bytes:
+def warc_record(kind: str, uri: str, page_id: int | None, digest: str, length: int, payload: bytes, refers_to: int | None) -> bytes:
     """A WARC/1.1 record; a revisit keeps the HTTP headers and drops the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {uri}", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{f'uuid:{uuid.uuid4()}' if page_id is None else f'page:{page_id}'}>", f"WARC-Target-URI: {uri}", "WARC-Date: 2024-01-01T00:00:00Z",
         "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{digest}", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
@@ -178,11 +187,12 @@ def _file(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def revisits(pages: DataFrame, digest: Column, min_bytes: int, id_col: str, payload: Column) -> DataFrame:
-    """(id, refers_to) of rows whose payload another row with a smaller id has."""
-    rows = pages.where((F.octet_length(payload) >= min_bytes) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), digest.alias("digest"), F.octet_length(payload).alias("size"))
+def revisits(pages: DataFrame) -> DataFrame:
+    """(id, digest, refers_to) of rows (id, digest, size) whose payload a row with a
+    smaller id has."""
+    rows = pages.where("id IS NOT NULL")
     first = rows.groupBy("digest", "size").agg(F.min("id").alias("refers_to"), F.max("id").alias("top")).where("top > refers_to").drop("top")
-    return rows.join(first, ["digest", "size"]).where("id != refers_to").select("id", "refers_to").distinct()
+    return rows.join(first, ["digest", "size"]).where("id != refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def write_packages(pages: DataFrame, folder: str, id_col="page_id", uri_col="url", payload_col="html", min_bytes: int = 0) -> DataFrame:
@@ -190,8 +200,12 @@ def write_packages(pages: DataFrame, folder: str, id_col="page_id", uri_col="url
     and returns (path, records).  A package is written under a name of its attempt
     and then named in the result, so tasks may run again."""
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    link = revisits(pages, F.sha1(F.encode(payload, "utf-8")), min_bytes, id_col, payload)
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload")).join(link.withColumn("id", F.col("id").cast("long")), "id", "left")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("payload", "utf-8"))))
+    link = written(revisits(rows.select("id", "digest", F.octet_length("payload").alias("size")).where(F.col("size") >= min_bytes)))
+    if link.count() <= BROADCAST_LINKS:
+        link = F.broadcast(link)
+    rows = rows.join(link, ["id", "digest"], "left").select("id", "uri", "payload", "digest", "refers_to")
 
     def run(batches):
         zip_, out, lines, path = None, None, [], None
@@ -206,7 +220,7 @@ def write_packages(pages: DataFrame, folder: str, id_col="page_id", uri_col="url
                     zip_.open(ARCHIVE)
                 body = batch.column("payload")[i].as_buffer().to_pybytes()
                 key, refers = batch.column("id")[i].as_py(), batch.column("refers_to")[i].as_py()
-                digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                digest = base64.b32encode(batch.column("digest")[i].as_py()).decode()
                 uri = (batch.column("uri")[i].as_py() or "").replace("\r", "").replace("\n", "")
                 raw = gzip.compress(warc_record("response" if refers is None else "revisit", uri, key, digest, len(body), body, refers), 1, mtime=0)
                 at = zip_.member["size"]
@@ -239,9 +253,12 @@ def read_packages(packages: DataFrame, path_col="path", with_payload: bool = Fal
                 with store.open_input_file(name) as f:
                     rows, held = [], 0
                     for warc, http, payload in read_package(lambda at, n: f.read_at(n, at), f.size()):
-                        number = lambda key: int(warc[key].rsplit(":", 1)[1].rstrip(">")) if key in warc else None  # noqa: B023, E731
+                        number = lambda key: int(warc[key].rsplit(":", 1)[1].rstrip(">")) if ":page:" in warc.get(key, "") else None  # noqa: B023, E731
                         revisit = warc["warc-type"] == "revisit"
-                        rows.append((number("warc-record-id"), warc["warc-target-uri"], int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:"), warc["warc-type"], number("warc-refers-to"), None if revisit else payload))
+                        size, digest = int(http["content-length"]), warc["warc-payload-digest"].removeprefix("sha1:")
+                        if not revisit and (size, digest) != (own := (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())):
+                            raise ValueError(f"{path}: record {warc['warc-record-id']} says {size} bytes, {digest}; its payload has {own}")
+                        rows.append((number("warc-record-id"), warc["warc-target-uri"], size, digest, warc["warc-type"], number("warc-refers-to"), None if revisit else payload))
                         held += len(payload) if with_payload else 100
                         if held > BATCH:
                             yield _batch(rows, with_payload)
