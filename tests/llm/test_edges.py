@@ -51,3 +51,47 @@ def test_archive_digest_is_that_of_the_payload(spark, tmp_path):
         z.finish()
     with pytest.raises(Exception, match="its payload has"):
         w.read_packages(spark.createDataFrame([(f"file://{path}", 1)], "path string, records long")).collect()
+
+
+def lines_left(rows, min_words=50, min_lines=3):
+    """Brute force of line dedup: a line goes if it lies in a run that an earlier place has."""
+    docs = []
+    for i, text in sorted({r for r in rows if None not in r}):
+        lines = [(p, x) for p, x in enumerate(text.split("\n")) if x.strip(" ")]
+        docs.append((i, text, lines))
+    seen, gone = set(), {}
+    for size in range(1, 12):  # every run, however long
+        seen.clear()
+        for i, text, lines in docs:
+            for a in range(len(lines) - size + 1):
+                run = lines[a : a + size]
+                if size < min_lines and sum(len(x.strip(" ").split(" ")) for _, x in run) < min_words:
+                    continue
+                if (key := tuple(x for _, x in run)) in seen:
+                    gone.setdefault((i, text), set()).update(p for p, _ in run)
+                seen.add(key)
+    return [(i, t if not gone.get((i, t)) else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i, t])) for i, t in rows]
+
+
+def test_lines_against_brute_force(spark):
+    from vicinity.llm.line_dedup import dedup_lines
+
+    rng = random.Random(7)
+    line = lambda: rng.choice([f"l{rng.randrange(6)}", f"own {rng.random()}", "w " * rng.choice([20, 30, 49, 59]) + str(rng.randrange(2)), "", " "])
+    rows = [(rng.randrange(60), "\n".join(line() for _ in range(rng.randrange(1, 12)))) for _ in range(120)]
+    # unique texts of one id come in an order of their own, so only ids with one text are compared in full
+    rows = list({i: (i, t) for i, t in rows}.values()) + [(100, "\n".join(["x"] * 9)), (101, "x\nx\nx"), (102, "l1\nl2\nl3\nl4\nl5\nl1\nl2\nl3")]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(lines_left(rows))
+
+
+def test_lines_of_repeated_ids_and_odd_columns(spark):
+    from vicinity.llm.line_dedup import dedup_lines
+
+    run, own = "r1\nr2\nr3\nr4", "own a\nown b\nown c\nown d\nown e"
+    rows = [(1, run), (5, run), (5, own), (5, own), (None, run), (6, None), (7, ""), (8, "tail\n" + run)]
+    table = spark.createDataFrame([(*r, [1], 2, "k") for r in rows], "doc_id long, text string, gone_mask array<int>, n_removed int, Gone_ID string")
+    out = dedup_lines(table)
+    assert out.columns == ["doc_id", "text", "gone_mask", "Gone_ID", "n_lines", "n_removed"]
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == sorted([(1, run, 4, 0), (5, "", 4, 4), (5, own, 5, 0), (5, own, 5, 0), (None, run, 4, 0), (6, None, 0, 0), (7, "", 0, 0), (8, "tail", 5, 4)], key=str)
+    assert dedup_lines(table.limit(0)).count() == 0
