@@ -85,13 +85,14 @@ def repeated_lines(docs: DataFrame, id_col="doc_id", text_col="text", min_words:
     how = (min_words, min_lines)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("t"), _lines(F.col(text_col)).alias("lines"))
-    rows = rows.select("id", "t", "lines", _selected(F.col("lines"), *how).alias("at")).where(F.size("at") > 0)
+    rows = rows.select("id", "t", "lines", _selected(F.col("lines"), *how).alias("at"))
     reach = min_lines - 1
     around = lambda i: F.transform(F.sequence(i - reach, i + reach), lambda k: F.get("lines", k))
     marks = F.transform("at", lambda i: F.struct(i.alias("i"), F.get("lines", i).h.alias("mark"), around(i).alias("around")))
-    marks = written(rows.select("id", "t", F.explode(marks).alias("m")).select("id", "t", "m.*"))
+    # explode_outer: a filter on the array's size would be pushed down and compute lines for every use
+    marks = written(rows.select("id", "t", F.explode_outer(marks).alias("m")).where("m IS NOT NULL").select("id", "t", "m.*"))
     again = marks.groupBy("mark").agg(F.count("*").alias("places")).where("places > 1").select("mark")
-    runs = marks.join(again, "mark").select("id", "t", "mark", F.explode(_runs(F.col("around"), F.col("i"), *how)).alias("r")).select("id", "t", "mark", "r.*")
+    runs = marks.join(again, "mark").select("id", "t", "mark", F.explode_outer(_runs(F.col("around"), F.col("i"), *how)).alias("r")).where("r IS NOT NULL").select("id", "t", "mark", "r.*")
     place = F.struct("id", "t", "start")
     first = runs.groupBy("mark", "run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("last > first").drop("last")
     later = runs.join(first, ["mark", "run"]).where(place > F.col("first"))
