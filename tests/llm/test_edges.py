@@ -95,3 +95,65 @@ def test_lines_of_repeated_ids_and_odd_columns(spark):
     assert out.columns == ["doc_id", "text", "gone_mask", "Gone_ID", "n_lines", "n_removed"]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == sorted([(1, run, 4, 0), (5, "", 4, 4), (5, own, 5, 0), (5, own, 5, 0), (None, run, 4, 0), (6, None, 0, 0), (7, "", 0, 0), (8, "tail", 5, 4)], key=str)
     assert dedup_lines(table.limit(0)).count() == 0
+
+
+def test_jaccard_regions_and_buckets(spark):
+    """Large regions are split around pivots, recursively, and any number of buckets
+    gives the same links; a passage and copies that meet in one chunk."""
+    from vicinity.llm import jaccard_join as j
+
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    texts = []
+    for c in range(14):  # clusters of near copies that all share a passage
+        own = [word() for _ in range(70 if c % 2 else 25)]
+        for _ in range(rng.randrange(1, 9)):
+            w = [*own, *passage] if c % 3 else list(own)
+            for _ in range(rng.randrange(0, 9)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts += [texts[3]] * 5
+    sets = [{tuple(w[k : k + 5]) for w in [t.split()] for k in range(len(w) - 4)} for t in texts]
+    group = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if g == high else g for g in group]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for how in ({"bits": 18}, {"bits": 9, "region": 8, "rounds": 3}, {"region": 6, "rounds": 1}, {"region": 20}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(table, **how).collect()}
+        assert [got[i] for i in range(len(texts))] == [(len(s), g) for s, g in zip(sets, group)]
+
+
+def test_jaccard_region_in_memory():
+    """The recursion in a task spans what comparing all pairs spans."""
+    import numpy as np
+
+    from vicinity.llm.jaccard_join import _join_region
+
+    rng = np.random.default_rng(3)
+    lists = []
+    for _ in range(40):
+        base = rng.choice(4000, 60, replace=False)
+        for _ in range(6):
+            s = base.copy()
+            s[: rng.integers(0, 14)] = rng.choice(4000, 60)[: 1]
+            lists.append(np.unique(s).astype(np.int64))
+    n, ids = np.array([len(s) for s in lists]), np.arange(len(lists))
+    for home in (np.ones(len(lists), bool), rng.random(len(lists)) < 0.4):
+        want = list(range(len(lists)))
+        got = list(range(len(lists)))
+
+        def join(g, a, b):
+            low, high = sorted((g[a], g[b]))
+            g[:] = [low if x == high else x for x in g]
+
+        for a in range(len(lists)):
+            for b in range(a):
+                if (home[a] or home[b]) and 100 * len(np.intersect1d(lists[a], lists[b])) >= 75 * len(np.union1d(lists[a], lists[b])):
+                    join(want, a, b)
+        for a, b in _join_region(ids, n, lists, 75, home, ids, leaf=8, pivots=4):
+            join(got, a, b)
+        assert got == want and len(set(want)) > 20
