@@ -13,10 +13,14 @@ FIRST_YEAR = 1500
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def finite(c: Column) -> Column:
     """The number as double; NaN and infinities are null."""
-    d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d)
+    return bound(c.cast("double"), lambda d: F.when(~F.isnan(d) & (F.abs(d) < float("inf")), d))
 
 
 def parse_number(c: Column) -> Column:
@@ -24,16 +28,19 @@ def parse_number(c: Column) -> Column:
     last is the decimal one, a lone comma is decimal, dots in groups of three are
     thousands.  Null if there is no number."""
     bare = F.regexp_replace(F.replace(F.replace(c, F.lit("R$"), F.lit("")), F.lit("r$"), F.lit("")), r"(?U)\s+", "")
-    n = F.regexp_substr(bare, F.lit(r"[-+]?\d[\d.,]*"))
-    comma, dot = n.contains(","), n.contains(".")
-    last = lambda s: F.length(n) - F.locate(s, F.reverse(n))
     drop = lambda x, s: F.replace(x, F.lit(s), F.lit(""))
-    as_decimal = F.replace(drop(n, "."), F.lit(","), F.lit("."))
-    text = (
-        F.when(comma & dot, F.when(last(",") > last("."), as_decimal).otherwise(drop(n, ",")))
-        .when(comma, F.replace(n, F.lit(","), F.lit("."))).when(dot & n.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$"), drop(n, ".")).otherwise(n)
-    )
-    return finite(text.try_cast("double"))
+
+    def plain(n: Column) -> Column:
+        comma, dot = n.contains(","), n.contains(".")
+        last = lambda s: F.length(n) - F.locate(s, F.reverse(n))
+        as_decimal = F.replace(drop(n, "."), F.lit(","), F.lit("."))
+        text = (
+            F.when(comma & dot, F.when(last(",") > last("."), as_decimal).otherwise(drop(n, ",")))
+            .when(comma, F.replace(n, F.lit(","), F.lit("."))).when(dot & n.rlike(r"^[-+]?\d{1,3}(\.\d{3})+$"), drop(n, ".")).otherwise(n)
+        )
+        return text.try_cast("double")
+
+    return finite(bound(F.regexp_substr(bare, F.lit(r"[-+]?\d[\d.,]*")), plain))
 
 
 def number(c: Column, dtype: str) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import valid_coordinates, valid_year
 from ..functions.text import group_value
-from .knn import FEATURES, estimates, neighbours, resolve_targets, with_profiles
+from ..sources.stage import staged
+from .knn import FEATURES, estimates, neighbours, resolve_targets
+from .robust import by_name, quantiles
 
 
 def eligible(market: DataFrame, last_year: int, territorial: bool = False, reference_area: str = "built_area", sales_only: bool = True) -> DataFrame:
@@ -38,7 +40,7 @@ def as_targets(rows: DataFrame, territorial: bool = False) -> DataFrame:
 def backtest(market: DataFrame, targets: DataFrame, last_year: int, local_filter: bool = True) -> DataFrame:
     """(target_id, purpose, actual, predicted, k_used, n_eff, ratio, ape); targets that
     can't be valued have null predictions."""
-    t = resolve_targets(with_profiles(targets), last_year)
+    t = staged(resolve_targets(targets, last_year, market.columns))
     est = estimates(neighbours(market, t, last_year, local_filter)).select("target_id", "k_used", "n_eff", F.col("unit_estimate").alias("predicted"))
     out = t.select("target_id", "purpose", "actual").join(est, "target_id", "left")
     return out.withColumns({"ratio": F.col("predicted") / F.col("actual"), "ape": F.abs(F.col("predicted") - F.col("actual")) / F.col("actual")})
@@ -49,13 +51,15 @@ def metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
     whole = not by
     by = by or ["_all"]
     predictions = predictions.withColumn("_all", F.lit(1)) if whole else predictions
-    e, ok = F.col("predicted") - F.col("actual"), F.col("predicted").isNotNull()
-    p = predictions.withColumn("e", e)
-    med = p.where(ok).groupBy(*by).agg(F.percentile("ratio", F.lit(0.5)).alias("mr"), F.avg("actual").alias("ma"))
+    ok = F.col("predicted").isNotNull()
+    p = staged(predictions.select(*by, "predicted", "actual", "ratio", "ape").withColumn("e", F.col("predicted") - F.col("actual")))
+    q = quantiles(p.where(ok), by, {"ratio": F.col("ratio"), "error": F.abs("e"), "ape": F.col("ape"), "bias": F.col("e") / F.col("actual")}, [0.5, 0.9])
+    med = by_name(q, by, {"median_ratio": ("ratio", 0), "medae": ("error", 0), "mdape": ("ape", 0), "p90_ape": ("ape", 1), "median_bias": ("bias", 0)})
+    med = staged(p.groupBy(*by).agg(F.avg(F.when(ok, F.col("actual"))).alias("ma")).join(med, by, "left"))
     a = p.join(med, by).groupBy(*by).agg(
-        F.count("predicted").alias("n_tested"), F.count_if(~ok).alias("n_failed"), F.avg(F.abs("e")).alias("mae"), F.percentile(F.abs("e"), F.lit(0.5)).alias("medae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
-        F.percentile("ape", F.lit(0.5)).alias("mdape"), F.avg("ape").alias("mape"), F.percentile("ape", F.lit(0.9)).alias("p90_ape"), F.percentile(F.col("e") / F.col("actual"), F.lit(0.5)).alias("median_bias"),
-        (1 - F.sum(F.col("e") * F.col("e")) / F.nullif(F.sum(F.when(ok, F.pow(F.col("actual") - F.col("ma"), 2))), F.lit(0.0))).alias("r2"), (F.avg(F.abs(F.col("ratio") - F.col("mr"))) / F.max("mr") * 100).alias("cod"),
-        (F.avg("ratio") / (F.sum("predicted") / F.sum(F.when(ok, F.col("actual"))))).alias("prd"), F.max("mr").alias("median_ratio"),
+        F.count("predicted").alias("n_tested"), F.count_if(~ok).alias("n_failed"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("ape").alias("mape"),
+        (1 - F.sum(F.col("e") * F.col("e")) / F.nullif(F.sum(F.when(ok, F.pow(F.col("actual") - F.col("ma"), 2))), F.lit(0.0))).alias("r2"), (F.avg(F.abs(F.col("ratio") - F.col("median_ratio"))) / F.max("median_ratio") * 100).alias("cod"),
+        (F.avg("ratio") / (F.sum("predicted") / F.sum(F.when(ok, F.col("actual"))))).alias("prd"),
     )
+    a = a.join(med.drop("ma"), by)
     return a.drop("_all") if whole else a

@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.params import DISCOUNT_CAP, OFFERS_ONLY_DISCOUNT
+from ..sources.stage import staged
+from .robust import quantiles
 
 
 def offer_discount(df: DataFrame, group: list[str], unit: str = "unit_value", is_sale: str = "is_sale", is_offer: str = "is_offer", cap: float = DISCOUNT_CAP) -> DataFrame:
@@ -12,20 +14,20 @@ def offer_discount(df: DataFrame, group: list[str], unit: str = "unit_value", is
 
     With two of each, n = clip(min(counts), 5, 19) levels from 0.1 to 0.9; the median
     of 1 - sale quantile / offer quantile, clipped to [0, cap].  Only offers: a fixed
-    10 %.  One exact-percentile aggregation by group: each of the 15 possible level
-    sets is read from the same sorted buffer.
+    10 %.  Counts first, then both sides' quantiles at each group's own levels.
     """
     price = F.when(F.col(unit) > 0, F.col(unit))
-    sale, offer = F.when(F.col(is_sale), price), F.when(F.col(is_offer), price)
-    every = sorted({round(0.1 + 0.8 * i / (n - 1), 12) for n in range(5, 20) for i in range(n)})
-    levels = F.array(*map(F.lit, every))
-    stats = df.groupBy(*group).agg(F.count(sale).alias("n_sales"), F.count(offer).alias("n_offers"), F.percentile(sale, levels).alias("qs"), F.percentile(offer, levels).alias("qo"))
+    rows = staged(df.select(*group, F.when(F.col(is_sale), price).alias("s"), F.when(F.col(is_offer), price).alias("o")))
+    stats = rows.groupBy(*group).agg(F.count("s").alias("n_sales"), F.count("o").alias("n_offers"))
     both = (F.col("n_sales") >= 2) & (F.col("n_offers") >= 2)
-    n = F.when(both, F.greatest(F.lit(5), F.least(F.lit(19), F.least("n_sales", "n_offers")))).cast("int")
-    place = {n_: [every.index(round(0.1 + 0.8 * i / (n_ - 1), 12)) + 1 for i in range(n_)] for n_ in range(5, 20)}
-    at = F.coalesce(*(F.when(F.col("n_quantiles") == n_, F.array(*map(F.lit, p))) for n_, p in place.items()))
-    ratio = F.transform(at, lambda k: F.when(F.element_at("qo", k) > 0, 1 - F.element_at("qs", k) / F.element_at("qo", k)))
-    out = stats.withColumn("n_quantiles", n).withColumn("d", F.array_sort(F.array_compact(ratio)))
+    stats = staged(stats.withColumn("n_quantiles", F.when(both, F.greatest(F.lit(5), F.least(F.lit(19), F.least("n_sales", "n_offers")))).cast("int")))
+    # levels depend on both counts, so a group's rows are asked at the levels of its n_quantiles
+    rows = rows.join(stats.where("n_quantiles IS NOT NULL").select(*group, "n_quantiles"), group)
+    levels = lambda _: F.transform(F.sequence(F.lit(0), F.col("n_quantiles") - 1), lambda i: F.lit(0.1) + F.lit(0.8) * i / (F.col("n_quantiles") - 1))
+    q = quantiles(rows, [*group, "n_quantiles"], {"s": F.col("s"), "o": F.col("o")}, levels)
+    q = q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q{c}") for c in ("s", "o")))
+    ratio = F.zip_with("qs", "qo", lambda a, b: F.when(b > 0, 1 - a / b))
+    out = stats.join(q, group, "left").withColumn("d", F.array_sort(F.array_compact(ratio)))
     m = F.size("d")
     median = F.when(m > 0, (F.element_at("d", F.floor((m + 1) / 2).cast("int")) + F.element_at("d", F.floor((m + 2) / 2).cast("int"))) / 2)
     mean = F.when(m > 0, F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / m)

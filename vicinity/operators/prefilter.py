@@ -12,6 +12,8 @@ from ..functions import roles
 from ..functions.numbers import number, transmitted_share
 from ..functions.text import NON_MARKET, norm
 from ..plans.params import floor_of
+from ..sources.stage import staged
+from .robust import quantiles
 
 SYMBOLIC = 1.00
 MIN_TESTED, MIN_EXCLUDE, ALERT_Z, EXCLUDE_Z, OUTER_IQR = 8, 15, 2.5, 3.5, 3.0
@@ -68,10 +70,11 @@ def apply_rules(df: DataFrame, purpose: str = "purpose", is_sale: Column | None
 
 def robust_bounds(df: DataFrame, group: list[str], is_sale: Column) -> DataFrame:
     """Per group the statistics of log unit values of sales that the rules keep."""
-    sales = df.where((F.col("_status") == "kept") & is_sale)
-    centre = sales.groupBy(*group).agg(F.count("*").alias("n_tested"), F.percentile("_log_unit", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    spread = sales.join(centre, group).groupBy(*group).agg(F.percentile(F.abs(F.col("_log_unit") - F.col("q")[1]), F.lit(0.5)).alias("mad"))
-    return centre.join(spread, group).select(*group, "n_tested", F.col("q")[1].alias("med"), "mad", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    sales = staged(df.where((F.col("_status") == "kept") & is_sale).select(*group, "_log_unit"))
+    q = quantiles(sales, group, {"x": F.col("_log_unit")}, [0.25, 0.5, 0.75])
+    centre = q.select(*group, F.col("n").alias("n_tested"), *(F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("q1", "med", "q3"))))
+    spread = quantiles(sales.join(centre, group), group, {"x": F.abs(F.col("_log_unit") - F.col("med"))}, [0.5])
+    return centre.join(spread.select(*group, F.get("q", F.lit(0)).alias("mad")), group)
 
 
 def robust_filter(df: DataFrame, group: list[str], is_sale: Column) -> DataFrame:

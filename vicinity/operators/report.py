@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import valid_coordinates, valid_year
 from ..functions.text import brazilian_money, brazilian_number, brazilian_percent
+from ..sources.stage import staged
+from .robust import by_name, quantiles
 
 CONTROL = ("_row_id", "_status", "_stage", "_reasons", "_alert", "_flagged", "unit_value", "adjusted_unit", "_floor", "_score", "_low", "_high")
 
@@ -54,7 +56,9 @@ def map_table(near: DataFrame) -> DataFrame:
 
 def map_view(points: DataFrame, by: list[str]) -> DataFrame:
     """Centre (medians) and zoom of a map of points."""
-    v = points.groupBy(*by).agg(F.percentile("lat", F.lit(0.5)).alias("lat"), F.percentile("lon", F.lit(0.5)).alias("lon"), F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("span"), F.count("*").alias("n_points"))
+    points = staged(points.select(*by, "lat", "lon"))
+    v = points.groupBy(*by).agg(F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon")).alias("span"), F.count("*").alias("n_points"))
+    v = v.join(by_name(quantiles(points, by, {"lat": F.col("lat"), "lon": F.col("lon")}, [0.5]), by, {"lat": ("lat", 0), "lon": ("lon", 0)}), by, "left")
     zoom = F.lit(7.8)
     for limit, z in reversed(ZOOMS):
         zoom = F.when(F.col("span") <= limit, z).otherwise(zoom)

@@ -1,35 +1,99 @@
-"""Robust statistics by group, as aggregations and windows."""
+"""Robust statistics by group, as aggregations and windows.
+
+Groups may hold any share of all rows.  Exact quantiles go by value buckets: a sketch
+gives cut points of each group, rows are counted by bucket (combined before the
+shuffle), and only the buckets that hold a wanted rank are sorted, each on its own.
+"""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
+
 TINY = 1e-12
+BUCKETS, STEP = 1024, 32  # of a group's values, and how many share a coarse cut
+
+
+def _bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (*keys, v, ...) with the number of their value's bucket, staged."""
+    rows = staged(rows)
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("v", F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS))), F.lit(4 * BUCKETS)).alias("_cuts"))
+    cuts = staged(cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(STEP), F.lit(BUCKETS - STEP), F.lit(STEP)), lambda i: F.element_at("_cuts", i))))
+    below = lambda c: F.size(F.filter(c, lambda x: x < F.col("v")))
+    rows = rows.join(cuts, keys).withColumn("_part", below(F.col("_coarse"))).withColumn("_b", F.col("_part") * STEP + below(F.slice("_cuts", F.col("_part") * STEP + 1, STEP)))
+    return staged(rows.drop("_cuts", "_coarse", "_part"))
+
+
+def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], levels: list[float] | Callable[[Column], Column]) -> DataFrame:
+    """(*group, name, n, q): linear quantiles of each named value, nulls left out; levels
+    are numbers, or a function that gives their array from the count."""
+    keys = [*group, "name"]
+    each = F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()))
+    rows = _bucketed(df.select(*group, F.explode(each).alias("r")).select(*group, "r.*").where("v IS NOT NULL"), keys)
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("m"))
+    order = Window.partitionBy(*keys).orderBy("_b")
+    counts = counts.withColumns({"before": F.sum("m").over(order) - F.col("m"), "n": F.sum("m").over(Window.partitionBy(*keys))})
+    wanted = levels(F.col("n")) if callable(levels) else F.array(*map(F.lit, levels))
+    ends = F.flatten(F.transform(wanted, lambda x, i: F.transform(F.array(F.floor(x * (F.col("n") - 1)), F.ceil(x * (F.col("n") - 1))), lambda k, e: F.struct(i.alias("i"), e.alias("end"), k.alias("k"), (x * (F.col("n") - 1) - F.floor(x * (F.col("n") - 1))).alias("part")))))
+    hits = counts.withColumn("ends", ends).withColumn("ends", F.filter("ends", lambda r: (r.k >= F.col("before")) & (r.k < F.col("before") + F.col("m")))).where(F.size("ends") > 0).select(*keys, "_b", "before", "n", "ends")
+    held = rows.join(hits, [*keys, "_b"]).withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("v")) - 1)
+    found = held.select(*keys, "n", "v", F.explode(F.filter("ends", lambda r: r.k == F.col("at"))).alias("r")).groupBy(*keys, "n", "r.i").agg(F.max(F.when(F.col("r.end") == 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("r.end") == 1, F.col("v"))).alias("hi"), F.max("r.part").alias("part"))
+    one = F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
+    return staged(found.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r.q).alias("q")))
+
+
+def by_name(q: DataFrame, group: list[str], fields: dict[str, tuple[str, int]]) -> DataFrame:
+    """One row per group from quantiles(): column -> (name, number of the level)."""
+    return q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == name, F.get("q", F.lit(k)))).alias(c) for c, (name, k) in fields.items()))
 
 
 def center_scale(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
     """Per group and column: <c>_center (median) and <c>_scale: the quartile range,
     or 1.4826 * MAD, or the population deviation, or max(|center|, 1), each where
     those before are near zero.  Nulls are left out; without values 0 and 1."""
-    q = {c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns}
-    first = df.groupBy(*group).agg(*(q[c].alias(f"{c}_q") for c in columns), *(F.stddev_pop(c).alias(f"{c}_s") for c in columns))
+    q = quantiles(df, group, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
+    first = df.groupBy(*group).agg(*(F.stddev_pop(c).alias(f"{c}_s") for c in columns))
+    first = first.join(by_name(q, group, {f"{c}_{k}": (c, k) for c in columns for k in range(3)}), group, "left")
+    flat = q.where(F.get("q", F.lit(2)) - F.get("q", F.lit(0)) <= TINY)
     # the deviation from the median is needed only where the quartiles coincide
-    off = lambda c: F.when(F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0] <= TINY, F.abs(F.col(c) - F.col(f"{c}_q")[1]))
-    second = df.join(first, group).groupBy(*group).agg(*(F.percentile(off(c), F.lit(0.5)).alias(f"{c}_m") for c in columns))
-    out = first.join(second, group)
+    if flat.isEmpty():
+        first = first.withColumns({f"{c}_m": F.lit(None).cast("double") for c in columns})
+    else:
+        middle = by_name(flat, group, {f"{c}_c": (c, 1) for c in columns})
+        off = quantiles(df.join(middle, group), group, {c: F.abs(F.col(c) - F.col(f"{c}_c")) for c in columns}, [0.5])
+        first = first.join(by_name(off, group, {f"{c}_m": (c, 0) for c in columns}), group, "left")
 
     def scale(c: str) -> Column:
-        median = F.coalesce(F.col(f"{c}_q")[1], F.lit(0.0))
-        options = (F.col(f"{c}_q")[2] - F.col(f"{c}_q")[0], 1.4826 * F.col(f"{c}_m"), F.col(f"{c}_s"))
+        median = F.coalesce(F.col(f"{c}_1"), F.lit(0.0))
+        options = (F.col(f"{c}_2") - F.col(f"{c}_0"), 1.4826 * F.col(f"{c}_m"), F.col(f"{c}_s"))
         return F.coalesce(*(F.when(o > TINY, o) for o in options), F.greatest(F.abs(median), F.lit(1.0)))
 
-    return out.select(*group, *(F.coalesce(F.col(f"{c}_q")[1], F.lit(0.0)).alias(f"{c}_center") for c in columns), *(scale(c).alias(f"{c}_scale") for c in columns))
+    return first.select(*group, *(F.coalesce(F.col(f"{c}_1"), F.lit(0.0)).alias(f"{c}_center") for c in columns), *(scale(c).alias(f"{c}_scale") for c in columns))
+
+
+def weighted_quantiles(df: DataFrame, group: list[str], value: Column, weight: Column, q: dict[str, float], tie: str) -> DataFrame:
+    """weighted_quantile() for groups of any size: weights are summed by bucket, and only
+    the buckets in which a level is reached are sorted."""
+    rows = _bucketed(df.select(*group, value.alias("v"), weight.alias("w"), F.col(tie).alias("t")).where("v IS NOT NULL AND w > 0"), group)
+    sums = rows.groupBy(*group, "_b").agg(F.sum("w").alias("own"))
+    order = Window.partitionBy(*group).orderBy("_b")
+    sums = sums.withColumn("upto", F.sum("own").over(order)).withColumn("before", F.coalesce(F.lag("upto").over(order), F.lit(0.0))).withColumn("total", F.max("upto").over(Window.partitionBy(*group)))
+    reached = lambda x: (F.col("before") < x * F.col("total")) & (F.col("upto") >= x * F.col("total"))
+    hits = sums.withColumns({f"_is_{name}": reached(level) for name, level in q.items()}).where(" OR ".join(f"_is_{name}" for name in q)).drop("own", "upto")
+    run = Window.partitionBy(*group, "_b").orderBy("v", "t").rowsBetween(Window.unboundedPreceding, 0)
+    held = rows.join(hits, [*group, "_b"]).withColumn("c", F.col("before") + F.sum("w").over(run))
+    # the last row of a bucket that reaches a level stands in where sums in another order fall short of it
+    first = lambda name, level: F.coalesce(F.min(F.when(F.col(f"_is_{name}") & (F.col("c") >= level * F.col("total")), F.col("v"))), F.max(F.when(F.col(f"_is_{name}"), F.col("v"))))
+    return held.groupBy(*group).agg(*(first(name, level).alias(name) for name, level in q.items()))
 
 
 def weighted_quantile(df: DataFrame, group: list[str], value: Column, weight: Column, q: dict[str, float], tie: str) -> DataFrame:
     """Per group, for each named level: the first value, in order, whose cumulative
     weight reaches level * total.  Values or weights that are null or not positive
-    weights are left out."""
+    weights are left out.  One window a group: for groups of bounded size."""
     rows = df.select(*group, value.alias("_v"), weight.alias("_w"), F.col(tie).alias("_t")).where("_v IS NOT NULL AND _w > 0")
     order = Window.partitionBy(*group).orderBy("_v", "_t")
     rows = rows.withColumn("_c", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -37,12 +101,36 @@ def weighted_quantile(df: DataFrame, group: list[str], value: Column, weight: Co
     return rows.groupBy(*group).agg(*(F.min(F.when(F.col("_c") >= level * F.col("_total"), F.col("_v"))).alias(name) for name, level in q.items()))
 
 
+def capped_weights_of_many(df: DataFrame, group: list[str], raw: Column, cap: float, tie: str) -> DataFrame:
+    """capped_weights() for groups of any size and one cap: no more than 1 / cap rows can
+    be at the cap, so the largest of each group and sums tell all weights.  Of groups
+    smaller than 1 / cap every row weighs the same."""
+    most = int(1 / cap) + 1
+    rows = df.withColumn("_raw", F.when(raw > 0, raw).otherwise(0.0))
+    whole = rows.groupBy(*group).agg(F.sum("_raw").alias("_sum"), F.count("*").alias("_n"))
+    top = rows.select(*group, "_raw", F.col(tie).alias("_t")).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_raw"), "_t"))).where(F.col("_k") <= most)
+    lists = top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_raw", "_t"))), lambda r: F.struct(r._raw.alias("r"), r._t.alias("t"))).alias("_top"))
+    head = whole.join(lists, group).withColumn("_cap", F.least(F.lit(1.0), F.greatest(F.lit(cap), 1 / F.col("_n"))))
+    raws = F.transform("_top", lambda r: r.r)
+    tail = lambda m: F.col("_sum") - F.aggregate(F.slice(raws, 1, m), F.lit(0.0), lambda a, x: a + x)
+    fits = F.filter(F.sequence(F.lit(0), F.size("_top") - 1), lambda m: (tail(m) > 0) & ((1 - m * F.col("_cap")) * F.get(raws, m) <= (F.col("_cap") + 1e-15) * tail(m)))
+    head = head.withColumn("_m", F.coalesce(F.array_min(fits), F.size("_top"))).withColumn("_rest", tail(F.col("_m")))
+    head = staged(head.withColumn("_last", F.get("_top", F.col("_m") - 1)).select(*group, "_sum", "_n", "_cap", "_m", "_rest", "_last"))
+    rows = rows.join(head, group)
+    capped = (F.col("_m") > 0) & ((F.col("_raw") > F.col("_last.r")) | ((F.col("_raw") == F.col("_last.r")) & (F.col(tie) <= F.col("_last.t"))))
+    share = F.when(F.coalesce(capped, F.lit(False)), F.col("_cap")).otherwise((1 - F.col("_m") * F.col("_cap")) * F.col("_raw") / F.col("_rest"))
+    # shares sum to one, but where all rows there are, are at the cap, or nothing weighs
+    same = (F.col("_sum") <= 0) | (F.col("_m") >= F.col("_n"))
+    return rows.withColumn("weight", F.when(same, 1 / F.col("_n")).otherwise(share)).drop("_raw", "_sum", "_n", "_cap", "_m", "_rest", "_last")
+
+
 def capped_weights(df: DataFrame, group: list[str], raw: Column, cap: Column, tie: str) -> DataFrame:
     """Adds weight: raw weights scaled to sum 1 with none above max(cap, 1/n).
 
     Closed form of raising and sharing out in turns: with weights from high to low,
     the smallest m for which the largest of the rest fits under the cap once m are at
-    it; those m get the cap and the rest share what is left in proportion.
+    it; those m get the cap and the rest share what is left in proportion.  Windows over
+    each group: for groups of bounded size.
     """
     w = Window.partitionBy(*group).orderBy(F.desc("_raw"), tie)
     whole = Window.partitionBy(*group)

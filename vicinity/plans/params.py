@@ -60,12 +60,11 @@ DISCOUNT_CAP, OFFERS_ONLY_DISCOUNT = 0.20, 0.10
 
 
 def by_purpose(purpose: Column, table: dict, default, field: str | None = None) -> Column:
-    """A value of the table for a (not normalised) purpose column."""
+    """A value of the table for a (not normalised) purpose column: one look-up in a map,
+    so that the purpose is normalised once."""
     get = (lambda v: v) if field is None else (lambda v: asdict(v)[field])
-    t, out = norm(purpose), F.lit(get(default))
-    for key, value in table.items():
-        out = F.when(t == key, F.lit(get(value))).otherwise(out)
-    return out
+    pairs = [F.lit(x) for key, value in table.items() for x in (key, get(value))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), norm(purpose)), F.lit(get(default)))
 
 
 def floor_of(purpose: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from .functions import numbers as N
 from .functions import text as T
 from .operators import backtest as B
-from .operators import dedup, enrich, geocode, knn, prefilter, report
+from .operators import dedup, enrich, geocode, knn, prefilter, report, robust
 from .operators.discount import adjust, offer_discount
-from .operators.robust import capped_weights, center_scale, robust_mean, weighted_quantile
+from .operators.robust import by_name, capped_weights, center_scale, quantiles, robust_mean
 from .plans.params import FLOORS
 from .sources.market_view import LAST_YEAR, MARKET_SQL, market_rows
 from .sources.stage import staged
@@ -233,20 +233,22 @@ def discount_by_purpose(spark, sf_dir):
 
 @query(f"WITH {PRICED} SELECT purpose, is_offer, count(*) AS n, round(avg(unit), 6) AS mean_unit, round(median(unit), 6) AS median_unit FROM p GROUP BY 1, 2")
 def adjusted_units(spark, sf_dir):
-    return priced(spark, sf_dir).groupBy("purpose", "is_offer").agg(F.count("*").alias("n"), r6(F.avg("unit")).alias("mean_unit"), r6(F.percentile("unit", F.lit(0.5))).alias("median_unit"))
+    rows, by = staged(priced(spark, sf_dir).select("purpose", "is_offer", "unit")), ["purpose", "is_offer"]
+    middle = by_name(quantiles(rows, by, {"unit": F.col("unit")}, [0.5]), by, {"median": ("unit", 0)})
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), r6(F.avg("unit")).alias("mean_unit")).join(middle, by).select(*by, "n", "mean_unit", r6("median").alias("median_unit"))
 
 
 @query(f"""WITH {PRICED} SELECT purpose, round(median(unit), 6) AS unit_center, round(quantile_cont(unit, 0.75) - quantile_cont(unit, 0.25), 6) AS unit_scale,
   round(median(year), 6) AS year_center, round(quantile_cont(year, 0.75) - quantile_cont(year, 0.25), 6) AS year_scale, round(median(lot_area), 6) AS lot_area_center, round(quantile_cont(lot_area, 0.75) - quantile_cont(lot_area, 0.25), 6) AS lot_area_scale FROM p GROUP BY 1""")
 def center_scales(spark, sf_dir):
-    out = center_scale(priced(spark, sf_dir), ["purpose"], ["unit", "year", "lot_area"])
+    out = center_scale(staged(priced(spark, sf_dir).select("purpose", "unit", "year", "lot_area")), ["purpose"], ["unit", "year", "lot_area"])
     return out.select("purpose", *(r6(f"{c}_{s}").alias(f"{c}_{s}") for c in ("unit", "year", "lot_area") for s in ("center", "scale")))
 
 
 @query(f"""WITH {PRICED}, c AS (SELECT *, sum(area) OVER (PARTITION BY purpose ORDER BY unit, id) AS cw, sum(area) OVER (PARTITION BY purpose) AS tw FROM p)
 SELECT purpose, round(min(unit) FILTER (cw >= 0.25 * tw), 6) AS q25, round(min(unit) FILTER (cw >= 0.5 * tw), 6) AS q50, round(min(unit) FILTER (cw >= 0.75 * tw), 6) AS q75 FROM c GROUP BY 1""")
 def weighted_quantiles(spark, sf_dir):
-    out = weighted_quantile(priced(spark, sf_dir), ["purpose"], F.col("unit"), F.col("area"), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "id")
+    out = robust.weighted_quantiles(priced(spark, sf_dir), ["purpose"], F.col("unit"), F.col("area"), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, "id")
     return out.select("purpose", *(r6(c).alias(c) for c in ("q25", "q50", "q75")))
 
 
@@ -275,7 +277,7 @@ def valid_years(spark, sf_dir):
 
 
 def _distances(spark, sf_dir):
-    t = knn.resolve_targets(knn.with_profiles(nation_targets(spark, sf_dir)), LAST_YEAR)
+    t = knn.resolve_targets(nation_targets(spark, sf_dir), LAST_YEAR)
     return knn.distances(knn.pairs(candidates(spark, sf_dir), t, LAST_YEAR))
 
 
@@ -341,14 +343,14 @@ def alert_bands(spark, sf_dir):
 
 @query("""WITH p AS (SELECT o_orderstatus AS status, o_totalprice AS actual, s AS predicted FROM orders JOIN (SELECT l_orderkey, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE o_totalprice > 0),
 m AS (SELECT status, median(predicted / actual) AS mr, avg(actual) AS ma FROM p GROUP BY 1)
-SELECT status, count(*) AS n_tested, round(avg(abs(predicted - actual)), 4) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 4) AS rmse, round(median(abs(predicted - actual) / actual), 6) AS mdape, round(quantile_cont(abs(predicted - actual) / actual, 0.9), 6) AS p90_ape,
+SELECT status, count(*) AS n_tested, round(avg(abs(predicted - actual)), 2) AS mae, round(sqrt(avg(pow(predicted - actual, 2))), 2) AS rmse, round(median(abs(predicted - actual) / actual), 6) AS mdape, round(quantile_cont(abs(predicted - actual) / actual, 0.9), 6) AS p90_ape,
   round(1 - sum(pow(predicted - actual, 2)) / sum(pow(actual - ma, 2)), 6) AS r2, round(avg(abs(predicted / actual - mr)) / max(mr) * 100, 4) AS cod, round(avg(predicted / actual) / (sum(predicted) / sum(actual)), 6) AS prd, round(max(mr), 6) AS median_ratio FROM p JOIN m USING (status) GROUP BY 1""")
 def ratio_metrics(spark, sf_dir):
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_extendedprice").alias("predicted"))
     p = table(spark, sf_dir, "orders").where("o_totalprice > 0").join(s, "o_orderkey").select(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("actual"), "predicted")
     p = p.withColumns({"ratio": F.col("predicted") / F.col("actual"), "ape": F.abs(F.col("predicted") - F.col("actual")) / F.col("actual")})
     out = B.metrics(p, ["status"])
-    return out.select("status", "n_tested", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), r6("mdape").alias("mdape"), r6("p90_ape").alias("p90_ape"), r6("r2").alias("r2"), F.round("cod", 4).alias("cod"), r6("prd").alias("prd"), r6("median_ratio").alias("median_ratio"))
+    return out.select("status", "n_tested", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), r6("mdape").alias("mdape"), r6("p90_ape").alias("p90_ape"), r6("r2").alias("r2"), F.round("cod", 4).alias("cod"), r6("prd").alias("prd"), r6("median_ratio").alias("median_ratio"))
 
 
 @query()
