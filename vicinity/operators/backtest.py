@@ -24,7 +24,7 @@ def sample(rows: DataFrame, n: int, seed: int = 42, by: list[str] | None = None)
     `by`, n of each group."""
     from pyspark.sql import Window
 
-    draw = F.xxhash64(F.col("id"), F.lit(seed))
+    draw = F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")))
     if not by:
         return rows.orderBy(draw, "id").limit(n)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(draw, "id"))).where(F.col("_n") <= n).drop("_n")

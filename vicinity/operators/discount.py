@@ -1,6 +1,8 @@
 """Discount of asking prices against recorded sales, by paired quantiles."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,13 @@ def offer_discount(df: DataFrame, group: list[str], unit: str = "unit_value", is
     stats = rows.groupBy(*group).agg(F.count("s").alias("n_sales"), F.count("o").alias("n_offers"))
     both = (F.col("n_sales") >= 2) & (F.col("n_offers") >= 2)
     stats = staged(stats.withColumn("n_quantiles", F.when(both, F.greatest(F.lit(5), F.least(F.lit(19), F.least("n_sales", "n_offers")))).cast("int")))
-    # levels depend on both counts, so a group's rows are asked at the levels of its n_quantiles
-    rows = rows.join(stats.where("n_quantiles IS NOT NULL").select(*group, "n_quantiles"), group)
-    levels = lambda _: F.transform(F.sequence(F.lit(0), F.col("n_quantiles") - 1), lambda i: F.lit(0.1) + F.lit(0.8) * i / (F.col("n_quantiles") - 1))
-    q = quantiles(rows, [*group, "n_quantiles"], {"s": F.col("s"), "o": F.col("o")}, levels)
-    q = q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q{c}") for c in ("s", "o")))
+    # levels depend on both counts: groups are asked by their number of levels, 15 at most
+    sides = []
+    for (k,) in stats.where("n_quantiles IS NOT NULL").select("n_quantiles").distinct().collect():
+        own = rows.join(stats.where(F.col("n_quantiles") == k).select(*group), group)
+        q = quantiles(own, group, {"s": F.col("s"), "o": F.col("o")}, [0.1 + 0.8 * i / (k - 1) for i in range(k)])
+        sides.append(q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q{c}") for c in ("s", "o"))))
+    q = reduce(DataFrame.unionByName, sides) if sides else stats.select(*group, *(F.lit(None).cast("array<double>").alias(f"q{c}") for c in ("s", "o"))).limit(0)
     ratio = F.zip_with("qs", "qo", lambda a, b: F.when(b > 0, 1 - a / b))
     out = stats.join(q, group, "left").withColumn("d", F.array_sort(F.array_compact(ratio)))
     m = F.size("d")

@@ -1,48 +1,52 @@
 """Robust statistics by group, as aggregations and windows.
 
-Groups may hold any share of all rows.  Exact quantiles go by value buckets: a sketch
-gives cut points of each group, rows are counted by bucket (combined before the
-shuffle), and only the buckets that hold a wanted rank are sorted, each on its own.
+Groups may hold any share of all rows.  A group of up to SMALL rows is sorted by one
+task.  Of a larger one a sketch gives a bracket around each wanted value, rows below
+it are counted (combined before the shuffle), and only the rows inside, about a
+thousandth, are sorted: the result is exact.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stage import staged
 
 TINY = 1e-12
-BUCKETS, STEP = 1024, 32  # of a group's values, and how many share a coarse cut
-
-
-def _bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (*keys, v, ...) with the number of their value's bucket, staged."""
-    rows = staged(rows)
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("v", F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS))), F.lit(4 * BUCKETS)).alias("_cuts"))
-    cuts = staged(cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(STEP), F.lit(BUCKETS - STEP), F.lit(STEP)), lambda i: F.element_at("_cuts", i))))
-    below = lambda c: F.size(F.filter(c, lambda x: x < F.col("v")))
-    rows = rows.join(cuts, keys).withColumn("_part", below(F.col("_coarse"))).withColumn("_b", F.col("_part") * STEP + below(F.slice("_cuts", F.col("_part") * STEP + 1, STEP)))
-    return staged(rows.drop("_cuts", "_coarse", "_part"))
-
-
-def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], levels: list[float] | Callable[[Column], Column]) -> DataFrame:
-    """(*group, name, n, q): linear quantiles of each named value, nulls left out; levels
-    are numbers, or a function that gives their array from the count."""
-    keys = [*group, "name"]
+SMALL = 5_000
+ACCURACY, MARGIN = 10_000, 6e-4  # of the sketch: its error is 1 / ACCURACY of the ranks; the margin covers it, and two ranks, for more than SMALL rows
+SORTED = 200_000  # rows of a group whose weights one task sums in order
+BUCKETS, STEP = 256, 16  # of a large group's values where weights are summed, and how many share a coarse cut
+
+
+def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], levels: list[float]) -> DataFrame:
+    """(*group, name, n, q): linear quantiles of each named value at ascending levels,
+    nulls left out.  Levels must lie further apart than the sketch's margins."""
+    keys, every = [*group, "name"], range(len(levels))
+    if any(b - a < 4 * MARGIN for a, b in zip(levels[:-1], levels[1:])):
+        raise ValueError("levels must be ascending and apart")
     each = F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()))
-    rows = _bucketed(df.select(*group, F.explode(each).alias("r")).select(*group, "r.*").where("v IS NOT NULL"), keys)
-    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("m"))
-    order = Window.partitionBy(*keys).orderBy("_b")
-    counts = counts.withColumns({"before": F.sum("m").over(order) - F.col("m"), "n": F.sum("m").over(Window.partitionBy(*keys))})
-    wanted = levels(F.col("n")) if callable(levels) else F.array(*map(F.lit, levels))
-    ends = F.flatten(F.transform(wanted, lambda x, i: F.transform(F.array(F.floor(x * (F.col("n") - 1)), F.ceil(x * (F.col("n") - 1))), lambda k, e: F.struct(i.alias("i"), e.alias("end"), k.alias("k"), (x * (F.col("n") - 1) - F.floor(x * (F.col("n") - 1))).alias("part")))))
-    hits = counts.withColumn("ends", ends).withColumn("ends", F.filter("ends", lambda r: (r.k >= F.col("before")) & (r.k < F.col("before") + F.col("m")))).where(F.size("ends") > 0).select(*keys, "_b", "before", "n", "ends")
-    held = rows.join(hits, [*keys, "_b"]).withColumn("at", F.col("before") + F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("v")) - 1)
-    found = held.select(*keys, "n", "v", F.explode(F.filter("ends", lambda r: r.k == F.col("at"))).alias("r")).groupBy(*keys, "n", "r.i").agg(F.max(F.when(F.col("r.end") == 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("r.end") == 1, F.col("v"))).alias("hi"), F.max("r.part").alias("part"))
-    one = F.struct("i", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
-    return staged(found.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r.q).alias("q")))
+    rows = staged(df.select(*group, F.explode(each).alias("r")).select(*group, "r.*").where("v IS NOT NULL"))
+    near = [x for level in levels for x in (max(0.0, level - MARGIN), min(1.0, level + MARGIN))]
+    head = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), F.lit(ACCURACY)).alias("s"))
+    large = F.col("n") > SMALL
+    bounds = {f"lo{i}": F.when(large, F.get("s", F.lit(2 * i))) for i in every} | {f"hi{i}": F.when(large, F.get("s", F.lit(2 * i + 1))) for i in every}
+    head = staged(head.withColumns(bounds).drop("s"))
+    all_ = rows.join(head, keys)
+    where = F.coalesce(*(F.when(F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")), i) for i in every))
+    inside = all_.withColumn("part", F.when(F.col("lo0").isNull(), 0).otherwise(where)).where("part IS NOT NULL").select(*keys, "n", "v", "part")
+    if head.where(large).isEmpty():
+        inside = inside.withColumn("below", F.lit(0).cast("long"))
+    else:
+        below = all_.groupBy(*keys).agg(F.array(*(F.count_if(F.col("v") < F.col(f"lo{i}")) for i in every)).alias("_below"))
+        inside = inside.join(below, keys).withColumn("below", F.get("_below", F.col("part")))
+    at = F.col("below") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("v")) - 1
+    place = [x * (F.col("n") - 1) for x in levels]
+    ends = F.array(*(F.struct(F.lit(i).alias("i"), end(place[i]).alias("k"), F.lit(e).alias("end")) for i in every for e, end in enumerate((F.floor, F.ceil))))
+    held = inside.withColumn("at", at).select(*keys, "n", "v", F.explode(F.filter(ends, lambda r: r.k == F.col("at"))).alias("r"))
+    found = held.groupBy(*keys, "n").agg(*(F.max(F.when((F.col("r.i") == i) & (F.col("r.end") == e), F.col("v"))).alias(f"v{e}{i}") for i in every for e in (0, 1)))
+    q = [F.col(f"v0{i}") + (F.col(f"v1{i}") - F.col(f"v0{i}")) * (place[i] - F.floor(place[i])) for i in every]
+    return staged(found.select(*keys, "n", F.array(*q).alias("q")))
 
 
 def by_name(q: DataFrame, group: list[str], fields: dict[str, tuple[str, int]]) -> DataFrame:
@@ -75,9 +79,19 @@ def center_scale(df: DataFrame, group: list[str], columns: list[str]) -> DataFra
 
 
 def weighted_quantiles(df: DataFrame, group: list[str], value: Column, weight: Column, q: dict[str, float], tie: str) -> DataFrame:
-    """weighted_quantile() for groups of any size: weights are summed by bucket, and only
-    the buckets in which a level is reached are sorted."""
-    rows = _bucketed(df.select(*group, value.alias("v"), weight.alias("w"), F.col(tie).alias("t")).where("v IS NOT NULL AND w > 0"), group)
+    """weighted_quantile() for groups of any size: of large ones weights are summed by
+    bucket, and only the buckets in which a level is reached are sorted."""
+    rows = staged(df.select(*group, value.alias("v"), weight.alias("w"), F.col(tie).alias("t")).where("v IS NOT NULL AND w > 0"))
+    sizes = staged(rows.groupBy(*group).agg((F.count("*") > SORTED).alias("_large")))
+    if sizes.where("_large").isEmpty():
+        return weighted_quantile(rows, group, F.col("v"), F.col("w"), q, "t")
+    few = weighted_quantile(rows.join(sizes.where("NOT _large"), group), group, F.col("v"), F.col("w"), q, "t")
+    rows = rows.join(sizes.where("_large"), group)
+    cuts = rows.groupBy(*group).agg(F.percentile_approx("v", F.array(*(F.lit(i / BUCKETS) for i in range(1, BUCKETS))), F.lit(4 * BUCKETS)).alias("_cuts"))
+    cuts = staged(cuts.withColumn("_coarse", F.transform(F.sequence(F.lit(STEP), F.lit(BUCKETS - STEP), F.lit(STEP)), lambda i: F.element_at("_cuts", i))))
+    below = lambda c: F.size(F.filter(c, lambda x: x < F.col("v")))
+    rows = rows.join(cuts, group).withColumn("_part", below(F.col("_coarse"))).withColumn("_b", F.col("_part") * STEP + below(F.slice("_cuts", F.col("_part") * STEP + 1, STEP)))
+    rows = staged(rows.drop("_cuts", "_coarse", "_part"))
     sums = rows.groupBy(*group, "_b").agg(F.sum("w").alias("own"))
     order = Window.partitionBy(*group).orderBy("_b")
     sums = sums.withColumn("upto", F.sum("own").over(order)).withColumn("before", F.coalesce(F.lag("upto").over(order), F.lit(0.0))).withColumn("total", F.max("upto").over(Window.partitionBy(*group)))
@@ -87,7 +101,7 @@ def weighted_quantiles(df: DataFrame, group: list[str], value: Column, weight: C
     held = rows.join(hits, [*group, "_b"]).withColumn("c", F.col("before") + F.sum("w").over(run))
     # the last row of a bucket that reaches a level stands in where sums in another order fall short of it
     first = lambda name, level: F.coalesce(F.min(F.when(F.col(f"_is_{name}") & (F.col("c") >= level * F.col("total")), F.col("v"))), F.max(F.when(F.col(f"_is_{name}"), F.col("v"))))
-    return held.groupBy(*group).agg(*(first(name, level).alias(name) for name, level in q.items()))
+    return few.unionByName(held.groupBy(*group).agg(*(first(name, level).alias(name) for name, level in q.items())))
 
 
 def weighted_quantile(df: DataFrame, group: list[str], value: Column, weight: Column, q: dict[str, float], tie: str) -> DataFrame:

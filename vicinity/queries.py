@@ -36,11 +36,6 @@ def r6(c):
     return F.round(c, 6)
 
 
-def milli(c: str):
-    """Thousandths, cut where no value with few decimals lies."""
-    return F.floor(F.col(c) * 1000 + F.lit(0.123)).cast("double") / 1000
-
-
 def traded(spark, sf_dir) -> DataFrame:
     """Sales and offers."""
     return market_rows(spark, sf_dir).where("is_sale OR is_offer")
@@ -95,23 +90,24 @@ disc AS (SELECT purpose, n_sales, n_offers, n_quantiles, raw_median, raw_mean,
   FROM nq LEFT JOIN dd USING (purpose))"""
 PRICED = f"""{DISCOUNT},
 p AS (SELECT k.*, unit_value * CASE WHEN is_offer THEN 1 - discount ELSE 1 END AS unit FROM kept k JOIN disc USING (purpose))"""
-TARGETS = "tn AS (SELECT CAST(n_nationkey AS BIGINT) AS target_id, ([" + ", ".join(f"'{p}'" for p in PURPOSES) + """])[n_nationkey % 6 + 1] AS tp, CAST(n_nationkey + 10 AS DOUBLE) AS tb,
+NATIONS = "tn AS (SELECT CAST(n_nationkey AS BIGINT) AS target_id, ([" + ", ".join(f"'{p}'" for p in PURPOSES) + """])[n_nationkey % 6 + 1] AS tp, CAST(n_nationkey + 10 AS DOUBLE) AS tb,
     CASE WHEN n_nationkey % 2 = 0 THEN CAST(1995 + n_nationkey % 7 AS DOUBLE) END AS ty,
     CASE WHEN n_nationkey % 6 <> 5 THEN CAST(-30.03 AS DOUBLE) + (n_nationkey - 12) * CAST(0.005 AS DOUBLE) END AS tlat,
-    CASE WHEN n_nationkey % 6 <> 5 THEN CAST(-51.23 AS DOUBLE) + (n_nationkey - 12) * CAST(0.004 AS DOUBLE) END AS tlon FROM nation),
-t AS (SELECT *, CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 5 WHEN 'SALA COMERCIAL' THEN 9 WHEN 'GARAGEM / VAGA' THEN 7 ELSE 12 END AS min_k,
+    CASE WHEN n_nationkey % 6 <> 5 THEN CAST(-51.23 AS DOUBLE) + (n_nationkey - 12) * CAST(0.004 AS DOUBLE) END AS tlon,
+    CAST(NULL AS DOUBLE) AS tl, CAST(NULL AS BIGINT) AS xid, '' AS xg FROM nation)"""
+PARAMETERS = """t AS (SELECT *, CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 5 WHEN 'SALA COMERCIAL' THEN 9 WHEN 'GARAGEM / VAGA' THEN 7 ELSE 12 END AS min_k,
     CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 40 WHEN 'SALA COMERCIAL' THEN 20 WHEN 'GARAGEM / VAGA' THEN 30 ELSE 25 END AS max_k,
     CAST(CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 5 WHEN 'SALA COMERCIAL' THEN 15 WHEN 'GARAGEM / VAGA' THEN 5 ELSE 11 END AS DOUBLE) AS goal,
     CASE WHEN tlat IS NULL THEN 1.0::DOUBLE ELSE CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 0.85::DOUBLE WHEN 'SALA COMERCIAL' THEN 0.60::DOUBLE WHEN 'GARAGEM / VAGA' THEN 2::DOUBLE / 3 ELSE 0.45::DOUBLE END END AS phys,
     CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 0.20::DOUBLE WHEN 'SALA COMERCIAL' THEN 0.25::DOUBLE ELSE 0.30::DOUBLE END AS cap,
     CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 0.50::DOUBLE WHEN 'SALA COMERCIAL' THEN 0.65::DOUBLE WHEN 'GARAGEM / VAGA' THEN 1.00::DOUBLE ELSE 0.35::DOUBLE END AS pow_,
     CASE tp WHEN 'CASA / RESIDÊNCIA' THEN 2.0::DOUBLE WHEN 'SALA COMERCIAL' THEN 2.5::DOUBLE WHEN 'GARAGEM / VAGA' THEN 2.5::DOUBLE ELSE 1.25::DOUBLE END AS mad_t FROM tn)"""
-PAIRS = f"""{PRICED}, {TARGETS},
-pr0 AS (SELECT t.*, p.id, p.unit, p.built_area, p.year,
+PAIRS = f"""{PRICED}, {NATIONS}, {PARAMETERS},
+pr0 AS (SELECT t.*, p.id, p.unit, p.built_area, p.lot_area, p.year,
     CASE WHEN tlat IS NOT NULL THEN sqrt(pow(6371.0088 * cos(radians(tlat)) * radians(p.lon - tlon), 2) + pow(6371.0088 * radians(p.lat - tlat), 2)) END AS geo
-  FROM t JOIN p ON p.purpose = t.tp WHERE p.unit > 0 AND p.built_area > 0 AND (ty IS NULL OR (p.year BETWEEN 1500 AND 2026))),
-sc AS (SELECT target_id, quantile_cont(built_area, 0.75) - quantile_cont(built_area, 0.25) AS sb, quantile_cont(year, 0.75) - quantile_cont(year, 0.25) AS sy, median(geo) FILTER (geo > 0) AS g, count(*) AS n FROM pr0 GROUP BY 1),
-pr AS (SELECT pr0.*, n, (pow((built_area - tb) / sb, 2) + CASE WHEN ty IS NULL THEN 0 ELSE pow((pr0.year - ty) / sy, 2) END) / (CASE WHEN ty IS NULL THEN 1 ELSE 2 END) AS a2, coalesce(least(20.0, greatest(0.25, g)), 1.0)::DOUBLE AS gs FROM pr0 JOIN sc USING (target_id)),
+  FROM t JOIN p ON p.purpose = t.tp WHERE p.unit > 0 AND p.built_area > 0 AND (tl IS NULL OR p.lot_area > 0) AND (ty IS NULL OR (p.year BETWEEN 1500 AND 2026)) AND (xid IS NULL OR p.id <> xid) AND (xg = '' OR p."group" <> xg)),
+sc AS (SELECT target_id, quantile_cont(built_area, 0.75) - quantile_cont(built_area, 0.25) AS sb, quantile_cont(year, 0.75) - quantile_cont(year, 0.25) AS sy, quantile_cont(lot_area, 0.75) - quantile_cont(lot_area, 0.25) AS sl, median(geo) FILTER (geo > 0) AS g, count(*) AS n FROM pr0 GROUP BY 1),
+pr AS (SELECT pr0.*, n, (pow((built_area - tb) / sb, 2) + CASE WHEN ty IS NULL THEN 0 ELSE pow((pr0.year - ty) / sy, 2) END + CASE WHEN tl IS NULL THEN 0 ELSE pow((lot_area - tl) / sl, 2) END) / (1 + CASE WHEN ty IS NULL THEN 0 ELSE 1 END + CASE WHEN tl IS NULL THEN 0 ELSE 1 END) AS a2, coalesce(least(20.0, greatest(0.25, g)), 1.0)::DOUBLE AS gs FROM pr0 JOIN sc USING (target_id)),
 ds AS (SELECT *, sqrt(phys * a2 + (1 - phys) * coalesce(pow(geo / gs, 2), 0)) AS dist FROM pr)"""
 NEAR = f"""{PAIRS},
 nk AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY dist, id) AS rk FROM ds QUALIFY rk <= max_k),
@@ -135,6 +131,48 @@ es AS (SELECT target_id, any_value(tp) AS purpose, max(k) AS k_used, max(n_eff)
     median(geo) AS geo_median_km, sum(CASE WHEN abs(unit - clipped) > 1e-8 + 1e-5 * abs(clipped) THEN weight ELSE 0 END) AS adjusted_weight, any_value(goal) AS goal FROM cl GROUP BY 1)"""
 
 
+#: Parameters of the local filter, the reference sets and the bounds, over the pairs of `ds`.
+CUTS = f"""{PAIRS},
+lf AS (SELECT *, CASE tp WHEN 'SALA COMERCIAL' THEN 0.55::DOUBLE WHEN 'LOJA' THEN 0.50::DOUBLE ELSE 0.45::DOUBLE END AS fr, CASE tp WHEN 'SALA COMERCIAL' THEN 1.60::DOUBLE WHEN 'LOJA' THEN 1.65::DOUBLE ELSE 1.70::DOUBLE END AS gr,
+    CASE tp WHEN 'SALA COMERCIAL' THEN 2.00::DOUBLE ELSE 2.20::DOUBLE END AS compact, built_area / tb BETWEEN 0.5 AND 2.0 AND coalesce(lot_area / tl BETWEEN 0.5 AND 2.0, true) AND coalesce(geo <= 5, true) AS st, built_area / tb BETWEEN 1.0::DOUBLE / 3 AND 3.0 AND coalesce(lot_area / tl BETWEEN 1.0::DOUBLE / 3 AND 3.0, true) AND coalesce(geo <= 10, true) AS rx FROM ds),
+ls AS (SELECT *, count(*) FILTER (WHERE st) OVER (PARTITION BY target_id) AS ns, count(*) FILTER (WHERE rx) OVER (PARTITION BY target_id) AS nr, row_number() OVER (PARTITION BY target_id ORDER BY dist, id) AS near FROM lf),
+lm AS (SELECT *, CASE WHEN ns >= 8 THEN 'strict' WHEN nr >= 8 THEN 'relaxed' ELSE 'nearest' END AS mode FROM ls WHERE n >= greatest(min_k + 1, 8)),
+l0 AS (SELECT *, count(*) OVER (PARTITION BY target_id) AS n_ref, pow(dist + 0.25, -0.75) AS lraw, ln(unit) AS x FROM lm WHERE CASE mode WHEN 'strict' THEN st WHEN 'relaxed' THEN rx ELSE near <= least(n, greatest(8, least(60, greatest(max_k * 2, 20)))) END),
+l1 AS (SELECT *, row_number() OVER w - 1 AS lm_, sum(lraw) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ltail FROM l0 WHERE n_ref >= 8 WINDOW w AS (PARTITION BY target_id ORDER BY lraw DESC, id)),
+l2 AS (SELECT *, coalesce(min(CASE WHEN (1 - lm_ * 0.25) * lraw <= (0.25 + 1e-15) * ltail THEN lm_ END) OVER (PARTITION BY target_id), n_ref) AS lc FROM l1),
+l3 AS (SELECT *, max(CASE WHEN lm_ = lc THEN ltail END) OVER (PARTITION BY target_id) AS lrest FROM l2),
+lw AS (SELECT *, CASE WHEN lm_ < lc THEN 0.25::DOUBLE ELSE (1 - lc * 0.25) * lraw / lrest END AS lweight FROM l3),
+l4 AS (SELECT *, sum(lweight) OVER (PARTITION BY target_id ORDER BY x, id) AS lcum, sum(lweight) OVER (PARTITION BY target_id) AS ltot FROM lw),
+l5 AS (SELECT target_id, min(x) FILTER (lcum >= 0.5 * ltot) AS med, min(x) FILTER (lcum >= 0.25 * ltot) AS q1, min(x) FILTER (lcum >= 0.75 * ltot) AS q3 FROM l4 GROUP BY 1),
+l6 AS (SELECT l4.*, med, q1, q3, sum(lweight) OVER (PARTITION BY target_id ORDER BY abs(x - med), id) AS dcum FROM l4 JOIN l5 USING (target_id)),
+l7 AS (SELECT target_id, min(abs(x - med)) FILTER (dcum >= 0.5 * ltot) AS dev FROM l6 GROUP BY 1),
+g0 AS (SELECT *, lead(unit) OVER w AS u, row_number() OVER w AS k, sum(lweight) OVER w AS lw_ FROM lw WINDOW w AS (PARTITION BY target_id ORDER BY unit, id)),
+g1 AS (SELECT target_id, unit AS v, u, k, lw_, n_ref, min_k FROM g0 WHERE u / unit >= gr AND k / n_ref <= 0.30 AND lw_ <= 0.30 AND n_ref - k >= greatest(min_k, 8) AND n_ref >= greatest(min_k, 8) + 1),
+g2 AS (SELECT g1.target_id, v, g1.u, g1.k, g1.lw_, median(dist) FILTER (unit <= v) AS dl, median(dist) FILTER (unit > v) AS du FROM g1 JOIN g0 ON g1.target_id = g0.target_id GROUP BY ALL),
+g3 AS (SELECT *, u / v AS gap_ratio, sqrt(u * v) AS gap_cutoff, row_number() OVER (PARTITION BY target_id ORDER BY ln(u / v) * (1 - lw_) / greatest(du / greatest(dl, 1e-9), 0.5) DESC, k) AS best FROM g2 WHERE k <= 2 OR du / greatest(dl, 1e-9) <= 1.35),
+h0 AS (SELECT target_id, any_value(mode) AS mode, any_value(n) AS n, any_value(min_k) AS min_k, any_value(n_ref) AS n_ref, any_value(med) AS med, any_value(q1) AS q1, any_value(q3) AS q3, any_value(fr) AS fr, any_value(compact) AS compact FROM l6 GROUP BY 1),
+h1 AS (SELECT h0.*, dev, gap_ratio, gap_cutoff, greatest(CASE WHEN dev > 1e-12 THEN exp(med - 3.0 * dev / 0.6745) ELSE 0 END, CASE WHEN q3 - q1 > 1e-12 THEN exp(q1 - 2.0 * (q3 - q1)) ELSE 0 END) AS rb, exp(med) * fr AS fraction
+  FROM h0 JOIN l7 USING (target_id) LEFT JOIN (SELECT * FROM g3 WHERE best = 1) USING (target_id)),
+h2 AS (SELECT *, CASE WHEN rb > 0 THEN rb END AS b1, CASE WHEN exp(q3 - q1) <= compact OR gap_ratio IS NOT NULL THEN fraction END AS b2 FROM h1),
+h3 AS (SELECT *, greatest(b1, b2, gap_cutoff) AS b0 FROM h2),
+h4 AS (SELECT h3.target_id, count(*) FILTER (unit < b0) AS n_low, count(*) FILTER (unit < rb) AS n_rb FROM h3 JOIN ds USING (target_id) GROUP BY 1),
+h5 AS (SELECT *, floor(n * 0.30) AS most, greatest(min_k, 2) AS least_ FROM h3 JOIN h4 USING (target_id)),
+h6 AS (SELECT *, n_low > most AND rb > 0 AND n_rb <= most AND n - n_rb >= least_ AS again FROM h5),
+cut AS (SELECT target_id, mode, n_ref AS n_reference, exp(med) AS median, gap_ratio, CASE WHEN again THEN rb ELSE b0 END AS bound, CASE WHEN again THEN 'robust after lock' WHEN b1 = b0 THEN 'robust' WHEN b2 = b0 THEN 'fraction' WHEN gap_cutoff = b0 THEN 'gap' END AS source,
+    CASE WHEN b0 IS NULL THEN NULL WHEN n_low > most AND NOT again THEN 'over 30 % of candidates' WHEN n - CASE WHEN again THEN n_rb ELSE n_low END < least_ THEN 'too few left' END AS cancelled FROM h6)"""
+#: The same valuation after the filter: pairs below their target's bound go, and scales are taken anew.
+FILTERED_SQL = """{CUTS},
+f0 AS (SELECT ds.* EXCLUDE (n, a2, gs, dist) FROM ds LEFT JOIN cut ON ds.target_id = cut.target_id AND cancelled IS NULL WHERE bound IS NULL OR unit >= bound),
+fs AS (SELECT target_id, quantile_cont(built_area, 0.75) - quantile_cont(built_area, 0.25) AS sb, quantile_cont(year, 0.75) - quantile_cont(year, 0.25) AS sy, quantile_cont(lot_area, 0.75) - quantile_cont(lot_area, 0.25) AS sl, median(geo) FILTER (geo > 0) AS g, count(*) AS n FROM f0 GROUP BY 1),
+f1 AS (SELECT f0.*, n, (pow((built_area - tb) / sb, 2) + CASE WHEN ty IS NULL THEN 0 ELSE pow((f0.year - ty) / sy, 2) END + CASE WHEN tl IS NULL THEN 0 ELSE pow((lot_area - tl) / sl, 2) END) / (1 + CASE WHEN ty IS NULL THEN 0 ELSE 1 END + CASE WHEN tl IS NULL THEN 0 ELSE 1 END) AS a2, coalesce(least(20.0, greatest(0.25, g)), 1.0)::DOUBLE AS gs FROM f0 JOIN fs USING (target_id)),
+fd AS (SELECT *, sqrt(phys * a2 + (1 - phys) * coalesce(pow(geo / gs, 2), 0)) AS dist FROM f1)"""
+
+
+def filtered(estimate: str, cuts: str) -> str:
+    """An estimate's SQL with the local filter between its distances and its neighbours."""
+    return estimate.replace("\nnk AS (", "\nnk AS (", 1).replace(PAIRS, FILTERED_SQL.replace("{CUTS}", cuts), 1).replace(" FROM ds QUALIFY rk <= max_k", " FROM fd QUALIFY rk <= max_k", 1)
+
+
 @query("SELECT l_returnflag AS flag, CASE l_returnflag WHEN 'R' THEN 'Guia ITBI' WHEN 'N' THEN 'Oferta' ELSE 'Oferta Aluguel' END AS info_type, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def info_type(spark, sf_dir):
     flag = F.col("l_returnflag")
@@ -297,10 +335,11 @@ def knn_adaptive(spark, sf_dir):
     return near.select("target_id", "id", F.col("rank").cast("long").alias("rank"), r6("weight").alias("weight"), r6("n_eff").alias("n_eff"), F.col("k").cast("long").alias("k_used"))
 
 
-@query(f"WITH {ESTIMATE} SELECT target_id, id, round(weight, 6) AS weight, floor(unit * 1000 + 0.123::DOUBLE) / 1000 AS unit, floor(clipped * 1000 + 0.123::DOUBLE) / 1000 AS clipped FROM cl")
+@query(f"WITH {ESTIMATE} SELECT target_id, id, round(weight, 6) AS weight, round(ln(unit), 8) AS ln_unit, round(ln(clipped), 8) AS ln_clipped FROM cl")
 def robust_means(spark, sf_dir):
+    """By logarithms: sales have unit values of few decimals, at whose halves engines round apart."""
     near = knn.adaptive(knn.ranked(_distances(spark, sf_dir)))
-    return robust_mean(near, ["target_id"], "unit", "weight", F.col("mad"), "id").select("target_id", "id", r6("weight").alias("weight"), milli("unit").alias("unit"), milli("clipped").alias("clipped"))
+    return robust_mean(near, ["target_id"], "unit", "weight", F.col("mad"), "id").select("target_id", "id", r6("weight").alias("weight"), F.round(F.ln("unit"), 8).alias("ln_unit"), F.round(F.ln("clipped"), 8).alias("ln_clipped"))
 
 
 @query(f"WITH {ESTIMATE} SELECT target_id, purpose, CAST(k_used AS INT) AS k_used, round(n_eff, 6) AS n_eff, n_candidates, round(unit_estimate, 4) AS unit_estimate, round(total_estimate, 2) AS total_estimate, round(adjusted_weight, 6) AS adjusted_weight, round(geo_median_km, 6) AS geo_median_km FROM es")
@@ -309,19 +348,28 @@ def estimate_batch(spark, sf_dir):
     return out.select("target_id", "purpose", "k_used", r6("n_eff").alias("n_eff"), "n_candidates", F.round("unit_estimate", 4).alias("unit_estimate"), F.round("total_estimate", 2).alias("total_estimate"), r6("adjusted_weight").alias("adjusted_weight"), r6("geo_median_km").alias("geo_median_km"))
 
 
-@query()
+@query(f"""WITH {filtered(ESTIMATE, CUTS)} SELECT t.target_id, tp AS purpose, CASE WHEN es.k_used IS NULL THEN 'fewer than 2 candidates' ELSE 'ok' END AS status, CAST(es.k_used AS INT) AS k_used, n_candidates, round(unit_estimate, 4) AS unit_estimate, round(total_estimate, 2) AS total_estimate, round(n_eff, 6) AS n_eff FROM t LEFT JOIN es ON es.target_id = t.target_id""")
 def valuation(spark, sf_dir):
     """The flagship: every target valued, with the local filter."""
     out = knn.value_targets(candidates(spark, sf_dir), nation_targets(spark, sf_dir), LAST_YEAR)
     return out.select("target_id", "purpose", "status", "k_used", "n_candidates", F.round("unit_estimate", 4).alias("unit_estimate"), F.round("total_estimate", 2).alias("total_estimate"), r6("n_eff").alias("n_eff"))
 
 
-@query()
+@query(f"WITH {CUTS} SELECT target_id, mode, n_reference, round(median, 4) AS median, round(bound, 4) AS bound, source, round(gap_ratio, 6) AS gap_ratio, cancelled FROM cut")
 def local_cutoffs(spark, sf_dir):
     c = knn.local_cutoffs(_distances(spark, sf_dir))
     return c.select("target_id", "mode", "n_reference", F.round("median", 4).alias("median"), F.round("bound", 4).alias("bound"), "source", r6("gap_ratio").alias("gap_ratio"), "cancelled")
 
 
+@query(f"""WITH {CUTS} SELECT cut.target_id, id, 'filtro local adaptativo de cauda inferior' AS stage, round(unit / bound, 6) AS share_of_bound, round(median, 4) AS median, round(bound, 4) AS bound, source, round(gap_ratio, 6) AS gap_ratio
+FROM cut JOIN ds ON ds.target_id = cut.target_id AND cancelled IS NULL AND unit < bound""")
+def local_exclusions(spark, sf_dir):
+    """The audit of the local filter."""
+    p = _distances(spark, sf_dir)
+    out = knn.local_exclusions(p, knn.local_cutoffs(p))
+    return out.select("target_id", "id", "stage", r6(F.col("unit") / F.col("bound")).alias("share_of_bound"), F.round("median", 4).alias("median"), F.round("bound", 4).alias("bound"), "source", r6("gap_ratio").alias("gap_ratio"))
+
+
 @query(f"""WITH {ESTIMATE}, cv AS (SELECT target_id, 'built_area' AS feature, any_value(tb) AS t, min(built_area) AS lo, max(built_area) AS hi, min(abs(built_area - tb)) AS gap FROM ds GROUP BY 1 UNION ALL SELECT target_id, 'year', any_value(ty), min(year), max(year), min(abs(year - ty)) FROM ds WHERE ty IS NOT NULL GROUP BY 1),
 pt AS (SELECT target_id, sum(CASE WHEN t < lo OR t > hi THEN 3 WHEN feature = 'year' AND gap > 30 THEN 3 WHEN feature = 'year' AND gap > 20 THEN 2 WHEN feature = 'year' AND gap > 10 THEN 1 WHEN gap / t > 0.5 THEN 3 WHEN gap / t > 0.3 THEN 2 WHEN gap / t > 0.15 THEN 1 ELSE 0 END) AS p FROM cv GROUP BY 1),
 q AS (SELECT target_id, CAST(p + CASE WHEN geo_median_km > 10 THEN 2 WHEN geo_median_km > 5 THEN 1 ELSE 0 END + CASE WHEN n_eff < goal - 1e-9 THEN 2 ELSE 0 END + CASE WHEN adjusted_weight > 0.30 THEN 1 ELSE 0 END AS INT) AS risk_points FROM es JOIN pt USING (target_id))
@@ -353,13 +401,22 @@ def ratio_metrics(spark, sf_dir):
     return out.select("status", "n_tested", F.round("mae", 2).alias("mae"), F.round("rmse", 2).alias("rmse"), r6("mdape").alias("mdape"), r6("p90_ape").alias("p90_ape"), r6("r2").alias("r2"), F.round("cod", 4).alias("cod"), r6("prd").alias("prd"), r6("median_ratio").alias("median_ratio"))
 
 
-@query()
+#: Targets that leave out themselves and their group, in the place of the nations.
+SAMPLE = """tn AS (SELECT id AS target_id, purpose AS tp, built_area AS tb, year AS ty, lat AS tlat, lon AS tlon, CASE WHEN lot_area > 0 THEN lot_area END AS tl, id AS xid, "group" AS xg, unit AS actual FROM p
+  WHERE is_sale AND unit > 0 AND built_area > 0 AND year BETWEEN 1500 AND 2026 QUALIFY row_number() OVER (PARTITION BY purpose ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) <= 10)"""
+BACKTEST = f"""{filtered(ESTIMATE, CUTS).replace(NATIONS, SAMPLE)},
+bp AS (SELECT t.tp AS purpose, actual, unit_estimate AS predicted FROM t LEFT JOIN es ON es.target_id = t.target_id),
+bm AS (SELECT purpose, median(predicted / actual) AS mr FROM bp GROUP BY 1)"""
+
+
+@query(f"""WITH {BACKTEST} SELECT purpose, count(predicted) AS n_tested, count(*) FILTER (predicted IS NULL) AS n_failed, round(median(abs(predicted - actual) / actual), 6) AS mdape, round(avg(abs(predicted - actual) / actual), 6) AS mape,
+  round(median(abs(predicted - actual)), 3) AS medae, round(median((predicted - actual) / actual), 6) AS median_bias, round(max(mr), 6) AS median_ratio, round(avg(abs(predicted / actual - mr)) / max(mr) * 100, 4) AS cod FROM bp JOIN bm USING (purpose) GROUP BY 1""")
 def backtest_metrics(spark, sf_dir):
     """Leave-one/group-out backtest of 10 sales of each purpose (a sampling operator)."""
     market = candidates(spark, sf_dir)
-    targets = B.as_targets(B.sample(B.eligible(market, LAST_YEAR), 10, by=["purpose"]))
+    targets = staged(B.as_targets(B.sample(B.eligible(market, LAST_YEAR), 10, by=["purpose"])))
     out = B.metrics(B.backtest(market, targets, LAST_YEAR), ["purpose"])
-    return out.select("purpose", "n_tested", "n_failed", r6("mdape").alias("mdape"), r6("median_ratio").alias("median_ratio"), F.round("cod", 4).alias("cod"))
+    return out.select("purpose", "n_tested", "n_failed", r6("mdape").alias("mdape"), r6("mape").alias("mape"), F.round("medae", 3).alias("medae"), r6("median_bias").alias("median_bias"), r6("median_ratio").alias("median_ratio"), F.round("cod", 4).alias("cod"))
 
 
 @query("SELECT c_custkey, 'Rua ' || c_mktsegment AS street, CASE WHEN c_custkey % 3 < 2 THEN CAST(c_custkey % 900 + 1 AS INT) END AS number FROM customer")
