@@ -45,8 +45,11 @@ def test_bad_targets_have_a_reason(spark):
     m = market(spark, BASE)
     for given, status in ((dict(built_area=100.0, year=2000.5), "invalid construction year"), (dict(lot_area=450.0), "no frontage"), (dict(), "no feature")):
         assert knn.value_targets(m, target(spark, **given), 2026).first().status == status
-    with pytest.raises(ValueError):
-        knn.check_profile(1, 5, 1, 0.5, 0.2, 1, 1)
+    faults = [(knn.resolve_targets(target(spark, built_area=100.0, **bad), 2026).first().status, what) for bad, what in (({"min_k": 1}, "min_k"), ({"max_k": 1}, "max_k"), ({"goal": 0.0}, "goal"), ({"physical": 1.5}, "physical"), ({"cap": 0.0}, "cap"), ({"power": 0.0}, "power"), ({"mad": 0.0}, "mad"))]
+    assert all(status.startswith(what) for status, what in faults)
+    # a year that the market has no column for doesn't count, even if it is no year
+    t = knn.resolve_targets(target(spark, built_area=100.0, year=2000.5), 2026, [c for c in market(spark, BASE).columns if c != "year"]).first()
+    assert t.status is None and t.n_features == 1
 
 
 def capped(raw, cap):

@@ -94,6 +94,19 @@ def matching_columns(columns, names) -> list[str]:
     return [c for c in columns if canonical(c) in wanted]
 
 
+# What columns are called in reports.
+FRIENDLY = {
+    "siat_ano": "Ano da construção", "_lot_area": "Área total do lote — combinada automaticamente", "_built_area": "Área total/construída — combinada automaticamente", "_regime": "Regime de área da estimativa",
+    "_private_area": "Área privativa — combinada automaticamente", "_frontage": "Testada — combinada automaticamente", "_info_type": "Tipo da informação — efetivo", "_purpose_explicit": "Finalidade da pesquisa — normalizada",
+    "_purpose_cadastral": "Finalidade SIAT — normalizada", "_purpose_listed": "Tipo identificado pelo crawler — normalizado", "_purpose": "Finalidade crawler utilizada pelo estimador", "_purpose_source": "Fonte da finalidade normalizada",
+    "_purpose_conflict": "Conflito entre classificações de origem", "_purpose_confidence": "Confiança da finalidade normalizada", "_use_nature": "Natureza de uso normalizada",
+}
+
+
+def friendly_name(column: str) -> str:
+    return FRIENDLY.get(column, column)
+
+
 def unique_headers(headers) -> list[str]:
     """x, x_2, x_3 for repeated headers; case counts as equal, as in Spark."""
     used: set[str] = set()

@@ -60,6 +60,22 @@ def match_streets(queries: DataFrame, streets: DataFrame, street: str = "street"
     return out.drop("q")
 
 
+def street_index(records: DataFrame) -> DataFrame:
+    """(cdlog, name) from records (ordinal, cdlog, name, short_name) of a street axis: of
+    records that share a name in capitals, white space collapsed, the last one has it,
+    its short name after its name."""
+    upper = lambda c: F.trim(F.regexp_replace(F.upper(F.coalesce(F.col(c), F.lit(""))), r"(?U)\s+", " "))
+    names = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), upper(c).alias("name")) for k, c in enumerate(("name", "short_name")))))
+    each = records.where("cdlog IS NOT NULL").select("ordinal", "cdlog", names.alias("n")).where("n.name <> ''")
+    return each.groupBy(F.col("n.name").alias("name")).agg(F.max_by("cdlog", F.struct("ordinal", "n.field")).alias("cdlog")).select("cdlog", "name")
+
+
+def first_queries(df: DataFrame, query: Column, row_id: str, most: int) -> DataFrame:
+    """(query): the `most` distinct queries, not empty, that come first by row id, for
+    services that limit how many may be asked."""
+    return df.select(F.trim(query).alias("query"), row_id).where("query <> ''").groupBy("query").agg(F.min(row_id).alias("_at")).orderBy("_at", "query").limit(max(1, most)).select("query")
+
+
 def number_range(number: Column) -> tuple[Column, Column]:
     """Ends of a segment's range on the side of the number's parity."""
     even = number % 2 == 0

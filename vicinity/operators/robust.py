@@ -27,6 +27,8 @@ def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], levels
         raise ValueError("levels must be ascending and apart")
     each = F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()))
     rows = staged(df.select(*group, F.explode(each).alias("r")).select(*group, "r.*").where("v IS NOT NULL"))
+    if rows.groupBy(*keys).count().where(F.col("count") > SMALL).isEmpty():
+        return _picked(rows.withColumns({"n": F.count("*").over(Window.partitionBy(*keys)), "part": F.lit(0), "below": F.lit(0).cast("long")}), keys, levels)
     near = [x for level in levels for x in (max(0.0, level - MARGIN), min(1.0, level + MARGIN))]
     head = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), F.lit(ACCURACY)).alias("s"))
     large = F.col("n") > SMALL
@@ -35,11 +37,14 @@ def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], levels
     all_ = rows.join(head, keys)
     where = F.coalesce(*(F.when(F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")), i) for i in every))
     inside = all_.withColumn("part", F.when(F.col("lo0").isNull(), 0).otherwise(where)).where("part IS NOT NULL").select(*keys, "n", "v", "part")
-    if head.where(large).isEmpty():
-        inside = inside.withColumn("below", F.lit(0).cast("long"))
-    else:
-        below = all_.groupBy(*keys).agg(F.array(*(F.count_if(F.col("v") < F.col(f"lo{i}")) for i in every)).alias("_below"))
-        inside = inside.join(below, keys).withColumn("below", F.get("_below", F.col("part")))
+    below = all_.groupBy(*keys).agg(F.array(*(F.count_if(F.col("v") < F.col(f"lo{i}")) for i in every)).alias("_below"))
+    return _picked(inside.join(below, keys).withColumn("below", F.coalesce(F.get("_below", F.col("part")), F.lit(0))), keys, levels)
+
+
+def _picked(inside: DataFrame, keys: list[str], levels: list[float]) -> DataFrame:
+    """Quantiles from rows (*keys, n, v, part, below) that hold all wanted ranks: a part's
+    rows follow on `below` others."""
+    every = range(len(levels))
     at = F.col("below") + F.row_number().over(Window.partitionBy(*keys, "part").orderBy("v")) - 1
     place = [x * (F.col("n") - 1) for x in levels]
     ends = F.array(*(F.struct(F.lit(i).alias("i"), end(place[i]).alias("k"), F.lit(e).alias("end")) for i in every for e, end in enumerate((F.floor, F.ceil))))

@@ -75,9 +75,10 @@ def preferred_regime(preference: str) -> str:
     return "total" if preference == "construida" else "private"
 
 
-def floor_fits(preference: str, regime: str) -> bool:
-    """Whether a purpose's floor was set for the unit values of this regime."""
-    return regime == "lot" if preference == "terreno" else preference != "construida" or regime == "total" if regime != "lot" else False
+def floor_fits(preference: Column, regime: str) -> Column:
+    """Whether a purpose's floor was set for the unit values of this regime (lot, total
+    or private), by the area that the purpose is priced by."""
+    return {"lot": ~preference.isin("construida", "privativa", "privativa_ou_construida"), "total": preference != "privativa", "private": preference != "construida"}[regime]
 
 
 def choose_regime(preference: str, counts: dict[str, int], min_k: int, manual: str | None = None) -> tuple[str, str]:

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions import roles
 from ..functions.numbers import coordinate, number, parse_date
-from ..functions.text import OFFER, SALE, norm
+from ..functions.text import OFFER, SALE, area_preference, is_rental, norm, purpose_class
 from ..operators import dedup, prefilter
 from ..operators.discount import adjust, offer_discount
+from ..plans.params import floor_fits, floor_of
+from ..sources.stage import staged
 from ..sources.tables import with_row_id
 
 CONFLICTS = ("sim", "moderado")
 STAGE_CONFLICT = "política de conflito tipológico"
+REGIMES = {"lot_area": "lot", "built_area": "total", "private_area": "private"}
 
 
 @dataclass
@@ -64,13 +67,17 @@ def _branch(rows: DataFrame, original: list[str], reference: str, kind: str, flo
     rows = rows.withColumn("area", F.col(reference))
     rows = prefilter.apply_rules(rows, "purpose", F.col("is_sale"), kind, floor, prefilter.sheet_predicates(rows.select(*original)))
     rows = rows.withColumn("_one", F.lit(1))
-    rows = prefilter.robust_filter(rows, ["_one"], F.col("is_sale"))
+    rows = staged(prefilter.robust_filter(rows, ["_one"], F.col("is_sale")))
     discount = offer_discount(rows.where("_status = 'kept'"), ["_one"])
-    return adjust(rows, discount, ["_one"]).drop("_one").withColumn("unit", F.col("adjusted_unit")), discount.drop("_one")
+    out = staged(adjust(rows, discount, ["_one"]).drop("_one").withColumn("unit", F.col("adjusted_unit")))
+    if not out.where(is_rental(F.col("_kind"))).isEmpty():
+        raise RuntimeError("rentals are left in the sample")
+    return out, discount.drop("_one")
 
 
 def prepare(df: DataFrame, mapping: roles.ColumnMapping, purpose: str, reference: str = "built_area", kind: str | None = None, minimum: int | None = None, floor: Column | None = None) -> Prepared:
-    """The market of one purpose, priced by one area.
+    """The market of one purpose, priced by one area.  The purpose's floor applies where
+    it was set for that area's unit values, unless one is given.
 
     Rows whose sources conflict about the purpose are left out if at least `minimum`
     rows are kept without them; else all rows are prepared again, and those that
@@ -78,6 +85,8 @@ def prepare(df: DataFrame, mapping: roles.ColumnMapping, purpose: str, reference
     roles.validate_mapping(mapping, df.columns)
     original = [c for c in df.columns if not c.startswith("_")]
     kind = kind or roles.value_kind(mapping.value)
+    if floor is None:
+        floor = F.when(floor_fits(area_preference(purpose_class(F.col("purpose"))), REGIMES[reference]), floor_of(F.col("purpose"))).otherwise(0.0)
     rows = _select(df, mapping, purpose)
     conflict = norm(F.col("_purpose_conflict")).isin(*CONFLICTS) if "_purpose_conflict" in df.columns else F.lit(False)
     rows = rows.withColumn("_conflict", conflict)

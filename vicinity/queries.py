@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from .functions import numbers as N
 from .functions import text as T
+from .functions.roles import ColumnMapping
 from .operators import backtest as B
 from .operators import dedup, enrich, geocode, knn, prefilter, report, robust
 from .operators.discount import adjust, offer_discount
 from .operators.robust import by_name, capped_weights, center_scale, quantiles, robust_mean
 from .plans.params import FLOORS
+from .plans.prepare import prepare
 from .sources.market_view import LAST_YEAR, MARKET_SQL, market_rows
 from .sources.stage import staged
 
@@ -419,12 +421,13 @@ def backtest_metrics(spark, sf_dir):
     return out.select("purpose", "n_tested", "n_failed", r6("mdape").alias("mdape"), r6("mape").alias("mape"), F.round("medae", 3).alias("medae"), r6("median_bias").alias("median_bias"), r6("median_ratio").alias("median_ratio"), F.round("cod", 4).alias("cod"))
 
 
-@query("SELECT c_custkey, 'Rua ' || c_mktsegment AS street, CASE WHEN c_custkey % 3 < 2 THEN CAST(c_custkey % 900 + 1 AS INT) END AS number FROM customer")
+@query("""SELECT c_custkey, CASE c_custkey % 7 WHEN 6 THEN 'Rua Nova' ELSE 'Rua ' || c_mktsegment END AS street, CASE WHEN c_custkey % 7 <> 2 THEN CAST(c_custkey % 900 + CASE WHEN c_custkey % 7 = 3 THEN 1000001 ELSE 1 END AS INT) END AS number FROM customer""")
 def address_parse(spark, sf_dir):
-    k = F.col("c_custkey")
+    n = (F.col("c_custkey") % 900 + F.when(F.col("c_custkey") % 7 == 3, 1_000_001).otherwise(1)).cast("string")
     base = F.concat(F.lit("Rua "), F.col("c_mktsegment"))
-    text = F.when(k % 3 == 0, F.concat(base, F.lit(", "), (k % 900 + 1).cast("string"), F.lit(", Porto Alegre"))).when(k % 3 == 1, F.concat(base, F.lit(" "), (k % 900 + 1).cast("string"))).otherwise(F.concat(base, F.lit(", Porto Alegre")))
-    street, number = T.street_and_number(text)
+    forms = (("", ", ", ", Porto Alegre"), ("  ", " ", ""), ("", ", Porto Alegre", None), ("", ", nº ", " apto 3"), ("", "  numero ", " - Centro"), ("", " - nro ", ", Centro"), ("Rua\tNova -", ", N. ", ""))
+    texts = [F.concat(F.lit(a) if k == 6 else F.concat(F.lit(a), base), F.lit(b), *([] if c is None else [n, F.lit(c)])) for k, (a, b, c) in enumerate(forms)]
+    street, number = T.street_and_number(F.element_at(F.array(*texts), (F.col("c_custkey") % 7 + 1).cast("int")))
     return table(spark, sf_dir, "customer").select("c_custkey", street.alias("street"), number.alias("number"))
 
 
@@ -455,13 +458,79 @@ def street_range(spark, sf_dir):
     return found.select("c_custkey", "ordinal", r6("fraction").alias("fraction"), r6("p.x").alias("x"), r6("p.y").alias("y"))
 
 
-@query()
+FOUND = """s AS (SELECT c_mktsegment AS n, min(c_custkey) AS cdlog FROM customer GROUP BY 1),
+qy AS (SELECT DISTINCT 'Rua ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END || ', ' || (c_custkey % 2600) AS query, c_custkey % 2600 AS num, c_mktsegment AS n, lower('Rua ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END) AS street FROM customer),
+qm AS (SELECT query, num, cdlog, lower('Rua ' || n) AS matched, 100.0::DOUBLE * (1 - levenshtein(street, lower('Rua ' || n))::DOUBLE / greatest(length(street), length('Rua ' || n))) AS score FROM qy JOIN s USING (n)),
+qf AS (SELECT *, num // 100 AS k, CASE WHEN num >= 2500 THEN NULL WHEN num % 2 = 0 THEN (num - num // 100 * 100) / 98.0::DOUBLE ELSE (num - (num // 100 * 100 + 99)) / -98.0::DOUBLE END * (sqrt(29.0::DOUBLE) + sqrt(61.0::DOUBLE)) AS want FROM qm),
+geo AS (SELECT query, k + CASE WHEN want <= sqrt(29.0::DOUBLE) + 1e-12 THEN 2 * want / sqrt(29.0::DOUBLE) ELSE 2 + 6 * (want - sqrt(29.0::DOUBLE)) / sqrt(61.0::DOUBLE) END AS lat, cdlog + k * 10 + CASE WHEN want <= sqrt(29.0::DOUBLE) + 1e-12 THEN 5 * want / sqrt(29.0::DOUBLE) ELSE 5 + 5 * (want - sqrt(29.0::DOUBLE)) / sqrt(61.0::DOUBLE) END AS lon, matched, score FROM qf)"""
+
+
+def _axis_queries(spark, sf_dir):
+    text = F.concat(F.lit("Rua "), F.initcap("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "x").otherwise(""), F.lit(", "), (F.col("c_custkey") % 2600).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("query"))
+
+
+@query(f"""WITH {FOUND} SELECT query, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE WHEN lat IS NOT NULL THEN 'street axis' END AS method, matched, round(score, 6) AS score, CASE WHEN lat IS NULL THEN 'no segment holds the number' END AS failure FROM geo""")
 def geocode_addresses(spark, sf_dir):
     """Addresses with a letter too many in their street, matched by likeness."""
     streets, segments = _streets(spark, sf_dir)
-    text = F.concat(F.lit("Rua "), F.initcap("c_mktsegment"), F.when(F.col("c_custkey") % 2 == 0, "x").otherwise(""), F.lit(", "), (F.col("c_custkey") % 2600).cast("string"))
-    q = table(spark, sf_dir, "customer").select(text.alias("query"))
-    return geocode.geocode(q, streets, segments).select("query", r6("lat").alias("lat"), r6("lon").alias("lon"), "method", "matched", r6("score").alias("score"), "failure")
+    return geocode.geocode(_axis_queries(spark, sf_dir), streets, segments).select("query", r6("lat").alias("lat"), r6("lon").alias("lon"), "method", "matched", r6("score").alias("score"), "failure")
+
+
+@query(f"""WITH {FOUND}, u AS (SELECT c_custkey, 'Rua ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END || ', ' || (c_custkey % 2600) AS query, CASE WHEN c_custkey % 5 = 0 THEN -30.0::DOUBLE WHEN c_custkey % 5 = 1 THEN 95.0::DOUBLE END AS own FROM customer)
+SELECT c_custkey, round(CASE WHEN own = -30 THEN own ELSE geo.lat END, 6) AS lat, round(CASE WHEN own = -30 THEN -51.0::DOUBLE ELSE geo.lon END, 6) AS lon, CASE WHEN own = -30 THEN 'coordenadas da planilha' WHEN geo.lat IS NOT NULL THEN 'street axis' END AS method FROM u LEFT JOIN geo USING (query)""")
+def attach_coordinates(spark, sf_dir):
+    """Addresses built from components, coordinates by query; valid ones of the sheet come first."""
+    k = F.col("c_custkey")
+    sheet = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Rua "), F.initcap("c_mktsegment"), F.when(k % 2 == 0, "x").otherwise("")).alias("street"), (k % 2600).cast("double").cast("string").alias("number"), F.when(k % 5 == 0, -30.0).when(k % 5 == 1, 95.0).alias("lat"), F.lit(-51.0).alias("lon"))
+    sheet = sheet.withColumn("query", geocode.address_queries(sheet, {"street": "street", "number": "number"}))
+    streets, segments = _streets(spark, sf_dir)
+    out = geocode.attach(sheet, F.col("query"), staged(geocode.geocode(sheet, streets, segments)), "lat", "lon")
+    return out.select("c_custkey", r6("_geo_lat").alias("lat"), r6("_geo_lon").alias("lon"), F.col("_geo_method").alias("method"))
+
+
+@query("""WITH u AS (SELECT min(c_custkey) AS first_at, 'Rua ' || c_mktsegment || ', ' || (c_custkey % 90) AS query FROM customer GROUP BY 2) SELECT query FROM u ORDER BY first_at, query LIMIT 100""")
+def limited_queries(spark, sf_dir):
+    """The first 100 distinct address queries of the table, for a service that limits them."""
+    return geocode.first_queries(table(spark, sf_dir, "customer"), F.concat(F.lit(" Rua "), "c_mktsegment", F.lit(", "), (F.col("c_custkey") % 90).cast("string")), "c_custkey", 100)
+
+
+@query("""WITH r AS (SELECT o_orderkey AS ordinal, o_custkey AS cdlog, 'RUA ' || upper(o_orderpriority) AS a, CASE WHEN o_orderkey % 3 = 0 THEN 'R ' || (o_custkey % 50) END AS b FROM orders),
+e AS (SELECT ordinal, 0 AS f, cdlog, a AS name FROM r UNION ALL SELECT ordinal, 1, cdlog, b FROM r WHERE b IS NOT NULL) SELECT name, max_by(cdlog, ordinal * 2 + f) AS cdlog FROM e GROUP BY 1""")
+def street_names(spark, sf_dir):
+    """A street axis' names, the last record of a name has it."""
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_custkey").alias("cdlog"), F.concat(F.lit(" Rua  "), F.lower("o_orderpriority")).alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("r "), (F.col("o_custkey") % 50).cast("string"))).otherwise(" ").alias("short_name"))
+    return geocode.street_index(r).select("name", "cdlog")
+
+
+#: A sheet of one purpose with sources that conflict, repeated records, and transfers that aren't sales.
+SHEET_SQL = f"""{MARKET_SQL},
+sh AS (SELECT *, CASE id % 9 WHEN 0 THEN 'doação' ELSE 'compra e venda' END AS nature, id % 11 = 0 AS part, id % 13 = 0 AS several, id % 10 = 0 AS conflict FROM m WHERE purpose = 'LOJA' AND (is_sale OR is_offer)),
+k1 AS (SELECT *, row_number() OVER (PARTITION BY info_type, registration, format('{{:.2f}}', value), CASE WHEN registration = '0' OR NOT value > 0 THEN id END ORDER BY "date" DESC, id DESC) AS r1 FROM sh WHERE NOT conflict),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY is_offer, CASE WHEN is_offer AND listing_id <> 0 THEN listing_id ELSE -id END ORDER BY "date" DESC, id DESC) AS r2 FROM k1 WHERE r1 = 1),
+u0 AS (SELECT *, value / nullif(built_area, 0) AS uv FROM k2 WHERE r2 = 1),
+u1 AS (SELECT *, concat_ws('; ', CASE WHEN NOT coalesce(value > 0, false) THEN 'valor ausente ou não positivo' END, CASE WHEN value > 0 AND value <= 1 THEN 'valor simbólico' END, CASE WHEN NOT coalesce(built_area > 0, false) THEN 'área de referência ausente ou não positiva' END,
+    CASE WHEN NOT coalesce(uv > 0, false) THEN 'valor unitário inválido' END, CASE WHEN uv > 0 AND uv < 700 THEN 'valor unitário abaixo do piso da finalidade' END, CASE WHEN is_sale AND nature = 'doação' THEN 'natureza não mercadológica' END,
+    CASE WHEN is_sale AND part THEN 'transmissão parcial' END, CASE WHEN is_sale AND several THEN 'transmissão de vários imóveis' END) AS reasons FROM u0),
+c1 AS (SELECT median(ln(uv)) AS med, count(*) AS n FROM u1 WHERE reasons = '' AND is_sale), c2 AS (SELECT median(abs(ln(uv) - med)) AS mad FROM u1, c1 WHERE reasons = '' AND is_sale),
+u2 AS (SELECT u1.*, CASE WHEN reasons = '' AND is_sale AND n >= 8 THEN abs(0.6745 * (ln(uv) - med) / mad) END AS z, n FROM u1, c1, c2),
+done AS (SELECT id, CASE WHEN reasons <> '' OR (z > 3.5 AND n >= 15) THEN 'excluded' ELSE 'kept' END AS status, CASE WHEN reasons <> '' THEN 'regra determinística' WHEN z > 3.5 AND n >= 15 THEN 'filtro robusto automático' WHEN z > 2.5 THEN 'alerta robusto' END AS stage,
+    CASE WHEN z > 3.5 AND n >= 15 THEN 'valor unitário extremo na amostra de transações' ELSE reasons END AS reasons, coalesce((z > 3.5 AND n < 15) OR (z > 2.5 AND z <= 3.5), false) AS flagged FROM u2
+  UNION ALL SELECT id, 'excluded', 'política de conflito tipológico', 'fontes divergem sobre a finalidade', false FROM sh WHERE conflict)"""
+
+
+@query(f"WITH {SHEET_SQL} SELECT status, stage, reasons, flagged, count(*) AS n, CAST(sum(id % 1000000) AS BIGINT) AS id_sum FROM done GROUP BY 1, 2, 3, 4")
+def prepared_market(spark, sf_dir):
+    """The whole preparation of one purpose: conflict policy, duplicates, eight rules, robust filter."""
+    m = market_rows(spark, sf_dir)
+    sheet = m.select(
+        F.col("id").alias("_row_id"), "info_type", F.col("purpose").alias("finalidade"), F.col("value").alias("valor"), F.col("built_area").alias("area"), F.col("date").alias("data_registro"), F.col("registration").alias("siat_inscricao"),
+        F.when(F.col("is_offer"), F.col("listing_id")).alias("id_anuncio"), F.when(F.col("id") % 9 == 0, " Doação ").otherwise("Compra e venda").alias("Natureza da transação"), F.when(F.col("id") % 11 == 0, "1/2").otherwise("100%").alias("fracao_transmitida"),
+        F.when(F.col("id") % 13 == 0, 2).otherwise(1).alias("quantidade_imoveis"), F.when(F.col("id") % 10 == 0, "Sim").otherwise("Não").alias("_purpose_conflict"),
+    )
+    sheet = sheet.withColumn("info_type", F.when(F.col("info_type") == "guia itbi", T.SALE).when(F.col("info_type") == "oferta", " oferta ").otherwise(T.RENTAL))
+    done = prepare(sheet, ColumnMapping(info_type="info_type", purpose="finalidade", value="valor", built_area="area"), "Loja", minimum=1)
+    return done.rows.groupBy(F.col("_status").alias("status"), F.col("_stage").alias("stage"), F.col("_reasons").alias("reasons"), F.col("_flagged").alias("flagged")).agg(F.count("*").alias("n"), F.sum(F.col("_row_id") % 1_000_000).alias("id_sum"))
 
 
 @query(f"""WITH {MARKET_SQL}, v AS (SELECT purpose, median(lat) AS lat, median(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS span, count(*) AS n_points FROM m WHERE is_sale OR is_offer GROUP BY 1)
@@ -470,7 +539,15 @@ def map_view(spark, sf_dir):
     return report.map_view(traded(spark, sf_dir), ["purpose"]).select("purpose", r6("lat").alias("lat"), r6("lon").alias("lon"), "n_points", "zoom")
 
 
-@query()
+@query(f"""WITH {NEAR}, w AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY weight DESC, id) AS position, min(weight) OVER (PARTITION BY target_id) AS lo, max(weight) OVER (PARTITION BY target_id) AS hi FROM nb)
+SELECT target_id, position, id, round(15 + 16 * CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1 END, 6) AS marker_size, coalesce(translate(format('{{:,.3f}}', geo), ',.', '.,'), '—') AS distance_text, translate(format('{{:,.1f}}', weight * 100), ',.', '.,') || '%' AS weight_text FROM w""")
 def map_table(spark, sf_dir):
     near = knn.adaptive(knn.ranked(_distances(spark, sf_dir)))
-    return report.map_table(near).select("target_id", "position", "id", r6("marker_size").alias("marker_size"), "unit_text", "distance_text", "weight_text")
+    return report.map_table(near).select("target_id", F.col("position").cast("long").alias("position"), "id", r6("marker_size").alias("marker_size"), "distance_text", "weight_text")
+
+
+@query(f"""WITH {MARKET_SQL} SELECT purpose, row_number() OVER (ORDER BY purpose) AS position FROM m WHERE purpose <> '' GROUP BY 1""")
+def sorted_purposes(spark, sf_dir):
+    """The purposes of the market in order, as a list to choose from."""
+    names = market_rows(spark, sf_dir).select(F.trim("purpose").alias("purpose")).where("purpose <> ''").distinct()
+    return names.agg(F.array_sort(F.collect_set("purpose")).alias("p")).select(F.posexplode("p").alias("i", "purpose")).select("purpose", (F.col("i") + 1).cast("long").alias("position"))
