@@ -157,3 +157,59 @@ def test_jaccard_region_in_memory():
         for a, b in _join_region(ids, n, lists, 75, home, ids, leaf=8, pivots=4):
             join(got, a, b)
         assert got == want and len(set(want)) > 20
+
+
+WIDE = "doc_id long, text string, lang string, quality int, toxic int, score double, kept boolean, start long, ids string, h long, gone int"
+
+
+def test_odd_tables(spark):
+    """Empty tables, null ids, repeated rows, ties and columns whose names clash: a row
+    out for a row in, equal rows alike."""
+    import public_tokenizers
+
+    from vicinity.llm import language_id, line_crf, packing, quality_lm, sentencepiece, toxicity
+
+    body = "the river and the stone are here again in this field of words that go on for long"
+    rows = [(1, body, "en"), (1, body, "en"), (2, body, None), (None, body, "en"), (None, None, None), (3, "", "en"), (4, "uns la vie est belle", "fr"), (4, "other text of the same id", "fr")]
+    table = spark.createDataFrame([(*r, 1, 0, 0.5, True, 1, "x", 1, 1) for r in rows], WIDE).repartition(2)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (4, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    piece, bpe = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("word_bpe_49k.json")
+    runs = {
+        "op1": lambda t, y: sentencepiece.round_trip(t, piece), "op4": lambda t, y: packing.pack_documents(t, bpe).where("start = 0"), "op6": lambda t, y: toxicity.score(t, toxicity.fit(t, y)),
+        "op7": lambda t, y: quality_lm.classify(t, y.where("quality = 1").select("doc_id")), "op9": lambda t, y: line_crf.judge(t, line_crf.fit(t, y)), "op10": lambda t, y: language_id.identify(t, F.lit(True)),
+    }
+    for name, run in runs.items():
+        out = run(table, labels).collect()
+        assert sorted(str(r.doc_id) for r in out) == sorted(str(i) for i, *_ in rows), name
+        same = {tuple(v for k, v in r.asDict().items() if k not in ("sequence_id", "offset")) for r in out if r.doc_id == 1}
+        assert len(same) == 1, name
+        assert run(table.limit(0), labels.limit(0)).count() == 0 and run(table.limit(0), labels).count() == 0, name
+
+
+def test_packing_limits(spark):
+    """Segments and loss-bearing tokens bind as tokens do."""
+    import public_tokenizers
+
+    from vicinity.llm.packing import Limits, pack_documents
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30))), " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, asked string").coalesce(1)
+    lim = Limits(24, 3, 10)
+    pieces = pack_documents(table, public_tokenizers.path("word_bpe_49k.json"), limits=lim, prompt_col="asked").collect()
+    prompt = {i: len(a.split()) for i, _, a in rows}  # single letters are single tokens
+    by = {}
+    for r in pieces:
+        by.setdefault(r.sequence_id, []).append(r)
+    for own in by.values():
+        assert sum(r.length for r in own) <= lim.tokens and len(own) <= lim.segments
+        assert sum(r.length - min(r.length, max(0, prompt[r.doc_id] - r.start)) for r in own) <= lim.loss
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i, *_ in rows} == {i: len(t.split()) + len(a.split()) + 1 for i, t, a in rows}
+
+
+def test_pipeline_empty(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
