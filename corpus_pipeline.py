@@ -20,7 +20,8 @@ TOXIC = 0.7
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language can't be told (`und`: no text or no letter); a
-    missing lang is filled with the prediction.  Learns as op10 does."""
+    missing lang is filled with the prediction.  Learns as op10 does; without a labelled
+    text every document is `und` and goes.  Repeated rows are judged each."""
     held = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     found = language_id.predict(docs, language_id.learn(docs, ~held), carry=REST)
     told = found.where(F.col("lang_pred") != language_id.UND)
@@ -29,7 +30,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that score as toxic.  Learns as op6 does, from the labels of
-    documents that are left."""
+    documents that are left; without labels of both kinds all score alike, so that all
+    or none go.  Repeated rows score each; a null id is scored but never learned from."""
     held = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held))
     return toxicity.score(docs, model, carry=REST).where(F.col("score") < TOXIC).select(*COLUMNS)
@@ -37,18 +39,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; a document that held nothing else goes.
-    n_chars follows the text."""
+    n_chars follows the text.  Null and empty texts and rows with a null id stay as they
+    are; rows that repeat id and text are one place and are cleaned alike."""
     clean = line_dedup.dedup_lines(docs).where("n_removed = 0 OR n_removed < n_lines")
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that with the smallest id, of each group of near copies."""
+    """Keeps one document, that with the smallest id, of each group of near copies.
+    Documents without words, and with a null id, all stay; rows that repeat a kept id
+    stay as well."""
     return jaccard_join.distinct_documents(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens; one row per piece."""
+    """Packs what is left into sequences of 2048 tokens; one row per piece.  Null or empty
+    text: the end id alone.  Repeated rows are packed each; no rows, no pieces."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -7,11 +7,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.roles import unique_headers
+from .stage import staged
 
 
 def read_sheet(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
@@ -33,12 +34,14 @@ def read_sheet(spark: SparkSession, path: str, format: str | None = None, **opti
 
 def with_row_id(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """_row_id that keeps the order of the input files (unique, increasing), or numbers
-    by given columns where the order must not depend on the layout."""
-    if order:
-        from pyspark.sql import Window
-
-        return df.withColumn("_row_id", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return df.withColumn("_row_id", F.monotonically_increasing_id())
+    from 1 by given columns where the order must not depend on the layout: rows are
+    sorted by ranges, numbered within them, and each range starts after those before."""
+    if not order:
+        return df.withColumn("_row_id", F.monotonically_increasing_id())
+    rows = staged(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    parts = parts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
+    return rows.join(F.broadcast(parts), "_part").withColumn("_row_id", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
 
 
 class SheetSource(DataSource):
