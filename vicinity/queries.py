@@ -292,14 +292,15 @@ def weighted_quantiles(spark, sf_dir):
     return out.select("purpose", *(r6(c).alias(c) for c in ("q25", "q50", "q75")))
 
 
-@query("""WITH w AS (SELECT n_regionkey AS g, n_nationkey AS id, CAST(pow(n_nationkey + 1, 2) AS DOUBLE) AS raw FROM nation),
+@query("""WITH w AS (SELECT o_custkey AS g, o_orderkey AS id, o_totalprice AS raw FROM orders WHERE o_totalprice > 0),
 a AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY raw DESC, id) - 1 AS m, sum(raw) OVER (PARTITION BY g ORDER BY raw DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail, greatest(0.3::DOUBLE, 1.0::DOUBLE / count(*) OVER (PARTITION BY g)) AS cap FROM w),
 b AS (SELECT *, coalesce(min(CASE WHEN (1 - m * cap) * raw <= (cap + 1e-15) * tail THEN m END) OVER (PARTITION BY g), n) AS nc FROM a),
 c AS (SELECT *, max(CASE WHEN m = nc THEN tail END) OVER (PARTITION BY g) AS rest FROM b),
 d AS (SELECT *, CASE WHEN m < nc THEN cap ELSE (1 - nc * cap) * raw / rest END AS sh FROM c) SELECT g, id, round(sh / sum(sh) OVER (PARTITION BY g), 6) AS weight FROM d""")
 def cap_weights(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("g"), F.col("n_nationkey").alias("id"))
-    return capped_weights(n, ["g"], F.pow(F.col("id") + 1, F.lit(2)), F.lit(0.3), "id").select("g", "id", r6("weight").alias("weight"))
+    """A customer's orders weighed by their totals, none above 0.3."""
+    n = table(spark, sf_dir, "orders").where("o_totalprice > 0").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("id"), "o_totalprice")
+    return capped_weights(n, ["g"], F.col("o_totalprice"), F.lit(0.3), "id").select("g", "id", r6("weight").alias("weight"))
 
 
 @query(f"""WITH {MARKET_SQL} SELECT purpose, count(*) AS n_rows, count(*) FILTER (WHERE is_sale) AS n_sales, count(*) FILTER (WHERE is_offer) AS n_offers, count(*) FILTER (WHERE info_type LIKE '%aluguel%') AS n_rentals, count(*) FILTER (WHERE value > 0 AND area > 0) AS n_usable,
