@@ -21,23 +21,27 @@ BUCKETS, STEP = 256, 16  # of a large group's values where weights are summed, a
 
 def quantiles(df: DataFrame, group: list[str], values: dict[str, Column], levels: list[float]) -> DataFrame:
     """(*group, name, n, q): linear quantiles of each named value at ascending levels,
-    nulls left out.  Levels must lie further apart than the sketch's margins."""
+    nulls left out.  Levels must lie further apart than the sketch's margins.  The table
+    is read a few times: a costly one is staged by the caller."""
     keys, every = [*group, "name"], range(len(levels))
     if any(b - a < 4 * MARGIN for a, b in zip(levels[:-1], levels[1:])):
         raise ValueError("levels must be ascending and apart")
-    each = F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in values.items()))
-    rows = staged(df.select(*group, F.explode(each).alias("r")).select(*group, "r.*").where("v IS NOT NULL"))
-    if rows.groupBy(*keys).count().where(F.col("count") > SMALL).isEmpty():
-        return _picked(rows.withColumns({"n": F.count("*").over(Window.partitionBy(*keys)), "part": F.lit(0), "below": F.lit(0).cast("long")}), keys, levels)
-    near = [x for level in levels for x in (max(0.0, level - MARGIN), min(1.0, level + MARGIN))]
-    head = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), F.lit(ACCURACY)).alias("s"))
-    large = F.col("n") > SMALL
-    bounds = {f"lo{i}": F.when(large, F.get("s", F.lit(2 * i))) for i in every} | {f"hi{i}": F.when(large, F.get("s", F.lit(2 * i + 1))) for i in every}
-    head = staged(head.withColumns(bounds).drop("s"))
-    all_ = rows.join(head, keys)
-    where = F.coalesce(*(F.when(F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")), i) for i in every))
-    inside = all_.withColumn("part", F.when(F.col("lo0").isNull(), 0).otherwise(where)).where("part IS NOT NULL").select(*keys, "n", "v", "part")
-    below = all_.groupBy(*keys).agg(F.array(*(F.count_if(F.col("v") < F.col(f"lo{i}")) for i in every)).alias("_below"))
+    rows = df.select(*group, *(v.cast("double").alias(f"v_{k}") for k, v in values.items()))
+    each = lambda fields: F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("name"), *fields(k)) for k in values)), lambda r: r.v.isNotNull() & r.part.isNotNull())).alias("r")
+    most = rows.groupBy(*group).agg(F.greatest(F.lit(0), *(F.count(f"v_{k}") for k in values)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= SMALL:
+        one = rows.select(*group, each(lambda k: (F.col(f"v_{k}").alias("v"), F.lit(0).alias("part")))).select(*group, "r.*")
+        return _picked(one.withColumns({"n": F.count("*").over(Window.partitionBy(*keys)), "below": F.lit(0).cast("long")}), keys, levels)
+    near = F.array(*(F.lit(x) for level in levels for x in (max(0.0, level - MARGIN), min(1.0, level + MARGIN))))
+    head = rows.groupBy(*group).agg(*(F.count(f"v_{k}").alias(f"n_{k}") for k in values), *(F.percentile_approx(f"v_{k}", near, F.lit(ACCURACY)).alias(f"s_{k}") for k in values))
+    # brackets of the large groups, (low, high) for each level
+    head = staged(head.withColumns({f"s_{k}": F.when(F.col(f"n_{k}") > SMALL, F.col(f"s_{k}")) for k in values}))
+    all_ = rows.join(head, group)
+    low, high = (lambda k, i: F.get(f"s_{k}", F.lit(2 * i))), (lambda k, i: F.get(f"s_{k}", F.lit(2 * i + 1)))
+    part = lambda k: F.when(F.col(f"s_{k}").isNull(), 0).otherwise(F.coalesce(*(F.when(F.col(f"v_{k}").between(low(k, i), high(k, i)), i) for i in every)))
+    inside = all_.select(*group, each(lambda k: (F.col(f"n_{k}").alias("n"), F.col(f"v_{k}").alias("v"), part(k).alias("part")))).select(*group, "r.*")
+    below = all_.groupBy(*group).agg(F.array(*(F.struct(F.lit(k).alias("name"), F.array(*(F.count_if(F.col(f"v_{k}") < low(k, i)) for i in every)).alias("_below")) for k in values)).alias("r"))
+    below = below.select(*group, F.explode("r").alias("r")).select(*group, "r.*")
     return _picked(inside.join(below, keys).withColumn("below", F.coalesce(F.get("_below", F.col("part")), F.lit(0))), keys, levels)
 
 
@@ -60,11 +64,12 @@ def by_name(q: DataFrame, group: list[str], fields: dict[str, tuple[str, int]])
 
 
 def center_scale(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
-    """Per group and column: <c>_center (median) and <c>_scale: the quartile range,
-    or 1.4826 * MAD, or the population deviation, or max(|center|, 1), each where
-    those before are near zero.  Nulls are left out; without values 0 and 1."""
+    """Per group n_rows, and for each column <c>_center (median) and <c>_scale: the
+    quartile range, or 1.4826 * MAD, or the population deviation, or max(|center|, 1),
+    each where those before are near zero.  Nulls are left out; without values 0 and 1."""
+    df = staged(df.select(*group, *columns))
     q = quantiles(df, group, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75])
-    first = df.groupBy(*group).agg(*(F.stddev_pop(c).alias(f"{c}_s") for c in columns))
+    first = df.groupBy(*group).agg(F.count("*").alias("n_rows"), *(F.stddev_pop(c).alias(f"{c}_s") for c in columns))
     first = first.join(by_name(q, group, {f"{c}_{k}": (c, k) for c in columns for k in range(3)}), group, "left")
     flat = q.where(F.get("q", F.lit(2)) - F.get("q", F.lit(0)) <= TINY)
     # the deviation from the median is needed only where the quartiles coincide
@@ -80,7 +85,7 @@ def center_scale(df: DataFrame, group: list[str], columns: list[str]) -> DataFra
         options = (F.col(f"{c}_2") - F.col(f"{c}_0"), 1.4826 * F.col(f"{c}_m"), F.col(f"{c}_s"))
         return F.coalesce(*(F.when(o > TINY, o) for o in options), F.greatest(F.abs(median), F.lit(1.0)))
 
-    return first.select(*group, *(F.coalesce(F.col(f"{c}_1"), F.lit(0.0)).alias(f"{c}_center") for c in columns), *(scale(c).alias(f"{c}_scale") for c in columns))
+    return first.select(*group, "n_rows", *(F.coalesce(F.col(f"{c}_1"), F.lit(0.0)).alias(f"{c}_center") for c in columns), *(scale(c).alias(f"{c}_scale") for c in columns))
 
 
 def weighted_quantiles(df: DataFrame, group: list[str], value: Column, weight: Column, q: dict[str, float], tie: str) -> DataFrame:

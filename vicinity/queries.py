@@ -14,7 +14,7 @@ from .operators.robust import by_name, capped_weights, center_scale, quantiles,
 from .plans.params import FLOORS
 from .plans.prepare import prepare
 from .sources.market_view import LAST_YEAR, MARKET_SQL, market_rows
-from .sources.stage import staged
+from .sources.stage import spread, staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def r6(c):
@@ -281,7 +281,7 @@ def adjusted_units(spark, sf_dir):
 @query(f"""WITH {PRICED} SELECT purpose, round(median(unit), 6) AS unit_center, round(quantile_cont(unit, 0.75) - quantile_cont(unit, 0.25), 6) AS unit_scale,
   round(median(year), 6) AS year_center, round(quantile_cont(year, 0.75) - quantile_cont(year, 0.25), 6) AS year_scale, round(median(lot_area), 6) AS lot_area_center, round(quantile_cont(lot_area, 0.75) - quantile_cont(lot_area, 0.25), 6) AS lot_area_scale FROM p GROUP BY 1""")
 def center_scales(spark, sf_dir):
-    out = center_scale(staged(priced(spark, sf_dir).select("purpose", "unit", "year", "lot_area")), ["purpose"], ["unit", "year", "lot_area"])
+    out = center_scale(priced(spark, sf_dir), ["purpose"], ["unit", "year", "lot_area"])
     return out.select("purpose", *(r6(f"{c}_{s}").alias(f"{c}_{s}") for c in ("unit", "year", "lot_area") for s in ("center", "scale")))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import APARTMENT, HOUSE, LAND, OFFICE, PARKING, SHOP
+from .stage import spread
 
 CLASSES = {"ECONOMY": HOUSE, "LARGE": APARTMENT, "MEDIUM": OFFICE, "PROMO": SHOP, "SMALL": LAND, "STANDARD": PARKING}
 LAST_YEAR = 2026
@@ -16,7 +17,7 @@ def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     part = read("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     orders = read("orders").select("o_orderkey", F.year("o_orderdate").cast("double").alias("year"))
-    line = read("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    line = spread(read("lineitem")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     sale, offer = F.col("l_returnflag") == "R", F.col("l_returnflag") == "N"
     kinds = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
     degree = lambda a, b: F.pmod(F.col("l_suppkey") * a + F.col("l_partkey") * b, F.lit(1000)).cast("double")

@@ -21,3 +21,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read from files, dealt over all cores where fewer tasks would read it.
+    Such a table is smaller than a file split for each core; one of many splits, or row
+    groups, stays as it is and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
