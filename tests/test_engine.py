@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from vicinity.functions import roles
 from vicinity.operators import backtest, dedup, enrich, geocode, knn
 from vicinity.operators.discount import offer_discount
-from vicinity.operators.robust import capped_weights, center_scale, weighted_quantile
+from vicinity.operators.robust import capped_weights, center_scale, quantiles, weighted_quantile
 from vicinity.plans import params
 from vicinity.plans.prepare import prepare
+from vicinity.sources.stage import spread
 
 SCHEMA = "id long, purpose string, built_area double, private_area double, lot_area double, frontage double, year double, lat double, lon double, unit double"
 
@@ -83,6 +84,28 @@ def test_statistics(spark):
     assert {r.g: r.m for r in q.collect()} == {1: 5.0, 2: 7.0}
 
 
+def test_quantiles_of_large_and_small_groups(spark):
+    """Group a is past the size from which brackets are used, with ties in y and nulls;
+    b is small and has no y, c has nothing."""
+    rng = np.random.default_rng(2)
+    rows = [("a", float(x), float(y) if y else None) for x, y in zip(rng.normal(size=30_000), rng.integers(0, 9, 30_000))]
+    rows += [("b", float(x), None) for x in range(7)] + [("c", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    levels = [0.1, 0.5, 0.75]
+    got = {(r.g, r.name): (r.n, r.q) for r in quantiles(df, ["g"], {"x": F.col("x"), "y": F.col("y")}, levels).collect()}
+    assert set(got) == {("a", "x"), ("a", "y"), ("b", "x")}
+    for (g, name), (n, q) in got.items():
+        values = [r["xy".index(name) + 1] for r in rows if r[0] == g and r["xy".index(name) + 1] is not None]
+        assert n == len(values) and np.allclose(q, np.quantile(values, levels), atol=1e-12)
+
+
+def test_spread_of_few_and_many_partitions(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == cores
+    assert spread(spark.range(0, 10, 1, cores + 3)).rdd.getNumPartitions() == cores + 3
+    assert sorted(r.id for r in spread(spark.range(0, 10, 1, 1)).collect()) == list(range(10))
+
+
 def test_discount_states(spark):
     rows = [("a", 1.0, False, True), ("b", 1.0, True, False), ("c", 1.0, True, False), ("c", 2.0, False, True)]
     rows += [("d", float(80 + i), True, False) for i in range(6)] + [("d", float(100 + i), False, True) for i in range(6)]
