@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame) -> DataFrame:
     """The table, written below spark.checkpoint.dir and read again, so that plans that
     use it several times compute it once and a lost executor costs no more than a read.
-    Where the setting is missing, as in tests, a temporary folder takes its place."""
+    Where the setting is missing, as in tests, a temporary folder takes its place.
+    The table is removed when the driver ends."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
@@ -20,6 +21,8 @@ def staged(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
