@@ -22,14 +22,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/vicinity-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    """The folder's Hadoop path and file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The table, written to the shared folder and read again: lineage ends here,
-    and a lost executor costs no more than a read."""
-    path = shared_dir(df.sparkSession)
+    and a lost executor costs no more than a read.  The folder is removed when the
+    driver ends."""
+    path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
+    folder, fs = _files(df.sparkSession, path)
+    fs.deleteOnExit(folder)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of written() that no plan reads any more."""
+    folder, fs = _files(spark, path)
+    fs.delete(folder, True)
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo n."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
@@ -44,8 +59,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     so a node with very many links is split like any skewed join.  Null ends and
     loops are ignored; repeated edges count once; an empty table gives none.
     """
+    spark = edges.sparkSession
+    path = shared_dir(spark)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = written(e.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct())
+    e = written(e.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct(), path)
     mark = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = mark(e)
     while seen[0]:
@@ -54,8 +71,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        e = written(small.select("e.u", "e.v").where("u != v").distinct())
+        before, path = path, shared_dir(spark)
+        e = written(small.select("e.u", "e.v").where("u != v").distinct(), path)
         now = mark(e)
+        removed(spark, before)  # only the newest edges are read from here on
         if now == seen:
             break
         seen = now
