@@ -75,6 +75,21 @@ def _cells(classes: DataFrame, budget: float, block: int) -> DataFrame:
     return classes.select("rep", "v").mapInArrow(run, "rep long, block int, cell int, home boolean")
 
 
+def _products(left, right, home, same, rows_at_once):
+    """(rows, rows, whether only later ones count): what to compare in a pair of tiles.
+    Pairs in range meet in one cell where one of them is at home, so guests aren't
+    compared with guests; within a tile (same) each row is compared with those after it."""
+    own, guests = left[home[left]], left[~home[left]]
+    if same:
+        order = np.concatenate([own, guests])
+        for at in range(0, len(own), rows_at_once):
+            yield own[at : at + rows_at_once], order[at:], True
+        return
+    for rows, others in ((own, right), (guests, right[home[right]])):
+        for at in range(0, len(rows), rows_at_once):
+            yield rows[at : at + rows_at_once], others, False
+
+
 def _links_of(ids, v, times, home, tile, b, i, j, min_cos, block, rows_at_once=512):
     """Links that block b finds between tiles i and j of one cell: (links of each row,
     row it is grouped with)."""
@@ -95,14 +110,12 @@ def _links_of(ids, v, times, home, tile, b, i, j, min_cos, block, rows_at_once=5
             k = group[k]
         return k
 
-    for at in range(0, len(left), rows_at_once):
-        own = left[at : at + rows_at_once]
-        near = sq[own][:, None] + sq[right][None, :] - 2 * (x[own] @ x[right].T) <= share[b] + 1e-5
-        near &= home[own][:, None] | home[right][None, :]
+    for own, other, later in _products(left, right, home, i == j, rows_at_once):
+        near = sq[own][:, None] + sq[other][None, :] - 2 * (x[own] @ x[other].T) <= share[b] + 1e-5
         p, q = np.nonzero(near)
-        p, q = own[p], right[q]
-        keep = p < q if i == j else np.ones(len(p), bool)
-        p, q = p[keep], q[keep]
+        if later:
+            p, q = p[p < q], q[p < q]
+        p, q = own[p], other[q]
         for c in [*range(b), b]:  # the first block that has the pair in range takes it
             s, t = cuts[c]
             within = ((u[p, s:t] - u[q, s:t]) ** 2).sum(1) <= share[c] + 1e-9
