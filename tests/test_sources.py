@@ -60,3 +60,9 @@ def test_address_forms(spark):
     df = spark.createDataFrame([(a,) for a in forms], "a string")
     street, number = T.street_and_number(F.col("a"))
     assert {r.a: (r.s, r.n) for r in df.select("a", street.alias("s"), number.alias("n")).collect()} == forms
+
+
+def test_one_local_folder_per_application():
+    from vicinity.sources.stage import _local_dir
+
+    assert _local_dir("a") == _local_dir("a") != _local_dir("b")

@@ -3,10 +3,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame
 
 
+@cache
+def _local_dir(application: str) -> str:
+    """The folder of an application with a local master that names none."""
+    return "file://" + tempfile.mkdtemp(prefix="vicinity-")
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The table, written below spark.checkpoint.dir and read again, so that plans that
     use it several times compute it once and a lost executor costs no more than a read.
@@ -17,8 +24,7 @@ def staged(df: DataFrame) -> DataFrame:
     if not top:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="vicinity-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        top = _local_dir(spark.sparkContext.applicationId)
     path = f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
