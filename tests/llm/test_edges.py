@@ -213,3 +213,35 @@ def test_pipeline_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_components_keep_only_the_newest_edges(spark, tmp_path, monkeypatch):
+    """Earlier rounds' edges are removed; the result still reads whole."""
+    from vicinity.llm import shared
+
+    folders = (f"file://{tmp_path}/{n}" for n in range(100))
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: next(folders))
+    found = shared.components(spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(40, 41), (7, 7), (None, 3)], "a long, b long"))
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 1) for i in range(1, 21)} | {(40, 40), (41, 40)}
+    assert len(list(tmp_path.iterdir())) == 1 and next(folders) > f"file://{tmp_path}/2"
+
+
+def test_products_meet_each_pair_once():
+    """Pairs of rows of which one is at home, each once, guests never with guests."""
+    import numpy as np
+
+    from vicinity.llm.embedding_dedup import _products
+
+    home = np.array([True, False, True, True, False, True, False])
+    rows = np.arange(7)
+
+    def met(left, right, same):
+        out = []
+        for own, other, later in _products(left, right, home, same, 2):
+            out += [tuple(sorted((int(own[p]), int(other[q])))) for p in range(len(own)) for q in range(len(other)) if not later or p < q]
+        return sorted(out)
+
+    wanted = lambda pairs: sorted((p, q) for p, q in pairs if home[p] or home[q])
+    assert met(rows, rows, True) == wanted((p, q) for p in rows for q in rows if p < q)
+    assert met(rows[:3], rows[3:], False) == wanted((p, q) for p in rows[:3] for q in rows[3:])
+    assert met(rows[1:2], rows[4:5], False) == []
