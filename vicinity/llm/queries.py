@@ -83,13 +83,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality_lm, op8_warc_zip, op9_line_crf, op10_language_id)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_embedding_dedup, op3_jaccard_join, op4_packing, op5_line_dedup, op6_toxicity, op7_quality_lm, op8_warc_zip, op9_line_crf, op10_language_id, op11_whitening, op12_mixing, op13_spelling)}
 
 
 def _oracles() -> dict[str, str]:
-    from . import line_dedup
+    from . import line_dedup, mixing
 
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op12_mixing": mixing.ORACLE}
 
 
 ORACLES = _oracles()
