@@ -10,14 +10,16 @@ exactly one cell, and a cell with many vectors is dealt out as pairs of tiles.
 pair is taken up by the first block that finds it and is verified exactly, by cosine
 in double precision of the vectors as given.
 
-Equal vectors of a label are one row with a count, so copies don't multiply pairs.
+Equal vectors of a label are one class with a number of its own and a count, so copies
+don't multiply pairs.
 Links are counted where they are found and leave a task as one row per vector, with
 one edge to the smallest vector of its group: no pair is emitted.
 
 Only vectors of the same label (not null) and dimension are compared.  Vectors that
-are null, zero or hold null or non-finite components link with nothing.  Rows that
-repeat an id add up their links and share its component.  Extra columns are ignored;
-an empty table gives no rows.
+are null, zero or hold null or non-finite components link with nothing; others may be
+of any size.  Rows that repeat an id add up their links and share its component: an id
+with several vectors, or labels, is one node that has the links of all.  Extra columns
+are ignored; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -43,8 +45,13 @@ def turned(v: np.ndarray) -> np.ndarray:
 
 
 def _stack(column) -> np.ndarray:
+    """The vectors, each times a power of two, which leaves cosines as they are, so that
+    its squares neither over- nor underflow."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1) if len(values) else np.zeros((0, 1))
+    if not len(values):
+        return np.zeros((0, 1))
+    v = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(values), -1)
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
 
 
 def _blocks(d: int, block: int) -> list[tuple[int, int]]:
@@ -70,9 +77,9 @@ def _cells(classes: DataFrame, budget: float, block: int) -> DataFrame:
                     for rep, c, home in ((reps, cell, True), (reps[guest], cell[guest] + 1, False)):
                         out[0].append(rep), out[1].append(np.full(len(rep), b)), out[2].append(c), out[3].append(np.full(len(rep), home))
             cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.bool_())], ["rep", "block", "cell", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.bool_())], ["rep", "block", "cell", "home"])
 
-    return classes.select("rep", "v").mapInArrow(run, "rep long, block int, cell int, home boolean")
+    return classes.select("rep", "v").mapInArrow(run, "rep long, block int, cell long, home boolean")
 
 
 def _products(left, right, home, same, rows_at_once):
@@ -155,12 +162,15 @@ def _forest(p: np.ndarray, q: np.ndarray):
 
 def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", min_cos: float = 0.93, block: int = 8, tile: int = 4096) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row."""
+    if not -1 <= min_cos <= 1:
+        raise ValueError("min_cos must be from -1 to 1")
     kind = vectors.schema[id_col].dataType
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = rows.where(F.coalesce(good, F.lit(False)))
-    classes = written(valid.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("times")))
-    members = valid.join(classes, ["label", "v"]).select("id", "rep", "times")
+    classes = valid.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("times"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))  # as written, so numbered once
+    members = valid.join(classes, ["label", "v"]).select("id", "rep", "least", "times")
 
     cells = _cells(classes, 2 - 2 * min_cos, block)
     dealt = cells.join(classes.select("rep", "label", F.size("v").alias("d")), "rep")
@@ -181,8 +191,11 @@ def near_duplicates(vectors: DataFrame, id_col="vec_id", vector_col="embedding",
 
     found = written(sent.groupBy(*key, "i", "j").applyInArrow(run, "a long, b long, n long"))
     linked = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    groups = components(found.select("a", "b")).withColumnRenamed("node", "rep")
-    own = members.join(linked, "rep", "left").join(groups, "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
+    several = members.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("z")).where("b != z")  # ids that stand for several classes join them
+    edges = found.select("a", "b").unionByName(members.join(several, "id").select(F.col("rep").alias("a"), "b"))
+    groups = written(components(edges).withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep"))
+    named = groups.join(groups.groupBy("component").agg(F.min("least").alias("c")), "component").select("rep", "c")
+    own = members.join(linked, "rep", "left").join(named, "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("c", "least").alias("c"))
     own = own.groupBy("id").agg(F.sum("n").alias("n"), F.min("c").alias("c"))
     out = rows.select("id").join(own, "id", "left")
     component = F.coalesce("c", "id")

@@ -16,7 +16,8 @@ def _local_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir.
+    """A new folder below the one that the cluster names in spark.checkpoint.dir; it is
+    removed when the driver ends, whatever became of the work in it.
 
     Only where that is unset (local tests) a temporary folder takes its place.
     """
@@ -25,7 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = _local_dir(spark.sparkContext.applicationId)
-    return f"{top.rstrip('/')}/vicinity-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/vicinity-{uuid.uuid4().hex}"
+    folder, fs = _files(spark, path)
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
 
 
 def _files(spark: SparkSession, path: str):
@@ -35,19 +40,17 @@ def _files(spark: SparkSession, path: str):
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The table, written to the shared folder and read again: lineage ends here,
-    and a lost executor costs no more than a read.  The folder is removed when the
-    driver ends."""
-    path = path or shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    folder, fs = _files(df.sparkSession, path)
-    fs.deleteOnExit(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The table, written to a folder of shared_dir() and read again: lineage ends here,
+    and a lost executor costs no more than a read."""
+    rows = f"{path or shared_dir(df.sparkSession)}/rows"
+    df.write.parquet(rows)
+    return df.sparkSession.read.schema(df.schema).parquet(rows)
 
 
 def removed(spark: SparkSession, path: str) -> None:
-    """Removes a folder of written() that no plan reads any more."""
+    """Removes a folder of shared_dir() that no plan reads any more."""
     folder, fs = _files(spark, path)
+    fs.cancelDeleteOnExit(folder)
     fs.delete(folder, True)
 
 

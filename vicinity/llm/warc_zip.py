@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import removed, shared_dir, written
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 BATCH = 4 << 20  # bytes of neighbouring records that one range read may take
@@ -274,5 +274,10 @@ def read_packages(packages: DataFrame, path_col="path", with_payload: bool = Fal
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame, **how) -> DataFrame:
-    """Writes pages as packages in the shared folder and reads their records back."""
-    return read_packages(write_packages(pages, shared_dir(spark), **how))
+    """Writes pages as packages in the shared folder and reads their records back.  The
+    packages, and what failed or doubled attempts left of others, go once the records
+    are read."""
+    folder = shared_dir(spark)
+    records = written(read_packages(write_packages(pages, folder, **how)))
+    removed(spark, folder)
+    return records
