@@ -1,14 +1,12 @@
 """Discount of asking prices against recorded sales, by paired quantiles."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.params import DISCOUNT_CAP, OFFERS_ONLY_DISCOUNT
 from ..sources.stage import staged
-from .robust import quantiles
+from .robust import histogram_quantiles
 
 
 def offer_discount(df: DataFrame, group: list[str], unit: str = "unit_value", is_sale: str = "is_sale", is_offer: str = "is_offer", cap: float = DISCOUNT_CAP) -> DataFrame:
@@ -16,20 +14,19 @@ def offer_discount(df: DataFrame, group: list[str], unit: str = "unit_value", is
 
     With two of each, n = clip(min(counts), 5, 19) levels from 0.1 to 0.9; the median
     of 1 - sale quantile / offer quantile, clipped to [0, cap].  Only offers: a fixed
-    10 %.  Counts first, then both sides' quantiles at each group's own levels.
+    10 %.  Counts first, then both sides' quantiles at each group's own levels, all
+    groups in one pass.
     """
     price = F.when(F.col(unit) > 0, F.col(unit))
     rows = staged(df.select(*group, F.when(F.col(is_sale), price).alias("s"), F.when(F.col(is_offer), price).alias("o")))
     stats = rows.groupBy(*group).agg(F.count("s").alias("n_sales"), F.count("o").alias("n_offers"))
     both = (F.col("n_sales") >= 2) & (F.col("n_offers") >= 2)
     stats = staged(stats.withColumn("n_quantiles", F.when(both, F.greatest(F.lit(5), F.least(F.lit(19), F.least("n_sales", "n_offers")))).cast("int")))
-    # levels depend on both counts: groups are asked by their number of levels, 15 at most
-    sides = []
-    for (k,) in stats.where("n_quantiles IS NOT NULL").select("n_quantiles").distinct().collect():
-        own = rows.join(stats.where(F.col("n_quantiles") == k).select(*group), group)
-        q = quantiles(own, group, {"s": F.col("s"), "o": F.col("o")}, [0.1 + 0.8 * i / (k - 1) for i in range(k)])
-        sides.append(q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q{c}") for c in ("s", "o"))))
-    q = reduce(DataFrame.unionByName, sides) if sides else stats.select(*group, *(F.lit(None).cast("array<double>").alias(f"q{c}") for c in ("s", "o"))).limit(0)
+    k = F.col("n_quantiles")
+    levels = stats.where(k.isNotNull()).select(*group, F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.lit(0.1) + F.lit(0.8) * i / (k - 1)).alias("levels"))
+    side = lambda c: rows.where(F.col(c).isNotNull()).select(*group, F.lit(c).alias("name"), F.col(c).alias("v"))
+    q = histogram_quantiles(side("s").unionByName(side("o")), [*group, "name"], levels)
+    q = q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q{c}") for c in ("s", "o")))
     ratio = F.zip_with("qs", "qo", lambda a, b: F.when(b > 0, 1 - a / b))
     out = stats.join(q, group, "left").withColumn("d", F.array_sort(F.array_compact(ratio)))
     m = F.size("d")

@@ -58,6 +58,55 @@ def _picked(inside: DataFrame, keys: list[str], levels: list[float]) -> DataFram
     return staged(found.select(*keys, "n", F.array(*q).alias("q")))
 
 
+def histogram_quantiles(rows: DataFrame, group: list[str], levels: list[float] | DataFrame) -> DataFrame:
+    """(*group, n, q) from rows (*group, v): the linear quantiles at levels, the same for
+    all or a table (*group, levels); nulls are left out.
+
+    Rows are never put in order: the first pass sums them by logarithmic bucket (combined
+    before the shuffle), which shows the buckets that hold a wanted rank; the second sums
+    the rows of those buckets by value.  A costly table is staged by the caller."""
+    rows = rows.where("v IS NOT NULL").withColumn("b", F.floor(F.signum("v") * F.log1p(F.abs("v") * 1e6) * 256))
+    hits = wanted_buckets(rows.groupBy(*group, "b").agg(F.count("*").alias("n"), F.count("*").alias("m")), group, levels)
+    own = rows.join(hits.select(*group, "b"), [*group, "b"], "left_semi").groupBy(*group, "b", "v").agg(F.count("*").alias("m"))
+    return picked_values(own, hits, group)
+
+
+def _hit(r: Column, before: Column, upto: Column, weighted: bool) -> Column:
+    """Whether a wanted rank, or share of the weight, lies in what follows on `before`."""
+    return (before < r.k * F.col("total")) & (upto >= r.k * F.col("total")) if weighted else (before <= r.k) & (r.k < upto)
+
+
+def wanted_buckets(h: DataFrame, keys: list[str], levels: list[float] | DataFrame, weighted: bool = False) -> DataFrame:
+    """Of buckets (*keys, b, n rows, m: rows or weight) those that hold a wanted rank, with
+    what lies before them (*keys, b, n, total, before, levels, wanted)."""
+    order, whole = Window.partitionBy(*keys).orderBy("b"), Window.partitionBy(*keys)
+    h = h.withColumns({"n": F.sum("n").over(whole), "upto": F.sum("m").over(order)}).withColumns({"before": F.coalesce(F.lag("upto").over(order), F.lit(0)), "total": F.max("upto").over(whole)})
+    h = h.withColumn("levels", F.array(*map(F.lit, levels))) if isinstance(levels, list) else h.join(levels, [c for c in keys if c in levels.columns])
+    if weighted:  # the least sum that reaches the level, but for rounding
+        wanted = F.transform("levels", lambda x, i: F.struct(i.alias("i"), F.lit(0).alias("end"), (x - 1e-12).alias("k")))
+    else:
+        at = lambda x: x * (F.col("n") - 1)
+        wanted = F.flatten(F.transform("levels", lambda x, i: F.array(F.struct(i.alias("i"), F.lit(0).alias("end"), F.floor(at(x)).alias("k")), F.struct(i.alias("i"), F.lit(1).alias("end"), F.ceil(at(x)).alias("k")))))
+    h = h.withColumn("wanted", F.filter(wanted, lambda r: _hit(r, F.col("before"), F.col("upto"), weighted)))
+    return h.where(F.size("wanted") > 0).select(*keys, "b", "n", "total", "before", "levels", "wanted")
+
+
+def picked_values(own: DataFrame, hits: DataFrame, keys: list[str], weighted: bool = False) -> DataFrame:
+    """(*keys, n, q) from the values (*keys, b, v, m) of the wanted buckets: for each level
+    the linear quantile, or the first value whose cumulative weight reaches it."""
+    inside = Window.partitionBy(*keys, "b").orderBy("v")
+    own = own.join(hits, [*keys, "b"]).withColumn("sum", F.sum("m").over(inside))
+    own = own.withColumns({"upto": F.col("before") + F.col("sum"), "start": F.col("before") + F.coalesce(F.lag("sum").over(inside), F.lit(0)), "last": F.lead("v").over(inside).isNull()})
+    # the last value of a bucket stands in where sums in another order fall short of the level
+    hit = lambda r: _hit(r, F.col("start"), F.when(F.col("last"), F.greatest("upto", F.col("before"), r.k * F.col("total"))).otherwise(F.col("upto")) if weighted else F.col("upto"), weighted)
+    found = own.select(*keys, "n", "levels", "v", F.explode(F.filter("wanted", hit)).alias("r"))
+    found = found.groupBy(*keys, "n", "levels", "r.i").agg(F.max(F.when(F.col("r.end") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("r.end") == 1, F.col("v"))).alias("high"))
+    place = F.element_at("levels", F.col("i") + 1) * (F.col("n") - 1)
+    value = F.col("low") if weighted else F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))
+    lists = found.groupBy(*keys, "n").agg(F.array_sort(F.collect_list(F.struct("i", value.alias("q")))).alias("q"))  # one entry a level
+    return lists.select(*keys, "n", F.col("q.q").alias("q"))
+
+
 def by_name(q: DataFrame, group: list[str], fields: dict[str, tuple[str, int]]) -> DataFrame:
     """One row per group from quantiles(): column -> (name, number of the level)."""
     return q.groupBy(*group).agg(*(F.max(F.when(F.col("name") == name, F.get("q", F.lit(k)))).alias(c) for c, (name, k) in fields.items()))
@@ -128,13 +177,17 @@ def weighted_quantile(df: DataFrame, group: list[str], value: Column, weight: Co
 def capped_weights_of_many(df: DataFrame, group: list[str], raw: Column, cap: float, tie: str) -> DataFrame:
     """capped_weights() for groups of any size and one cap: no more than 1 / cap rows can
     be at the cap, so the largest of each group and sums tell all weights.  Of groups
-    smaller than 1 / cap every row weighs the same."""
+    smaller than 1 / cap every row weighs the same.  Only rows that may be among the
+    largest are put in order: those that reach as many of the largest of 64 shares of
+    their group as are wanted.  The rows are made again, not staged."""
     most = int(1 / cap) + 1
     rows = df.withColumn("_raw", F.when(raw > 0, raw).otherwise(0.0))
-    whole = rows.groupBy(*group).agg(F.sum("_raw").alias("_sum"), F.count("*").alias("_n"))
-    top = rows.select(*group, "_raw", F.col(tie).alias("_t")).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_raw"), "_t"))).where(F.col("_k") <= most)
+    whole = rows.groupBy(*group, F.pmod(F.xxhash64(tie), F.lit(64)).alias("_share")).agg(F.sum("_raw").alias("s"), F.count("*").alias("n"), F.max("_raw").alias("x"))
+    whole = whole.groupBy(*group).agg(F.sum("s").alias("_sum"), F.sum("n").alias("_n"), F.sort_array(F.collect_list("x"), asc=False).alias("_x"))
+    whole = staged(whole.select(*group, "_sum", "_n", F.coalesce(F.get("_x", F.lit(most - 1)), F.lit(0.0)).alias("_least")))
+    top = rows.join(whole, group).where("_raw >= _least").select(*group, "_raw", F.col(tie).alias("_t")).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_raw"), "_t"))).where(F.col("_k") <= most)
     lists = top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_raw", "_t"))), lambda r: F.struct(r._raw.alias("r"), r._t.alias("t"))).alias("_top"))
-    head = whole.join(lists, group).withColumn("_cap", F.least(F.lit(1.0), F.greatest(F.lit(cap), 1 / F.col("_n"))))
+    head = whole.drop("_least").join(lists, group).withColumn("_cap", F.least(F.lit(1.0), F.greatest(F.lit(cap), 1 / F.col("_n"))))
     raws = F.transform("_top", lambda r: r.r)
     tail = lambda m: F.col("_sum") - F.aggregate(F.slice(raws, 1, m), F.lit(0.0), lambda a, x: a + x)
     fits = F.filter(F.sequence(F.lit(0), F.size("_top") - 1), lambda m: (tail(m) > 0) & ((1 - m * F.col("_cap")) * F.get(raws, m) <= (F.col("_cap") + 1e-15) * tail(m)))

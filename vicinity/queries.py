@@ -14,7 +14,7 @@ from .operators.robust import by_name, capped_weights, center_scale, quantiles,
 from .plans.params import FLOORS
 from .plans.prepare import prepare
 from .sources.market_view import LAST_YEAR, MARKET_SQL, market_rows
-from .sources.stage import spread, staged
+from .sources.stage import spread, staged, staged_wide
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +51,7 @@ def priced(spark, sf_dir) -> DataFrame:
 
 def candidates(spark, sf_dir) -> DataFrame:
     """priced(), staged with the columns that valuations read."""
-    return staged(priced(spark, sf_dir).select("id", "purpose", "group", "is_sale", *knn.FEATURES, "lat", "lon", "unit"))
+    return staged_wide(priced(spark, sf_dir).select("id", "purpose", "group", "is_sale", *knn.FEATURES, "lat", "lon", "unit"))
 
 
 PURPOSES = ["CASA / RESIDÊNCIA", "APARTAMENTO", "SALA COMERCIAL", "LOJA", "TERRENO", "GARAGEM / VAGA"]
@@ -76,7 +76,7 @@ r AS (SELECT *, concat_ws('; ', CASE WHEN value IS NULL OR NOT value > 0 THEN 'v
     CASE WHEN unit_value IS NULL OR NOT unit_value > 0 THEN 'valor unitário inválido' END,
     CASE WHEN unit_value > 0 AND unit_value < flr THEN 'valor unitário abaixo do piso da finalidade' END) AS reasons FROM u)"""
 DISCOUNT = f"""{RULED},
-kept AS (SELECT * FROM r WHERE reasons = ''),
+kept AS MATERIALIZED (SELECT * FROM r WHERE reasons = ''),
 cnt AS (SELECT purpose, count(*) FILTER (WHERE is_sale) AS n_sales, count(*) FILTER (WHERE is_offer) AS n_offers,
     list(unit_value) FILTER (is_sale) AS ls, list(unit_value) FILTER (is_offer) AS lo FROM kept GROUP BY purpose),
 nq AS (SELECT *, CASE WHEN n_sales >= 2 AND n_offers >= 2 THEN greatest(5, least(19, n_sales, n_offers)) END AS n_quantiles FROM cnt),
@@ -91,7 +91,7 @@ disc AS (SELECT purpose, n_sales, n_offers, n_quantiles, raw_median, raw_mean,
     CASE WHEN n_sales = 0 AND n_offers > 0 THEN 'offers_only_fallback' WHEN n_offers = 0 THEN 'no_offers' WHEN n_quantiles IS NULL THEN 'insufficient_mixed_sample' ELSE 'empirical_ratio' END AS source
   FROM nq LEFT JOIN dd USING (purpose))"""
 PRICED = f"""{DISCOUNT},
-p AS (SELECT k.*, unit_value * CASE WHEN is_offer THEN 1 - discount ELSE 1 END AS unit FROM kept k JOIN disc USING (purpose))"""
+p AS MATERIALIZED (SELECT k.*, unit_value * CASE WHEN is_offer THEN 1 - discount ELSE 1 END AS unit FROM kept k JOIN disc USING (purpose))"""
 NATIONS = "tn AS (SELECT CAST(n_nationkey AS BIGINT) AS target_id, ([" + ", ".join(f"'{p}'" for p in PURPOSES) + """])[n_nationkey % 6 + 1] AS tp, CAST(n_nationkey + 10 AS DOUBLE) AS tb,
     CASE WHEN n_nationkey % 2 = 0 THEN CAST(1995 + n_nationkey % 7 AS DOUBLE) END AS ty,
     CASE WHEN n_nationkey % 6 <> 5 THEN CAST(-30.03 AS DOUBLE) + (n_nationkey - 12) * CAST(0.005 AS DOUBLE) END AS tlat,
@@ -110,7 +110,7 @@ pr0 AS (SELECT t.*, p.id, p.unit, p.built_area, p.lot_area, p.year,
   FROM t JOIN p ON p.purpose = t.tp WHERE p.unit > 0 AND p.built_area > 0 AND (tl IS NULL OR p.lot_area > 0) AND (ty IS NULL OR (p.year BETWEEN 1500 AND 2026)) AND (xid IS NULL OR p.id <> xid) AND (xg = '' OR p."group" <> xg)),
 sc AS (SELECT target_id, quantile_cont(built_area, 0.75) - quantile_cont(built_area, 0.25) AS sb, quantile_cont(year, 0.75) - quantile_cont(year, 0.25) AS sy, quantile_cont(lot_area, 0.75) - quantile_cont(lot_area, 0.25) AS sl, median(geo) FILTER (geo > 0) AS g, count(*) AS n FROM pr0 GROUP BY 1),
 pr AS (SELECT pr0.*, n, (pow((built_area - tb) / sb, 2) + CASE WHEN ty IS NULL THEN 0 ELSE pow((pr0.year - ty) / sy, 2) END + CASE WHEN tl IS NULL THEN 0 ELSE pow((lot_area - tl) / sl, 2) END) / (1 + CASE WHEN ty IS NULL THEN 0 ELSE 1 END + CASE WHEN tl IS NULL THEN 0 ELSE 1 END) AS a2, coalesce(least(20.0, greatest(0.25, g)), 1.0)::DOUBLE AS gs FROM pr0 JOIN sc USING (target_id)),
-ds AS (SELECT *, sqrt(phys * a2 + (1 - phys) * coalesce(pow(geo / gs, 2), 0)) AS dist FROM pr)"""
+ds AS MATERIALIZED (SELECT *, sqrt(phys * a2 + (1 - phys) * coalesce(pow(geo / gs, 2), 0)) AS dist FROM pr)"""
 NEAR = f"""{PAIRS},
 nk AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY dist, id) AS rk FROM ds QUALIFY rk <= max_k),
 ks AS (SELECT *, pow(dist + 1e-9::DOUBLE, -pow_) * CASE WHEN geo * 1000 <= 30 THEN 2.0 WHEN geo * 1000 <= 50 THEN 1 + (50 - geo * 1000) / 20 ELSE 1.0 END AS raw, unnest(range(greatest(min_k, rk), max_k + 1)) AS k FROM nk),
@@ -121,7 +121,7 @@ kv AS (SELECT *, greatest(0, least(cp, CASE WHEN mm < nc THEN cp ELSE (1 - nc *
 kx AS (SELECT *, sh / sum(sh) OVER (PARTITION BY target_id, k) AS weight FROM kv),
 ke AS (SELECT *, 1 / sum(weight * weight) OVER (PARTITION BY target_id, k) AS n_eff FROM kx),
 kk AS (SELECT *, coalesce(min(CASE WHEN n_eff >= goal - 1e-9 THEN k END) OVER (PARTITION BY target_id), max_k) AS kb FROM ke),
-nb AS (SELECT * FROM kk WHERE k = kb)"""
+nb AS MATERIALIZED (SELECT * FROM kk WHERE k = kb)"""
 ESTIMATE = f"""{NEAR},
 c1 AS (SELECT *, sum(weight) OVER (PARTITION BY target_id ORDER BY unit, id) AS cw FROM nb),
 md AS (SELECT target_id, min(unit) AS med FROM (SELECT *, max(cw) OVER (PARTITION BY target_id) AS tw FROM c1) WHERE cw >= 0.5 * tw GROUP BY 1),
@@ -143,12 +143,12 @@ l0 AS (SELECT *, count(*) OVER (PARTITION BY target_id) AS n_ref, pow(dist + 0.2
 l1 AS (SELECT *, row_number() OVER w - 1 AS lm_, sum(lraw) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ltail FROM l0 WHERE n_ref >= 8 WINDOW w AS (PARTITION BY target_id ORDER BY lraw DESC, id)),
 l2 AS (SELECT *, coalesce(min(CASE WHEN (1 - lm_ * 0.25) * lraw <= (0.25 + 1e-15) * ltail THEN lm_ END) OVER (PARTITION BY target_id), n_ref) AS lc FROM l1),
 l3 AS (SELECT *, max(CASE WHEN lm_ = lc THEN ltail END) OVER (PARTITION BY target_id) AS lrest FROM l2),
-lw AS (SELECT *, CASE WHEN lm_ < lc THEN 0.25::DOUBLE ELSE (1 - lc * 0.25) * lraw / lrest END AS lweight FROM l3),
+lw AS MATERIALIZED (SELECT *, CASE WHEN lm_ < lc THEN 0.25::DOUBLE ELSE (1 - lc * 0.25) * lraw / lrest END AS lweight FROM l3),
 l4 AS (SELECT *, sum(lweight) OVER (PARTITION BY target_id ORDER BY x, id) AS lcum, sum(lweight) OVER (PARTITION BY target_id) AS ltot FROM lw),
 l5 AS (SELECT target_id, min(x) FILTER (lcum >= 0.5 * ltot) AS med, min(x) FILTER (lcum >= 0.25 * ltot) AS q1, min(x) FILTER (lcum >= 0.75 * ltot) AS q3 FROM l4 GROUP BY 1),
-l6 AS (SELECT l4.*, med, q1, q3, sum(lweight) OVER (PARTITION BY target_id ORDER BY abs(x - med), id) AS dcum FROM l4 JOIN l5 USING (target_id)),
+l6 AS MATERIALIZED (SELECT l4.*, med, q1, q3, sum(lweight) OVER (PARTITION BY target_id ORDER BY abs(x - med), id) AS dcum FROM l4 JOIN l5 USING (target_id)),
 l7 AS (SELECT target_id, min(abs(x - med)) FILTER (dcum >= 0.5 * ltot) AS dev FROM l6 GROUP BY 1),
-g0 AS (SELECT *, lead(unit) OVER w AS u, row_number() OVER w AS k, sum(lweight) OVER w AS lw_ FROM lw WINDOW w AS (PARTITION BY target_id ORDER BY unit, id)),
+g0 AS MATERIALIZED (SELECT *, lead(unit) OVER w AS u, row_number() OVER w AS k, sum(lweight) OVER w AS lw_ FROM lw WINDOW w AS (PARTITION BY target_id ORDER BY unit, id)),
 g1 AS (SELECT target_id, unit AS v, u, k, lw_, n_ref, min_k FROM g0 WHERE u / unit >= gr AND k / n_ref <= 0.30 AND lw_ <= 0.30 AND n_ref - k >= greatest(min_k, 8) AND n_ref >= greatest(min_k, 8) + 1),
 g2 AS (SELECT g1.target_id, v, g1.u, g1.k, g1.lw_, median(dist) FILTER (unit <= v) AS dl, median(dist) FILTER (unit > v) AS du FROM g1 JOIN g0 ON g1.target_id = g0.target_id GROUP BY ALL),
 g3 AS (SELECT *, u / v AS gap_ratio, sqrt(u * v) AS gap_cutoff, row_number() OVER (PARTITION BY target_id ORDER BY ln(u / v) * (1 - lw_) / greatest(du / greatest(dl, 1e-9), 0.5) DESC, k) AS best FROM g2 WHERE k <= 2 OR du / greatest(dl, 1e-9) <= 1.35),
@@ -160,14 +160,14 @@ h3 AS (SELECT *, greatest(b1, b2, gap_cutoff) AS b0 FROM h2),
 h4 AS (SELECT h3.target_id, count(*) FILTER (unit < b0) AS n_low, count(*) FILTER (unit < rb) AS n_rb FROM h3 JOIN ds USING (target_id) GROUP BY 1),
 h5 AS (SELECT *, floor(n * 0.30) AS most, greatest(min_k, 2) AS least_ FROM h3 JOIN h4 USING (target_id)),
 h6 AS (SELECT *, n_low > most AND rb > 0 AND n_rb <= most AND n - n_rb >= least_ AS again FROM h5),
-cut AS (SELECT target_id, mode, n_ref AS n_reference, exp(med) AS median, gap_ratio, CASE WHEN again THEN rb ELSE b0 END AS bound, CASE WHEN again THEN 'robust after lock' WHEN b1 = b0 THEN 'robust' WHEN b2 = b0 THEN 'fraction' WHEN gap_cutoff = b0 THEN 'gap' END AS source,
+cut AS MATERIALIZED (SELECT target_id, mode, n_ref AS n_reference, exp(med) AS median, gap_ratio, CASE WHEN again THEN rb ELSE b0 END AS bound, CASE WHEN again THEN 'robust after lock' WHEN b1 = b0 THEN 'robust' WHEN b2 = b0 THEN 'fraction' WHEN gap_cutoff = b0 THEN 'gap' END AS source,
     CASE WHEN b0 IS NULL THEN NULL WHEN n_low > most AND NOT again THEN 'over 30 % of candidates' WHEN n - CASE WHEN again THEN n_rb ELSE n_low END < least_ THEN 'too few left' END AS cancelled FROM h6)"""
 #: The same valuation after the filter: pairs below their target's bound go, and scales are taken anew.
 FILTERED_SQL = """{CUTS},
 f0 AS (SELECT ds.* EXCLUDE (n, a2, gs, dist) FROM ds LEFT JOIN cut ON ds.target_id = cut.target_id AND cancelled IS NULL WHERE bound IS NULL OR unit >= bound),
 fs AS (SELECT target_id, quantile_cont(built_area, 0.75) - quantile_cont(built_area, 0.25) AS sb, quantile_cont(year, 0.75) - quantile_cont(year, 0.25) AS sy, quantile_cont(lot_area, 0.75) - quantile_cont(lot_area, 0.25) AS sl, median(geo) FILTER (geo > 0) AS g, count(*) AS n FROM f0 GROUP BY 1),
 f1 AS (SELECT f0.*, n, (pow((built_area - tb) / sb, 2) + CASE WHEN ty IS NULL THEN 0 ELSE pow((f0.year - ty) / sy, 2) END + CASE WHEN tl IS NULL THEN 0 ELSE pow((lot_area - tl) / sl, 2) END) / (1 + CASE WHEN ty IS NULL THEN 0 ELSE 1 END + CASE WHEN tl IS NULL THEN 0 ELSE 1 END) AS a2, coalesce(least(20.0, greatest(0.25, g)), 1.0)::DOUBLE AS gs FROM f0 JOIN fs USING (target_id)),
-fd AS (SELECT *, sqrt(phys * a2 + (1 - phys) * coalesce(pow(geo / gs, 2), 0)) AS dist FROM f1)"""
+fd AS MATERIALIZED (SELECT *, sqrt(phys * a2 + (1 - phys) * coalesce(pow(geo / gs, 2), 0)) AS dist FROM f1)"""
 
 
 def filtered(estimate: str, cuts: str) -> str:
@@ -215,30 +215,30 @@ def conflict_level(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.combine_conflicts(T.comparison_level(a, b)).alias("level"))
 
 
-@query(f"""WITH {MARKET_SQL}, k AS (SELECT is_sale, is_offer, purpose AS cad, CASE WHEN id % 3 = 0 THEN '' ELSE 'APARTAMENTO' END AS lst, CASE WHEN id % 7 = 0 THEN 'LOJA' ELSE '' END AS exp FROM m WHERE is_sale OR is_offer),
+@query(f"""WITH {MARKET_SQL}, k AS (SELECT is_sale, is_offer, purpose AS cad, CASE WHEN listing_id % 3 = 0 THEN '' ELSE 'APARTAMENTO' END AS lst, CASE WHEN listing_id % 7 = 0 THEN 'LOJA' ELSE '' END AS exp FROM m WHERE is_sale OR is_offer),
 x AS (SELECT *, CASE WHEN exp <> '' THEN exp WHEN is_offer AND lst <> '' THEN lst ELSE cad END AS final, CASE WHEN exp <> '' THEN 'FINALIDADE_CRAWLER' WHEN is_offer AND lst <> '' THEN 'TIPO_CRAWLER' WHEN is_sale THEN 'SIAT' ELSE 'SIAT_FALLBACK' END AS source FROM k)
 SELECT final AS purpose, source, count(*) AS n FROM x GROUP BY 1, 2""")
 def purpose_cascade(spark, sf_dir):
     m = traded(spark, sf_dir)
     kind = F.when(F.col("is_sale"), T.SALE).otherwise(T.OFFER)
-    out, _ = enrich.purpose_cascade(kind, F.when(F.col("id") % 7 == 0, "LOJA").otherwise(""), F.col("purpose"), F.when(F.col("id") % 3 == 0, "").otherwise("APARTAMENTO"))
+    out, _ = enrich.purpose_cascade(kind, F.when(F.col("listing_id") % 7 == 0, "LOJA").otherwise(""), F.col("purpose"), F.when(F.col("listing_id") % 3 == 0, "").otherwise("APARTAMENTO"))
     return m.groupBy(out["_purpose"].alias("purpose"), out["_purpose_source"].alias("source")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {MARKET_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY listing_id, CASE WHEN listing_id = 0 THEN id END ORDER BY "date" DESC NULLS LAST, id DESC) AS rn FROM m WHERE is_offer)
-SELECT purpose, count(*) AS n_kept, CAST(sum(id % 1000000) AS BIGINT) AS id_sum FROM (SELECT purpose, id FROM o WHERE rn = 1 UNION ALL SELECT purpose, id FROM m WHERE is_sale) GROUP BY 1""")
+SELECT purpose, count(*) AS n_kept, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum FROM (SELECT purpose, listing_id, registration FROM o WHERE rn = 1 UNION ALL SELECT purpose, listing_id, registration FROM m WHERE is_sale) GROUP BY 1""")
 def keep_latest_listing(spark, sf_dir):
     m = traded(spark, sf_dir)
     kept = dedup.keep_latest(m, T.listing_key([("listing_id", F.col("listing_id").cast("string"))]), F.col("date"), "id", F.col("is_offer"))
-    return kept.groupBy("purpose").agg(F.count("*").alias("n_kept"), F.sum(F.col("id") % 1_000_000).alias("id_sum"))
+    return kept.groupBy("purpose").agg(F.count("*").alias("n_kept"), F.sum(F.col("listing_id") * 7 + F.col("registration").cast("long")).alias("id_sum"))
 
 
 @query(f"""WITH {MARKET_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY info_type, registration, area, CASE WHEN registration = '0' THEN id END ORDER BY "date" DESC NULLS LAST, id DESC) AS rn FROM m WHERE is_sale OR is_offer)
-SELECT purpose, count(*) AS n_kept, CAST(sum(id % 1000000) AS BIGINT) AS id_sum FROM o WHERE rn = 1 GROUP BY 1""")
+SELECT purpose, count(*) AS n_kept, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum FROM o WHERE rn = 1 GROUP BY 1""")
 def keep_latest_primary(spark, sf_dir):
     m = traded(spark, sf_dir)
     kept = dedup.keep_latest(m, dedup.primary_key(F.col("info_type"), F.col("registration"), F.col("area")), F.col("date"), "id")
-    return kept.groupBy("purpose").agg(F.count("*").alias("n_kept"), F.sum(F.col("id") % 1_000_000).alias("id_sum"))
+    return kept.groupBy("purpose").agg(F.count("*").alias("n_kept"), F.sum(F.col("listing_id") * 7 + F.col("registration").cast("long")).alias("id_sum"))
 
 
 @query(f"WITH {RULED} SELECT purpose, is_sale, reasons, count(*) AS n, round(avg(unit_value), 6) AS mean_unit FROM r GROUP BY 1, 2, 3")
@@ -317,9 +317,12 @@ def valid_years(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", N.valid_year(y, LAST_YEAR).alias("ok"))
 
 
+def _market_and_nations(spark, sf_dir):
+    return candidates(spark, sf_dir), staged(knn.resolve_targets(nation_targets(spark, sf_dir), LAST_YEAR))
+
+
 def _distances(spark, sf_dir):
-    t = knn.resolve_targets(nation_targets(spark, sf_dir), LAST_YEAR)
-    return knn.distances(knn.pairs(candidates(spark, sf_dir), t, LAST_YEAR))
+    return knn.distances(*_market_and_nations(spark, sf_dir), LAST_YEAR)
 
 
 @query(f"WITH {PAIRS} SELECT target_id, count(*) AS n, round(min(dist), 6) AS nearest, round(avg(dist), 6) AS mean, round(avg(sqrt(a2)), 6) AS mean_attr, round(avg(geo), 6) AS mean_km FROM ds GROUP BY 1")
@@ -329,19 +332,19 @@ def distance_profile(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT target_id, id, row_number() OVER (PARTITION BY target_id ORDER BY dist, id) AS rank, round(dist, 6) AS dist FROM ds QUALIFY rank <= 10")
 def knn_top10(spark, sf_dir):
-    return knn.ranked(_distances(spark, sf_dir), 10).select("target_id", "id", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+    return knn.nearest(*_market_and_nations(spark, sf_dir), LAST_YEAR, 10).select("target_id", "id", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
 
 
 @query(f"WITH {NEAR} SELECT target_id, id, rk AS rank, round(weight, 6) AS weight, round(n_eff, 6) AS n_eff, k AS k_used FROM nb")
 def knn_adaptive(spark, sf_dir):
-    near = knn.adaptive(knn.ranked(_distances(spark, sf_dir)))
+    near = knn.adaptive(knn.nearest(*_market_and_nations(spark, sf_dir), LAST_YEAR))
     return near.select("target_id", "id", F.col("rank").cast("long").alias("rank"), r6("weight").alias("weight"), r6("n_eff").alias("n_eff"), F.col("k").cast("long").alias("k_used"))
 
 
 @query(f"WITH {ESTIMATE} SELECT target_id, id, round(weight, 6) AS weight, round(ln(unit), 8) AS ln_unit, round(ln(clipped), 8) AS ln_clipped FROM cl")
 def robust_means(spark, sf_dir):
     """By logarithms: sales have unit values of few decimals, at whose halves engines round apart."""
-    near = knn.adaptive(knn.ranked(_distances(spark, sf_dir)))
+    near = knn.adaptive(knn.nearest(*_market_and_nations(spark, sf_dir), LAST_YEAR))
     return robust_mean(near, ["target_id"], "unit", "weight", F.col("mad"), "id").select("target_id", "id", r6("weight").alias("weight"), F.round(F.ln("unit"), 8).alias("ln_unit"), F.round(F.ln("clipped"), 8).alias("ln_clipped"))
 
 
@@ -360,7 +363,7 @@ def valuation(spark, sf_dir):
 
 @query(f"WITH {CUTS} SELECT target_id, mode, n_reference, round(median, 4) AS median, round(bound, 4) AS bound, source, round(gap_ratio, 6) AS gap_ratio, cancelled FROM cut")
 def local_cutoffs(spark, sf_dir):
-    c = knn.local_cutoffs(_distances(spark, sf_dir))
+    c = knn.local_cutoffs(*_market_and_nations(spark, sf_dir), LAST_YEAR)
     return c.select("target_id", "mode", "n_reference", F.round("median", 4).alias("median"), F.round("bound", 4).alias("bound"), "source", r6("gap_ratio").alias("gap_ratio"), "cancelled")
 
 
@@ -368,8 +371,8 @@ def local_cutoffs(spark, sf_dir):
 FROM cut JOIN ds ON ds.target_id = cut.target_id AND cancelled IS NULL AND unit < bound""")
 def local_exclusions(spark, sf_dir):
     """The audit of the local filter."""
-    p = _distances(spark, sf_dir)
-    out = knn.local_exclusions(p, knn.local_cutoffs(p))
+    market, targets = _market_and_nations(spark, sf_dir)
+    out = knn.local_exclusions(knn.pairs(market, targets, LAST_YEAR), knn.local_cutoffs(market, targets, LAST_YEAR))
     return out.select("target_id", "id", "stage", r6(F.col("unit") / F.col("bound")).alias("share_of_bound"), F.round("median", 4).alias("median"), F.round("bound", 4).alias("bound"), "source", r6("gap_ratio").alias("gap_ratio"))
 
 
@@ -378,9 +381,9 @@ pt AS (SELECT target_id, sum(CASE WHEN t < lo OR t > hi THEN 3 WHEN feature = 'y
 q AS (SELECT target_id, CAST(p + CASE WHEN geo_median_km > 10 THEN 2 WHEN geo_median_km > 5 THEN 1 ELSE 0 END + CASE WHEN n_eff < goal - 1e-9 THEN 2 ELSE 0 END + CASE WHEN adjusted_weight > 0.30 THEN 1 ELSE 0 END AS INT) AS risk_points FROM es JOIN pt USING (target_id))
 SELECT target_id, risk_points, CASE WHEN risk_points >= 5 THEN 'alto' WHEN risk_points >= 2 THEN 'moderado' ELSE 'baixo' END AS risk_level, CAST(greatest(20, least(100, 100 - 12 * risk_points)) AS INT) AS confidence FROM q""")
 def risk_score(spark, sf_dir):
-    p = _distances(spark, sf_dir)
-    near = robust_mean(knn.adaptive(knn.ranked(p)), ["target_id"], "unit", "weight", F.col("mad"), "id").withColumn("contribution", F.col("weight") * F.col("clipped"))
-    return knn.risk(knn.coverage(p), knn.estimates(near)).drop("reasons")
+    market, targets = _market_and_nations(spark, sf_dir)
+    near = knn.neighbours(market, targets, LAST_YEAR, local_filter=False)
+    return knn.risk(knn.coverage(knn.pairs(market, targets, LAST_YEAR)), knn.estimates(near)).drop("reasons")
 
 
 @query(f"""WITH {DISCOUNT} SELECT purpose, CASE source WHEN 'offers_only_fallback' THEN '10% convencional — somente ofertas' WHEN 'no_offers' THEN 'sem ofertas' WHEN 'insufficient_mixed_sample' THEN 'amostra mista insuficiente' ELSE
@@ -406,7 +409,7 @@ def ratio_metrics(spark, sf_dir):
 
 #: Targets that leave out themselves and their group, in the place of the nations.
 SAMPLE = """tn AS (SELECT id AS target_id, purpose AS tp, built_area AS tb, year AS ty, lat AS tlat, lon AS tlon, CASE WHEN lot_area > 0 THEN lot_area END AS tl, id AS xid, "group" AS xg, unit AS actual FROM p
-  WHERE is_sale AND unit > 0 AND built_area > 0 AND year BETWEEN 1500 AND 2026 QUALIFY row_number() OVER (PARTITION BY purpose ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) <= 10)"""
+  WHERE is_sale AND unit > 0 AND built_area > 0 AND year BETWEEN 1500 AND 2026 QUALIFY row_number() OVER (PARTITION BY purpose ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) <= 150)"""
 BACKTEST = f"""{filtered(ESTIMATE, CUTS).replace(NATIONS, SAMPLE)},
 bp AS (SELECT t.tp AS purpose, actual, unit_estimate AS predicted FROM t LEFT JOIN es ON es.target_id = t.target_id),
 bm AS (SELECT purpose, median(predicted / actual) AS mr FROM bp GROUP BY 1)"""
@@ -415,9 +418,9 @@ bm AS (SELECT purpose, median(predicted / actual) AS mr FROM bp GROUP BY 1)"""
 @query(f"""WITH {BACKTEST} SELECT purpose, count(predicted) AS n_tested, count(*) FILTER (predicted IS NULL) AS n_failed, round(median(abs(predicted - actual) / actual), 6) AS mdape, round(avg(abs(predicted - actual) / actual), 6) AS mape,
   round(median(abs(predicted - actual)), 3) AS medae, round(median((predicted - actual) / actual), 6) AS median_bias, round(max(mr), 6) AS median_ratio, round(avg(abs(predicted / actual - mr)) / max(mr) * 100, 4) AS cod FROM bp JOIN bm USING (purpose) GROUP BY 1""")
 def backtest_metrics(spark, sf_dir):
-    """Leave-one/group-out backtest of 10 sales of each purpose (a sampling operator)."""
+    """Leave-one/group-out backtest of 150 sales of each purpose (a sampling operator)."""
     market = candidates(spark, sf_dir)
-    targets = staged(B.as_targets(B.sample(B.eligible(market, LAST_YEAR), 10, by=["purpose"])))
+    targets = staged(B.as_targets(B.sample(B.eligible(market, LAST_YEAR), 150, by=["purpose"])))
     out = B.metrics(B.backtest(market, targets, LAST_YEAR), ["purpose"])
     return out.select("purpose", "n_tested", "n_failed", r6("mdape").alias("mdape"), r6("mape").alias("mape"), F.round("medae", 3).alias("medae"), r6("median_bias").alias("median_bias"), r6("median_ratio").alias("median_ratio"), F.round("cod", 4).alias("cod"))
 
@@ -506,32 +509,32 @@ def street_names(spark, sf_dir):
 
 #: A sheet of one purpose with sources that conflict, repeated records, and transfers that aren't sales.
 SHEET_SQL = f"""{MARKET_SQL},
-sh AS (SELECT *, CASE id % 9 WHEN 0 THEN 'doação' ELSE 'compra e venda' END AS nature, id % 11 = 0 AS part, id % 13 = 0 AS several, id % 10 = 0 AS conflict FROM m WHERE purpose = 'LOJA' AND (is_sale OR is_offer)),
+sh AS (SELECT *, CASE listing_id % 9 WHEN 0 THEN 'doação' ELSE 'compra e venda' END AS nature, listing_id % 11 = 0 AS part, listing_id % 13 = 0 AS several, listing_id % 10 = 0 AS conflict FROM m WHERE purpose = 'LOJA' AND (is_sale OR is_offer)),
 k1 AS (SELECT *, row_number() OVER (PARTITION BY info_type, registration, format('{{:.2f}}', value), CASE WHEN registration = '0' OR NOT value > 0 THEN id END ORDER BY "date" DESC, id DESC) AS r1 FROM sh WHERE NOT conflict),
-k2 AS (SELECT *, row_number() OVER (PARTITION BY is_offer, CASE WHEN is_offer AND listing_id <> 0 THEN listing_id ELSE -id END ORDER BY "date" DESC, id DESC) AS r2 FROM k1 WHERE r1 = 1),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY is_offer, CASE WHEN is_offer AND listing_id <> 0 THEN CAST(listing_id AS VARCHAR) ELSE 'row ' || id END ORDER BY "date" DESC, id DESC) AS r2 FROM k1 WHERE r1 = 1),
 u0 AS (SELECT *, value / nullif(built_area, 0) AS uv FROM k2 WHERE r2 = 1),
 u1 AS (SELECT *, concat_ws('; ', CASE WHEN NOT coalesce(value > 0, false) THEN 'valor ausente ou não positivo' END, CASE WHEN value > 0 AND value <= 1 THEN 'valor simbólico' END, CASE WHEN NOT coalesce(built_area > 0, false) THEN 'área de referência ausente ou não positiva' END,
     CASE WHEN NOT coalesce(uv > 0, false) THEN 'valor unitário inválido' END, CASE WHEN uv > 0 AND uv < 700 THEN 'valor unitário abaixo do piso da finalidade' END, CASE WHEN is_sale AND nature = 'doação' THEN 'natureza não mercadológica' END,
     CASE WHEN is_sale AND part THEN 'transmissão parcial' END, CASE WHEN is_sale AND several THEN 'transmissão de vários imóveis' END) AS reasons FROM u0),
 c1 AS (SELECT median(ln(uv)) AS med, count(*) AS n FROM u1 WHERE reasons = '' AND is_sale), c2 AS (SELECT median(abs(ln(uv) - med)) AS mad FROM u1, c1 WHERE reasons = '' AND is_sale),
 u2 AS (SELECT u1.*, CASE WHEN reasons = '' AND is_sale AND n >= 8 THEN abs(0.6745 * (ln(uv) - med) / mad) END AS z, n FROM u1, c1, c2),
-done AS (SELECT id, CASE WHEN reasons <> '' OR (z > 3.5 AND n >= 15) THEN 'excluded' ELSE 'kept' END AS status, CASE WHEN reasons <> '' THEN 'regra determinística' WHEN z > 3.5 AND n >= 15 THEN 'filtro robusto automático' WHEN z > 2.5 THEN 'alerta robusto' END AS stage,
+done AS (SELECT id, listing_id, registration, CASE WHEN reasons <> '' OR (z > 3.5 AND n >= 15) THEN 'excluded' ELSE 'kept' END AS status, CASE WHEN reasons <> '' THEN 'regra determinística' WHEN z > 3.5 AND n >= 15 THEN 'filtro robusto automático' WHEN z > 2.5 THEN 'alerta robusto' END AS stage,
     CASE WHEN z > 3.5 AND n >= 15 THEN 'valor unitário extremo na amostra de transações' ELSE reasons END AS reasons, coalesce((z > 3.5 AND n < 15) OR (z > 2.5 AND z <= 3.5), false) AS flagged FROM u2
-  UNION ALL SELECT id, 'excluded', 'política de conflito tipológico', 'fontes divergem sobre a finalidade', false FROM sh WHERE conflict)"""
+  UNION ALL SELECT id, listing_id, registration, 'excluded', 'política de conflito tipológico', 'fontes divergem sobre a finalidade', false FROM sh WHERE conflict)"""
 
 
-@query(f"WITH {SHEET_SQL} SELECT status, stage, reasons, flagged, count(*) AS n, CAST(sum(id % 1000000) AS BIGINT) AS id_sum FROM done GROUP BY 1, 2, 3, 4")
+@query(f"WITH {SHEET_SQL} SELECT status, stage, reasons, flagged, count(*) AS n, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum FROM done GROUP BY 1, 2, 3, 4")
 def prepared_market(spark, sf_dir):
     """The whole preparation of one purpose: conflict policy, duplicates, eight rules, robust filter."""
     m = market_rows(spark, sf_dir)
     sheet = m.select(
-        F.col("id").alias("_row_id"), "info_type", F.col("purpose").alias("finalidade"), F.col("value").alias("valor"), F.col("built_area").alias("area"), F.col("date").alias("data_registro"), F.col("registration").alias("siat_inscricao"),
-        F.when(F.col("is_offer"), F.col("listing_id")).alias("id_anuncio"), F.when(F.col("id") % 9 == 0, " Doação ").otherwise("Compra e venda").alias("Natureza da transação"), F.when(F.col("id") % 11 == 0, "1/2").otherwise("100%").alias("fracao_transmitida"),
-        F.when(F.col("id") % 13 == 0, 2).otherwise(1).alias("quantidade_imoveis"), F.when(F.col("id") % 10 == 0, "Sim").otherwise("Não").alias("_purpose_conflict"),
+        F.col("id").alias("_row_id"), F.col("listing_id").alias("_order"), "info_type", F.col("purpose").alias("finalidade"), F.col("value").alias("valor"), F.col("built_area").alias("area"), F.col("date").alias("data_registro"), F.col("registration").alias("siat_inscricao"),
+        F.when(F.col("is_offer"), F.col("listing_id")).alias("id_anuncio"), F.when(F.col("listing_id") % 9 == 0, " Doação ").otherwise("Compra e venda").alias("Natureza da transação"), F.when(F.col("listing_id") % 11 == 0, "1/2").otherwise("100%").alias("fracao_transmitida"),
+        F.when(F.col("listing_id") % 13 == 0, 2).otherwise(1).alias("quantidade_imoveis"), F.when(F.col("listing_id") % 10 == 0, "Sim").otherwise("Não").alias("_purpose_conflict"),
     )
     sheet = sheet.withColumn("info_type", F.when(F.col("info_type") == "guia itbi", T.SALE).when(F.col("info_type") == "oferta", " oferta ").otherwise(T.RENTAL))
     done = prepare(sheet, ColumnMapping(info_type="info_type", purpose="finalidade", value="valor", built_area="area"), "Loja", minimum=1)
-    return done.rows.groupBy(F.col("_status").alias("status"), F.col("_stage").alias("stage"), F.col("_reasons").alias("reasons"), F.col("_flagged").alias("flagged")).agg(F.count("*").alias("n"), F.sum(F.col("_row_id") % 1_000_000).alias("id_sum"))
+    return done.rows.groupBy(F.col("_status").alias("status"), F.col("_stage").alias("stage"), F.col("_reasons").alias("reasons"), F.col("_flagged").alias("flagged")).agg(F.count("*").alias("n"), F.sum(F.col("_order") * 7 + F.col("siat_inscricao").cast("long")).alias("id_sum"))
 
 
 @query(f"""WITH {MARKET_SQL}, v AS (SELECT purpose, median(lat) AS lat, median(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS span, count(*) AS n_points FROM m WHERE is_sale OR is_offer GROUP BY 1)
@@ -543,7 +546,7 @@ def map_view(spark, sf_dir):
 @query(f"""WITH {NEAR}, w AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY weight DESC, id) AS position, min(weight) OVER (PARTITION BY target_id) AS lo, max(weight) OVER (PARTITION BY target_id) AS hi FROM nb)
 SELECT target_id, position, id, round(15 + 16 * CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1 END, 6) AS marker_size, coalesce(translate(format('{{:,.3f}}', geo), ',.', '.,'), '—') AS distance_text, translate(format('{{:,.1f}}', weight * 100), ',.', '.,') || '%' AS weight_text FROM w""")
 def map_table(spark, sf_dir):
-    near = knn.adaptive(knn.ranked(_distances(spark, sf_dir)))
+    near = knn.adaptive(knn.nearest(*_market_and_nations(spark, sf_dir), LAST_YEAR))
     return report.map_table(near).select("target_id", F.col("position").cast("long").alias("position"), "id", r6("marker_size").alias("marker_size"), "distance_text", "weight_text")
 
 

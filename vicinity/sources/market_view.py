@@ -12,8 +12,8 @@ LAST_YEAR = 2026
 
 
 def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item.  The id is composed of its keys, so that it needs no
-    order and no shuffle; part and orders join on their keys."""
+    """One row per line item.  The id is the text of its keys, of whatever size, so that
+    it needs no order and no shuffle; part and orders join on their keys."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     part = read("part").select("p_partkey", "p_type", "p_size", "p_retailprice")
     orders = read("orders").select("o_orderkey", F.year("o_orderdate").cast("double").alias("year"))
@@ -22,7 +22,7 @@ def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
     degree = lambda a, b: F.pmod(F.col("l_suppkey") * a + F.col("l_partkey") * b, F.lit(1000)).cast("double")
     return line.select(
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
         F.when(sale, "guia itbi").when(offer, "oferta").otherwise("oferta aluguel").alias("info_type"), sale.alias("is_sale"), offer.alias("is_offer"),
         kinds[F.col("p_type")].alias("purpose"),
         F.when(sale, F.col("l_extendedprice") * (1 - F.col("l_discount"))).otherwise(F.col("l_extendedprice")).alias("value"), F.col("l_quantity").alias("area"),
@@ -35,7 +35,7 @@ def market_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same rows in SQL.
 MARKET_SQL = """
 m AS (
-  SELECT ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS id,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
     CASE l_returnflag WHEN 'R' THEN 'guia itbi' WHEN 'N' THEN 'oferta' ELSE 'oferta aluguel' END AS info_type,
     l_returnflag = 'R' AS is_sale, l_returnflag = 'N' AS is_offer,
     CASE p_type WHEN 'ECONOMY' THEN 'CASA / RESIDÊNCIA' WHEN 'LARGE' THEN 'APARTAMENTO' WHEN 'MEDIUM' THEN 'SALA COMERCIAL'

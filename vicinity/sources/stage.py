@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -14,11 +16,29 @@ def _local_dir(application: str) -> str:
     return "file://" + tempfile.mkdtemp(prefix="vicinity-")
 
 
+_scopes: ContextVar[tuple] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope():
+    """Removes what is staged inside at its end, whatever happens: for a call whose result
+    has been written or collected by then, as a micro-batch's."""
+    own: list = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for files, folder in own:
+            files.cancelDeleteOnExit(folder)
+            files.delete(folder, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The table, written below spark.checkpoint.dir and read again, so that plans that
     use it several times compute it once and a lost executor costs no more than a read.
     Where the setting is missing, as in tests, a temporary folder takes its place.
-    The table is removed when the driver ends."""
+    The table is removed at the end of the scope() around, or when the driver ends."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
@@ -26,10 +46,21 @@ def staged(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = _local_dir(spark.sparkContext.applicationId)
     path = f"{top.rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)  # also if writing fails
+    for own in _scopes.get()[-1:]:
+        own.append((files, folder))
+    df.write.parquet(f"{path}/rows")
+    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+def staged_wide(df: DataFrame) -> DataFrame:
+    """staged(), with a part for each core at least: for tables whose rows the next steps
+    multiply.  One shuffle of the table, in place of parts that were merged by size."""
+    conf = df.sparkSession.conf
+    return staged(df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(conf.get("spark.sql.shuffle.partitions")))))
 
 
 def spread(df: DataFrame) -> DataFrame:
