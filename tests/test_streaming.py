@@ -1,3 +1,6 @@
+from pathlib import Path
+
+from vicinity.sources import stage
 from vicinity.streaming import value_stream
 
 
@@ -13,11 +16,11 @@ def test_stream_of_targets(spark, tmp_path):
     assert got == {1: ("ok", 6), 2: ("fewer than 2 candidates", None)}
 
 
-def test_batches_leave_nothing_staged(spark, tmp_path, monkeypatch):
+def test_batches_leave_nothing_staged(spark, tmp_path):
     """What a micro-batch stages goes with it."""
-    from vicinity.sources import stage
-
-    monkeypatch.setattr(stage, "_local_dir", lambda _: f"file://{tmp_path}/shared")
+    top = Path((spark.conf.get("spark.checkpoint.dir", None) or stage._local_dir(spark.sparkContext.applicationId)).removeprefix("file://"))
+    staged = lambda: set(top.glob("stage-*"))
+    before = staged()
     market = spark.createDataFrame([(i, "casa", 100.0 + i, 3000.0 - i) for i in range(9)], "id long, purpose string, built_area double, unit double")
     for k in range(3):
         spark.createDataFrame([(k, "casa", 102.0 + k)], "target_id long, purpose string, built_area double").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
@@ -26,10 +29,10 @@ def test_batches_leave_nothing_staged(spark, tmp_path, monkeypatch):
 
     def sink(df, n):
         got.update({r.target_id: r.status for r in df.collect()})
-        held.append(len(list((tmp_path / "shared").iterdir())))
+        held.append(len(staged() - before))
 
     query = value_stream(market, targets, 2026, sink, f"{tmp_path}/checkpoint")
     query.processAllAvailable()
     query.stop()
     assert got == {0: "ok", 1: "ok", 2: "ok"} and all(held)
-    assert list((tmp_path / "shared").iterdir()) == []
+    assert staged() <= before
