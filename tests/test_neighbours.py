@@ -84,9 +84,8 @@ def test_search_under_bounds(spark):
     rows, targets, market, resolved = frames(spark, 5)
     bounds = spark.createDataFrame([(k, 2500.0 + 20 * k) for k in range(0, 40, 2)], "target_id long, _bound double")
     heads = [t | {"bound": 2500.0 + 20 * t["target_id"] if t["target_id"] % 2 == 0 else None} for t in knn.target_rows(resolved)]
-    first = knn.scales(market, resolved, 2026)
     knn.scale_targets(knn._columns(market), heads, 2026)
-    found = knn.search(knn.indexed(market, 2026), resolved, knn._scales(resolved, heads), 2026, bounds, valid=first)
+    found = knn.search(knn.indexed(market, 2026), resolved, knn._scales(resolved, heads), 2026, bounds)
     want = {t[0]: plain(rows, t, 2500.0 + 20 * t[0] if t[0] % 2 == 0 else None)[0][:25] for t in targets}
     assert near_of(knn.ranked(found)) == want
 

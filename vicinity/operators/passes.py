@@ -51,22 +51,68 @@ class Rows:
             self.kept[name] = bucket_of(np.log(np.where(self.positive["unit"], self.x["unit"], 1.0)) if name == "log" else self.x[name])
         return self.kept[name]
 
-    def valid(self, t: dict) -> np.ndarray:
-        """Numbers of the rows that are candidates of a target."""
-        ok = self.positive["unit"].copy()
-        for f in AREAS:
-            if t[f] is not None:
-                ok &= self.positive[f]
-        if t["year"] is not None:
-            ok &= self.year_ok
-        if t["use_place"]:
-            ok &= self.place_ok
+    def signature(self, t: dict) -> tuple[tuple, np.ndarray]:
+        """What a target asks of its candidates, and which rows have it: the same for all
+        targets that use the same features."""
+        key = ("rows", *(t[f] is not None for f in FEATURES), bool(t["use_place"]))
+        if key not in self.kept:
+            ok = self.positive["unit"].copy()
+            for f in AREAS:
+                if t[f] is not None:
+                    ok &= self.positive[f]
+            if t["year"] is not None:
+                ok &= self.year_ok
+            self.kept[key] = ok & self.place_ok if t["use_place"] else ok
+        return key, self.kept[key]
+
+    def left_out(self, t: dict) -> np.ndarray | None:
+        """The rows that a target leaves out: its own, its group's, those below its bound."""
+        out = None
         for c, key in (("id", "exclude_id"), ("group", "exclude_group")):
-            if t[key] not in (None, "") or (c == "id" and t[key] == ""):
-                ok &= ~pc.fill_null(pc.equal(self.table.column(c), pa.scalar(t[key], self.table.schema.field(c).type)), False).to_numpy(zero_copy_only=False)
+            if t[key] is not None and not (c == "group" and t[key] == ""):
+                kind = (c, t[key])
+                if c == "id" or kind not in self.kept:
+                    self.kept["last" if c == "id" else kind] = pc.fill_null(pc.equal(self.table.column(c), pa.scalar(t[key], self.table.schema.field(c).type)), False).to_numpy(zero_copy_only=False)
+                own = self.kept["last" if c == "id" else kind]
+                out = own if out is None else out | own
         if t.get("bound") is not None:
-            ok &= self.x["unit"] >= t["bound"]
-        return np.flatnonzero(ok)
+            low = self.x["unit"] < t["bound"]
+            out = low if out is None else out | low
+        return out
+
+    def valid(self, t: dict) -> np.ndarray:
+        """Numbers of the rows that are candidates of a target."""
+        _, ok = self.signature(t)
+        out = self.left_out(t)
+        return np.flatnonzero(ok if out is None else ok & ~out)
+
+    def counts(self, t: dict, f: str, out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, rows) of a target's candidates by a feature: those of its signature,
+        counted once, less those of the rows that it leaves out."""
+        key, ok = self.signature(t)
+        if (*key, f) not in self.kept:
+            b = self.bucket(f)[ok]
+            low = b.min() if len(b) else 0
+            self.kept[*key, f] = (low, np.bincount(b - low)) if len(b) and b.max() - low < DENSE else (low, None)
+        low, n = self.kept[*key, f]
+        if n is None:
+            kinds, n, _ = summed(self.bucket(f)[ok if out is None else ok & ~out])
+            return kinds, n
+        if out is not None:
+            gone = self.bucket(f)[ok & out]
+            n = n - np.bincount(gone - low, minlength=len(n))
+        some = np.flatnonzero(n)
+        return some + low, n[some]
+
+    def singles(self, t: dict, f: str, out: np.ndarray | None, k: int) -> np.ndarray:
+        """The values of a target's candidates in one bucket, found by the buckets' order."""
+        if ("order", f) not in self.kept:
+            order = np.argsort(self.bucket(f), kind="stable")
+            self.kept["order", f] = order, self.bucket(f)[order]
+        order, b = self.kept["order", f]
+        at = order[np.searchsorted(b, k) : np.searchsorted(b, k, "right")]
+        _, ok = self.signature(t)
+        return self.x[f][at[ok[at] if out is None else ok[at] & ~out[at]]]
 
     def km(self, t: dict, at: np.ndarray) -> np.ndarray:
         x = EARTH_KM * np.cos(np.radians(t["lat"])) * np.radians(self.x["lon"][at] - t["lon"])
@@ -118,6 +164,21 @@ class Rows:
         return out
 
 
+def capped(raw: np.ndarray, cap: float) -> np.ndarray:
+    """Weights of a few rows as robust.capped_weights() has them."""
+    raw = np.where(raw > 0, raw, 0.0)
+    raw = raw if raw.sum() > 0 else np.ones(len(raw))
+    order = np.argsort(-raw, kind="stable")
+    x, n, cap = raw[order], len(raw), min(1.0, max(cap, 1 / len(raw)))
+    tail, m = np.cumsum(x[::-1])[::-1], np.arange(n)
+    fits = np.flatnonzero((tail > 0) & ((1 - m * cap) * x <= (cap + 1e-15) * tail))
+    at = int(fits[0]) if len(fits) else n
+    share = np.where(m < at, cap, (1 - at * cap) * x / (tail[at] if at < n else 1.0))
+    out = np.empty(n)
+    out[order] = np.clip(share, 0.0, cap)
+    return out / out.sum()
+
+
 RANGES = {"strict": (0.5, 2.0, 5.0), "relaxed": (1 / 3, 3.0, 10.0)}
 
 
@@ -189,31 +250,40 @@ def met(market: DataFrame, targets: list[dict], last_year: int, each: Callable,
 
 
 def levels(market: DataFrame, targets: list[dict], last_year: int, values: Callable, at: list[float], weighted: bool = False) -> dict:
-    """{(target's number, name): (n, quantiles)} of what values(target, rows) yields as
-    (name, values, buckets, weights): a pass that sums by bucket, and one for the rows of
-    the buckets that hold a wanted rank."""
-    keys = ["t", "name"]
-
+    """quantiles() of what values(target, rows) yields as (name, values, buckets,
+    weights)."""
     def sums(t, rows):
+        for name, _, b, w in values(t, rows):
+            yield name, *summed(b, w)
+
+    def singles(t, rows, wanted):
         for name, v, b, w in values(t, rows):
-            kinds, n, mass = summed(b, w)
-            if len(kinds):
-                yield name, kinds, n, mass
+            for k in wanted.get(name, ()):
+                some = np.flatnonzero(b == k)
+                yield name, k, v[some], w if w is None else w[some]
+
+    return quantiles(market, targets, last_year, sums, singles, at, weighted)
+
 
-    h = met(market, targets, last_year, sums, "name string, b long, n long, w double").groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.sum("w" if weighted else "n").alias("m"))
+def quantiles(market: DataFrame, targets: list[dict], last_year: int, sums: Callable, singles: Callable, at: list[float], weighted: bool = False) -> dict:
+    """{(target's number, name): (n, quantiles)}: a pass that sums by bucket, (name,
+    buckets, rows, weights) from sums(target, rows); and one for the rows of the buckets
+    that hold a wanted rank, (name, bucket, values, weights) from singles(target, rows,
+    {name: buckets})."""
+    keys = ["t", "name"]
+    some_sums = lambda t, rows: (x for x in sums(t, rows) if len(x[1]))
+    h = met(market, targets, last_year, some_sums, "name string, b long, n long, w double").groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.sum("w" if weighted else "n").alias("m"))
     hits = staged(wanted_buckets(h, keys, at, weighted))
     wanted: dict = {}
     for r in hits.select(*keys, "b").collect():  # a few rows a target and name
-        wanted.setdefault((r.t, r.name), []).append(r.b)
+        wanted.setdefault(r.t, {}).setdefault(r.name, []).append(r.b)
 
     def single(t, rows):
-        for name, v, b, w in values(t, rows):
-            if own := wanted.get((t["t"], name)):
-                for k in own:
-                    some = np.flatnonzero(b == k)
-                    if len(some):
-                        kinds, back, n = np.unique(v[some], return_inverse=True, return_counts=True)
-                        yield name, k, kinds, n, np.bincount(back, w[some]) if w is not None else n.astype(np.float64)
+        if t["t"] in wanted:
+            for name, k, v, w in singles(t, rows, wanted[t["t"]]):
+                if len(v):
+                    kinds, back, n = np.unique(v, return_inverse=True, return_counts=True)
+                    yield name, k, kinds, n, np.bincount(back, w) if w is not None else n.astype(np.float64)
 
     alone = met(market, targets, last_year, single, "name string, b long, v double, n long, w double").groupBy(*keys, "b", "v").agg(F.sum("w" if weighted else "n").alias("m"))
     return {(r.t, r.name): (r.n, r.q) for r in picked_values(alone, hits, keys, weighted).collect()}
@@ -222,19 +292,38 @@ def levels(market: DataFrame, targets: list[dict], last_year: int, values: Calla
 def scale_targets(market: DataFrame, targets: list[dict], last_year: int) -> None:
     """Gives the targets n_candidates, place_scale and a scale of each feature: the
     quartile range of their candidates, or 1.4826 * MAD, or the population deviation, or
-    max(|median|, 1), each where those before are near zero."""
-    def values(t, rows):
-        at = rows.valid(t)
-        yield "all", np.zeros(len(at)), np.zeros(len(at), np.int64), None
+    max(|median|, 1), each where those before are near zero.
+
+    Features of the rows that targets of one kind share are counted once a chunk; what a
+    target leaves out, itself, its group or what is below its bound, is taken off those
+    counts, which shifts the ranks.  Only distances are counted for each target."""
+    def sums(t, rows):
+        out = rows.left_out(t)
         for f in FEATURES:
             if t[f] is not None:
-                yield f, rows.x[f][at], rows.bucket(f)[at], None
+                kinds, n = rows.counts(t, f, out)
+                yield f, kinds, n, n.astype(np.float64)
+        at = rows.valid(t)
+        yield "all", np.zeros(1, np.int64), np.array([len(at)]), np.array([float(len(at))])
         if t["use_place"]:
             km = rows.km(t, at)
+            yield "geo", *summed(bucket_of(km[km > 0]))
+
+    def singles(t, rows, wanted):
+        out = rows.left_out(t)
+        for f in FEATURES:
+            for k in wanted.get(f, ()):
+                yield f, k, rows.singles(t, f, out, k), None
+        if "geo" in wanted:
+            km = rows.km(t, rows.valid(t))
             km = km[km > 0]
-            yield "geo", km, bucket_of(km), None
+            b = bucket_of(km)
+            for k in wanted["geo"]:
+                yield "geo", k, km[b == k], None
+        for k in wanted.get("all", ()):
+            yield "all", k, np.zeros(len(rows.valid(t))), None
 
-    found = levels(market, targets, last_year, values, [0.25, 0.5, 0.75])
+    found = quantiles(market, targets, last_year, sums, singles, [0.25, 0.5, 0.75])
     flat = {k: q for k, (_, q) in found.items() if k[1] in FEATURES and q[2] - q[0] <= 1e-12}
 
     def off(t, rows):
