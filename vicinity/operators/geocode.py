@@ -5,11 +5,19 @@ points array<struct<x, y>>, parts array<int> (offsets of parts).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from functools import reduce
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import valid_coordinates
 from ..functions.text import norm, street_and_number
+from ..sources.stage import staged
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_SCORE = 85.0
 
@@ -37,24 +45,99 @@ def _plain_number(c: Column) -> Column:
     return F.when(F.coalesce(near & t.rlike(r"^\d+\.\d+$"), F.lit(False)), F.rint(n).cast("long").cast("string")).otherwise(t)
 
 
-def match_streets(queries: DataFrame, streets: DataFrame, street: str = "street") -> DataFrame:
-    """Adds cdlog, matched and score: the street whose name is most like the query's.
+def ratio(a: str, b: str) -> float:
+    """100 * 2 * longest common subsequence / both lengths (bit-parallel)."""
+    if not a or not b:
+        return 0.0
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    row = (1 << len(a)) - 1
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = (row + hit) | (row - hit)
+    return 200.0 * (len(a) - (row & (1 << len(a)) - 1).bit_count()) / (len(a) + len(b))
+
+
+def likeness(a: str, b: str) -> float:
+    """How alike two names are, from 0 to 100: the ratio as they stand, or 0.95 of it with
+    words in order, or with the words that both have set apart (100 where one name has
+    only words of the other).  Names of which one is half as long again aren't alike."""
+    if max(len(a), len(b)) >= 1.5 * min(len(a), len(b)):
+        return ratio(a, b)
+    x, y = a.split(), b.split()
+    best = max(ratio(a, b), 0.95 * ratio(" ".join(sorted(x)), " ".join(sorted(y))))
+    both, x, y = set(x) & set(y), set(x) - set(y), set(y) - set(x)
+    if both:
+        if not x or not y:
+            return max(best, 95.0)
+        base = " ".join(sorted(both))
+        with_x, with_y = (f"{base} {' '.join(sorted(z))}" for z in (x, y))
+        best = max(best, 0.95 * max(ratio(with_x, with_y), ratio(base, with_x), ratio(base, with_y)))
+    return best
+
+
+MISSING = 0.20  # share of a name's letters in words that an alike one may lack
+
+
+def _keys(names: DataFrame, words: bool) -> DataFrame:
+    """(name, key, weight, room): a name's words with their lengths, or the 3-letter
+    grams of its words, each word padded, repeats numbered; and how much of the weight
+    an alike name may lack."""
+    word = F.explode(F.array_distinct(F.split("name", " "))) if words else F.posexplode(F.split("name", " ")).alias("w", "word")
+    if words:
+        return names.select("name", word.alias("key")).withColumn("weight", F.length("key").cast("double")).withColumn("room", F.length("name") * MISSING)
+    padded = F.concat(F.lit("  "), F.col("word"), F.lit("  "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("word") + 2), lambda i: F.substr(padded, i, F.lit(3)))
+    g = names.select("name", word).select("name", F.explode(grams).alias("gram")).groupBy("name", "gram").agg(F.count("*").alias("n"))
+    g = g.select("name", F.explode(F.transform(F.sequence(F.lit(1), "n"), lambda i: F.concat(F.col("gram"), F.lit("#"), i.cast("string")))).alias("key"))
+    # a ratio of 85 leaves 1.15 deletions + 0.85 insertions <= 0.3 letters; they take 3 and
+    # 2 grams each, and a deleted space one more
+    return g.withColumn("weight", F.lit(1.0)).withColumn("room", F.floor(F.length("name") * 0.783) + F.size(F.split("name", " ")) - 1)
+
+
+def _rare(keys: DataFrame, often: DataFrame) -> DataFrame:
+    """(name, key): of each name the rarest keys, as many as no alike name can lack all."""
+    order = Window.partitionBy("name").orderBy("often", "key").rowsBetween(Window.unboundedPreceding, -1)
+    k = keys.join(often, "key", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    return k.withColumn("before", F.coalesce(F.sum("weight").over(order), F.lit(0.0))).where("before <= room").select("name", "key")
+
+
+def candidate_pairs(queries: DataFrame, streets: DataFrame) -> DataFrame:
+    """(q, s) that may be alike, from names (name) of both: of the grams that both have,
+    ordered by rarity among the streets, one of the first must be shared if few letters
+    differ, and as many as they leave; if words are missing or in another order, a rare word of one side must be a
+    word of the other.  What nearly all names have is no key, so that only names of such
+    words meet all streets."""
+    gq, gs, wq, ws = (_keys(x, words) for words in (False, True) for x in (queries, streets))
+    count = lambda k: k.groupBy("key").agg(F.count("*").alias("often"))
+    grams, words = staged(count(gs)), staged(count(ws))
+    q, s = (lambda k: k.select(F.col("name").alias("q"), "key")), (lambda k: k.select(F.col("name").alias("s"), "key"))
+    sides = ((_rare(gq, grams), _rare(gs, grams)), (_rare(wq, words), ws), (wq, _rare(ws, words)))
+    by_grams, *by_words = (q(a).join(s(b), "key").select("q", "s").distinct() for a, b in sides)
+    short, long = F.least(F.length("q"), F.length("s")), F.greatest(F.length("q"), F.length("s"))
+    lists = lambda k, name: k.groupBy(F.col("name").alias(name)).agg(F.collect_list("key").alias(f"of_{name}"))
+    counted = by_grams.where(long * 0.85 <= short * 1.15 + 1e-9).join(lists(gq, "q"), "q").join(lists(gs, "s"), "s")
+    apart = F.length("s") - F.length("q")
+    gone = F.floor((0.15 * (short + long) - apart) / 2 + 1e-9)  # letters of the query that the street may lack, so many
+    come = F.floor((0.15 * (short + long) + apart) / 2 + 1e-9)  # letters of the street that the query may
+    shared, spaces = F.size(F.array_intersect("of_q", "of_s")), lambda c: F.size(F.split(c, " ")) - 1
+    enough = (shared >= F.size("of_q") - 3 * gone - 2 * come - spaces("q")) & (shared >= F.size("of_s") - 3 * come - 2 * gone - spaces("s"))
+    met = reduce(DataFrame.unionByName, (counted.where(enough).select("q", "s"), *(w.where(long < 1.5 * short) for w in by_words)))
+    return met.distinct()
 
-    The score is 100 * (1 - edit distance / longer length) on normal forms.  An equal
-    name wins by a join on it; others are compared only with streets that share a
-    3-gram of a word in both (a score of 85 or more needs one for names of 7 letters
-    or more; shorter names are compared by their first letter too), so no query meets
-    all streets."""
+
+def match_streets(queries: DataFrame, streets: DataFrame, street: str = "street") -> DataFrame:
+    """Adds cdlog, matched and score: the street whose name is most like the query's, if
+    it is by MIN_SCORE (likeness(), on normal forms).  An equal name wins by a join on
+    it; others are compared with candidate_pairs()."""
     s = streets.select("cdlog", norm(F.col("name")).alias("s")).where("s <> ''").groupBy("s").agg(F.max("cdlog").alias("cdlog"))
     q = queries.select(norm(F.col(street)).alias("q")).where("q <> ''").distinct()
-    keys = lambda c: F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), F.substring(c, 1, 1)), F.concat(F.lit("$"), F.substring(c, -1, 1))), F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(c, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))))
     equal = q.join(s, F.col("q") == F.col("s")).select("q", "s", "cdlog", F.lit(100.0).alias("score"))
     rest = q.join(s, F.col("q") == F.col("s"), "left_anti")
-    longest = F.greatest(F.length("q"), F.length("s"))
-    close = rest.withColumn("key", F.explode(keys(F.col("q")))).join(s.withColumn("key", F.explode(keys(F.col("s")))), "key").select("q", "s", "cdlog").distinct()
-    close = close.where(F.least(F.length("q"), F.length("s")) >= 0.85 * longest)
-    close = close.withColumn("score", 100.0 * (1 - F.levenshtein("q", "s") / longest)).where(F.col("score") >= MIN_SCORE)
-    best = close.groupBy("q").agg(F.max_by(F.struct("s", "cdlog", "score"), F.struct("score", "cdlog", "s")).alias("b")).select("q", "b.*")
+    score = F.pandas_udf(lambda a, b: pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64"), "double")
+    close = candidate_pairs(rest.select(F.col("q").alias("name")), s.select(F.col("s").alias("name"))).withColumn("score", score("q", "s")).where(F.col("score") >= MIN_SCORE)
+    best = close.join(s, "s").groupBy("q").agg(F.max_by(F.struct("s", "cdlog", "score"), F.struct("score", "cdlog", "s")).alias("b")).select("q", "b.*")
     found = equal.unionByName(best.select("q", "s", "cdlog", "score"))
     out = queries.withColumn("q", norm(F.col(street))).join(found.select("q", F.col("s").alias("matched"), "cdlog", "score"), "q", "left")
     return out.drop("q")

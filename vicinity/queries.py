@@ -464,7 +464,7 @@ def street_range(spark, sf_dir):
 
 FOUND = """s AS (SELECT c_mktsegment AS n, min(c_custkey) AS cdlog FROM customer GROUP BY 1),
 qy AS (SELECT DISTINCT 'Rua ' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END || ', ' || (c_custkey % 2600) AS query, c_custkey % 2600 AS num, c_mktsegment AS n, lower('Rua ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN 'x' ELSE '' END) AS street FROM customer),
-qm AS (SELECT query, num, cdlog, lower('Rua ' || n) AS matched, 100.0::DOUBLE * (1 - levenshtein(street, lower('Rua ' || n))::DOUBLE / greatest(length(street), length('Rua ' || n))) AS score FROM qy JOIN s USING (n)),
+qm AS (SELECT query, num, cdlog, lower('Rua ' || n) AS matched, 200.0::DOUBLE * length('Rua ' || n) / (length(street) + length('Rua ' || n)) AS score FROM qy JOIN s USING (n)),
 qf AS (SELECT *, num // 100 AS k, CASE WHEN num >= 2500 THEN NULL WHEN num % 2 = 0 THEN (num - num // 100 * 100) / 98.0::DOUBLE ELSE (num - (num // 100 * 100 + 99)) / -98.0::DOUBLE END * (sqrt(29.0::DOUBLE) + sqrt(61.0::DOUBLE)) AS want FROM qm),
 geo AS (SELECT query, k + CASE WHEN want <= sqrt(29.0::DOUBLE) + 1e-12 THEN 2 * want / sqrt(29.0::DOUBLE) ELSE 2 + 6 * (want - sqrt(29.0::DOUBLE)) / sqrt(61.0::DOUBLE) END AS lat, cdlog + k * 10 + CASE WHEN want <= sqrt(29.0::DOUBLE) + 1e-12 THEN 5 * want / sqrt(29.0::DOUBLE) ELSE 5 + 5 * (want - sqrt(29.0::DOUBLE)) / sqrt(61.0::DOUBLE) END AS lon, matched, score FROM qf)"""
 
