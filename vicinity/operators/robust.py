@@ -174,33 +174,6 @@ def weighted_quantile(df: DataFrame, group: list[str], value: Column, weight: Co
     return rows.groupBy(*group).agg(*(F.min(F.when(F.col("_c") >= level * F.col("_total"), F.col("_v"))).alias(name) for name, level in q.items()))
 
 
-def capped_weights_of_many(df: DataFrame, group: list[str], raw: Column, cap: float, tie: str) -> DataFrame:
-    """capped_weights() for groups of any size and one cap: no more than 1 / cap rows can
-    be at the cap, so the largest of each group and sums tell all weights.  Of groups
-    smaller than 1 / cap every row weighs the same.  Only rows that may be among the
-    largest are put in order: those that reach as many of the largest of 64 shares of
-    their group as are wanted.  The rows are made again, not staged."""
-    most = int(1 / cap) + 1
-    rows = df.withColumn("_raw", F.when(raw > 0, raw).otherwise(0.0))
-    whole = rows.groupBy(*group, F.pmod(F.xxhash64(tie), F.lit(64)).alias("_share")).agg(F.sum("_raw").alias("s"), F.count("*").alias("n"), F.max("_raw").alias("x"))
-    whole = whole.groupBy(*group).agg(F.sum("s").alias("_sum"), F.sum("n").alias("_n"), F.sort_array(F.collect_list("x"), asc=False).alias("_x"))
-    whole = staged(whole.select(*group, "_sum", "_n", F.coalesce(F.get("_x", F.lit(most - 1)), F.lit(0.0)).alias("_least")))
-    top = rows.join(whole, group).where("_raw >= _least").select(*group, "_raw", F.col(tie).alias("_t")).withColumn("_k", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_raw"), "_t"))).where(F.col("_k") <= most)
-    lists = top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_raw", "_t"))), lambda r: F.struct(r._raw.alias("r"), r._t.alias("t"))).alias("_top"))
-    head = whole.drop("_least").join(lists, group).withColumn("_cap", F.least(F.lit(1.0), F.greatest(F.lit(cap), 1 / F.col("_n"))))
-    raws = F.transform("_top", lambda r: r.r)
-    tail = lambda m: F.col("_sum") - F.aggregate(F.slice(raws, 1, m), F.lit(0.0), lambda a, x: a + x)
-    fits = F.filter(F.sequence(F.lit(0), F.size("_top") - 1), lambda m: (tail(m) > 0) & ((1 - m * F.col("_cap")) * F.get(raws, m) <= (F.col("_cap") + 1e-15) * tail(m)))
-    head = head.withColumn("_m", F.coalesce(F.array_min(fits), F.size("_top"))).withColumn("_rest", tail(F.col("_m")))
-    head = staged(head.withColumn("_last", F.get("_top", F.col("_m") - 1)).select(*group, "_sum", "_n", "_cap", "_m", "_rest", "_last"))
-    rows = rows.join(head, group)
-    capped = (F.col("_m") > 0) & ((F.col("_raw") > F.col("_last.r")) | ((F.col("_raw") == F.col("_last.r")) & (F.col(tie) <= F.col("_last.t"))))
-    share = F.when(F.coalesce(capped, F.lit(False)), F.col("_cap")).otherwise((1 - F.col("_m") * F.col("_cap")) * F.col("_raw") / F.col("_rest"))
-    # shares sum to one, but where all rows there are, are at the cap, or nothing weighs
-    same = (F.col("_sum") <= 0) | (F.col("_m") >= F.col("_n"))
-    return rows.withColumn("weight", F.when(same, 1 / F.col("_n")).otherwise(share)).drop("_raw", "_sum", "_n", "_cap", "_m", "_rest", "_last")
-
-
 def capped_weights(df: DataFrame, group: list[str], raw: Column, cap: Column, tie: str) -> DataFrame:
     """Adds weight: raw weights scaled to sum 1 with none above max(cap, 1/n).
 
