@@ -77,11 +77,12 @@ def robust_bounds(df: DataFrame, group: list[str], is_sale: Column) -> DataFrame
     return centre.join(spread.select(*group, F.get("q", F.lit(0)).alias("mad")), group)
 
 
-def robust_filter(df: DataFrame, group: list[str], is_sale: Column) -> DataFrame:
+def robust_filter(df: DataFrame, group: list[str], is_sale: Column, bounds: DataFrame | None = None) -> DataFrame:
     """Tests kept sales by modified z-scores of log unit values (by outer quartile
     fences if the median deviation is zero).  Extremes of samples of 15 or more are
-    excluded, otherwise flagged, as are scores in the band of attention."""
-    out = df.join(robust_bounds(df, group, is_sale), group, "left")
+    excluded, otherwise flagged, as are scores in the band of attention.  The statistics
+    are those of these rows, or `bounds`."""
+    out = df.join(robust_bounds(df, group, is_sale) if bounds is None else bounds, group, "left")
     tested = (F.col("_status") == "kept") & is_sale & (F.col("n_tested") >= MIN_TESTED)
     by_mad, iqr = F.col("mad") > 1e-12, F.col("q3") - F.col("q1")
     score = F.when(tested & by_mad, 0.6745 * (F.col("_log_unit") - F.col("med")) / F.col("mad"))

@@ -99,3 +99,18 @@ def choose_regime(preference: str, counts: dict[str, int], min_k: int, manual: s
         if counts.get(regime, 0) >= need:
             return regime, why
     raise ValueError(f"too few candidates: {counts}, {need} needed")
+
+
+def regime_choice(preference: Column, private: Column, total: Column, lot: Column, min_k: Column) -> tuple[Column, Column]:
+    """choose_regime() over columns of counts (null: not available), without a manual
+    choice: the regime and why; a null regime where too few candidates are left.  The
+    area of the lot is the only one of territorial purposes, from two candidates on."""
+    first = F.when(preference == "construida", "total").otherwise("private")
+    other = F.when(first == "total", "private").otherwise("total")
+    need = F.greatest(min_k, F.lit(2))
+    enough = lambda r: F.coalesce(F.when(r == "total", total).otherwise(private), F.lit(0)) >= need
+    ground = preference == "terreno"
+    some = F.coalesce(lot, F.lit(0)) >= 2
+    regime = F.when(ground, F.when(some, "lot")).when(enough(first), first).when(enough(other), other)
+    why = F.when(ground, F.when(some, "territorial").otherwise("insufficient")).when(enough(first), "preferred").when(enough(other), "alternative").otherwise("insufficient")
+    return regime, why

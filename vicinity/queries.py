@@ -12,7 +12,7 @@ from .operators import dedup, enrich, geocode, knn, prefilter, report, robust
 from .operators.discount import adjust, offer_discount
 from .operators.robust import by_name, capped_weights, center_scale, quantiles, robust_mean
 from .plans.params import FLOORS
-from .plans.prepare import prepare
+from .plans.prepare import prepare, prepare_all
 from .sources.market_view import LAST_YEAR, MARKET_SQL, market_rows
 from .sources.stage import spread, staged, staged_wide
 
@@ -523,20 +523,68 @@ done AS (SELECT id, listing_id, registration, CASE WHEN reasons <> '' OR (z > 3.
   UNION ALL SELECT id, listing_id, registration, 'excluded', 'política de conflito tipológico', 'fontes divergem sobre a finalidade', false FROM sh WHERE conflict)"""
 
 
-@query(f"WITH {SHEET_SQL} SELECT status, stage, reasons, flagged, count(*) AS n, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum FROM done GROUP BY 1, 2, 3, 4")
-def prepared_market(spark, sf_dir):
-    """The whole preparation of one purpose: conflict policy, duplicates, eight rules, robust filter."""
-    m = market_rows(spark, sf_dir)
+def _sheet(m: DataFrame, conflict, *more) -> DataFrame:
+    """The market as a sheet with its own headers."""
     sheet = m.select(
         F.col("id").alias("_row_id"), F.col("listing_id").alias("_order"), "info_type", F.col("purpose").alias("finalidade"), F.col("value").alias("valor"), F.col("built_area").alias("area"), F.col("date").alias("data_registro"), F.col("registration").alias("siat_inscricao"),
         F.when(F.col("is_offer"), F.col("listing_id")).alias("id_anuncio"), F.when(F.col("listing_id") % 9 == 0, " Doação ").otherwise("Compra e venda").alias("Natureza da transação"), F.when(F.col("listing_id") % 11 == 0, "1/2").otherwise("100%").alias("fracao_transmitida"),
-        F.when(F.col("listing_id") % 13 == 0, 2).otherwise(1).alias("quantidade_imoveis"), F.when(F.col("listing_id") % 10 == 0, "Sim").otherwise("Não").alias("_purpose_conflict"),
+        F.when(F.col("listing_id") % 13 == 0, 2).otherwise(1).alias("quantidade_imoveis"), F.when(conflict, "Sim").otherwise("Não").alias("_purpose_conflict"), *more,
     )
-    sheet = sheet.withColumn("info_type", F.when(F.col("info_type") == "guia itbi", T.SALE).when(F.col("info_type") == "oferta", " oferta ").otherwise(T.RENTAL))
+    return sheet.withColumn("info_type", F.when(F.col("info_type") == "guia itbi", T.SALE).when(F.col("info_type") == "oferta", " oferta ").otherwise(T.RENTAL))
+
+
+@query(f"WITH {SHEET_SQL} SELECT status, stage, reasons, flagged, count(*) AS n, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum FROM done GROUP BY 1, 2, 3, 4")
+def prepared_market(spark, sf_dir):
+    """The whole preparation of one purpose: conflict policy, duplicates, eight rules, robust filter."""
+    sheet = _sheet(market_rows(spark, sf_dir), F.col("listing_id") % 10 == 0)
     done = prepare(sheet, ColumnMapping(info_type="info_type", purpose="finalidade", value="valor", built_area="area"), "Loja", minimum=1)
     return done.rows.groupBy(F.col("_status").alias("status"), F.col("_stage").alias("stage"), F.col("_reasons").alias("reasons"), F.col("_flagged").alias("flagged")).agg(F.count("*").alias("n"), F.sum(F.col("_order") * 7 + F.col("siat_inscricao").cast("long")).alias("id_sum"))
 
 
+#: The sheet with every purpose: offices hardly have private areas, and nearly all flats conflict.
+SHEETS_SQL = f"""{MARKET_SQL},
+sh AS (SELECT id, info_type, is_sale, is_offer, purpose, value, "date", registration, listing_id, built_area AS total, CASE WHEN listing_id % 4 <> 0 AND (purpose <> 'SALA COMERCIAL' OR listing_id % 5000 = 0) THEN built_area * 0.8::DOUBLE END AS private, CASE WHEN listing_id % 3 <> 0 THEN lot_area / 50 END AS lot,
+    listing_id % 9 = 0 AS gift, listing_id % 11 = 0 AS part, listing_id % 13 = 0 AS several, CASE WHEN purpose = 'APARTAMENTO' THEN listing_id % 3000 <> 0 WHEN purpose = 'LOJA' THEN listing_id % 10 = 0 ELSE false END AS conflict,
+    CASE purpose WHEN 'CASA / RESIDÊNCIA' THEN 'construida' WHEN 'LOJA' THEN 'privativa_ou_construida' WHEN 'TERRENO' THEN 'terreno' ELSE 'privativa' END AS pref, CASE purpose WHEN 'CASA / RESIDÊNCIA' THEN 5 WHEN 'SALA COMERCIAL' THEN 9 WHEN 'GARAGEM / VAGA' THEN 7 ELSE 12 END AS min_k,
+    CAST({FLOOR_SQL} AS DOUBLE) AS flr FROM m WHERE is_sale OR is_offer),
+v AS (SELECT *, 'full' AS ch FROM sh UNION ALL SELECT *, 'clean' FROM sh WHERE NOT conflict),
+k1 AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY purpose, ch, info_type, registration, format('{{:.2f}}', value), CASE WHEN registration = '0' OR NOT value > 0 THEN id END ORDER BY "date" DESC, id DESC) = 1),
+k2 AS (SELECT * FROM k1 QUALIFY row_number() OVER (PARTITION BY purpose, ch, is_offer, CASE WHEN is_offer AND listing_id <> 0 THEN CAST(listing_id AS VARCHAR) ELSE 'row ' || id END ORDER BY "date" DESC, id DESC) = 1),
+g AS (SELECT k2.*, rg, CASE rg WHEN 'lot' THEN lot WHEN 'total' THEN total ELSE private END AS area, CASE WHEN CASE rg WHEN 'lot' THEN pref = 'terreno' WHEN 'total' THEN pref <> 'privativa' ELSE pref <> 'construida' END THEN flr ELSE 0 END AS fl
+  FROM k2 JOIN (VALUES ('private'), ('total'), ('lot')) AS x(rg) ON (rg = 'lot') = (pref = 'terreno')),
+u0 AS (SELECT *, CASE WHEN area > 0 THEN value / area END AS uv FROM g),
+u1 AS (SELECT *, concat_ws('; ', CASE WHEN NOT coalesce(value > 0, false) THEN 'valor ausente ou não positivo' END, CASE WHEN value > 0 AND value <= 1 THEN 'valor simbólico' END, CASE WHEN NOT coalesce(area > 0, false) THEN 'área de referência ausente ou não positiva' END,
+    CASE WHEN NOT coalesce(uv > 0, false) THEN 'valor unitário inválido' END, CASE WHEN uv > 0 AND uv < fl THEN 'valor unitário abaixo do piso da finalidade' END, CASE WHEN is_sale AND gift THEN 'natureza não mercadológica' END,
+    CASE WHEN is_sale AND part THEN 'transmissão parcial' END, CASE WHEN is_sale AND several THEN 'transmissão de vários imóveis' END) AS reasons FROM u0),
+c1 AS (SELECT purpose, ch, rg, median(ln(uv)) AS med, count(*) AS n FROM u1 WHERE reasons = '' AND is_sale GROUP BY ALL),
+c2 AS (SELECT purpose, ch, rg, median(abs(ln(uv) - med)) AS mad FROM u1 JOIN c1 USING (purpose, ch, rg) WHERE reasons = '' AND is_sale GROUP BY ALL),
+u2 AS (SELECT u1.*, CASE WHEN reasons = '' AND is_sale AND n >= 8 THEN abs(0.6745 * (ln(uv) - med) / mad) END AS z, n FROM u1 LEFT JOIN c1 USING (purpose, ch, rg) LEFT JOIN c2 USING (purpose, ch, rg)),
+u3 AS (SELECT *, reasons = '' AND NOT coalesce(z > 3.5 AND n >= 15, false) AS kept FROM u2),
+land AS (SELECT purpose, any_value(pref) AS pref, any_value(min_k) AS min_k, purpose = 'CASA / RESIDÊNCIA' AND count(*) FILTER (lot > 0) >= any_value(min_k) AS use_land, count(*) FILTER (conflict) AS n_conflict FROM sh GROUP BY 1),
+cn AS (SELECT l.*, rg, count(*) FILTER (ch = 'clean' AND kept) >= any_value(l.min_k) AS clean, count(*) FILTER (ch = 'clean' AND kept AND (NOT use_land OR lot > 0)) AS uc, count(*) FILTER (ch = 'full' AND kept AND (NOT use_land OR lot > 0)) AS uf FROM land l JOIN u3 ON u3.purpose = l.purpose GROUP BY ALL),
+cu AS (SELECT *, CASE WHEN clean THEN uc ELSE uf END AS usable, CASE WHEN pref = 'terreno' THEN 'lot' WHEN pref = 'construida' THEN 'total' ELSE 'private' END AS want FROM cn),
+pick AS (SELECT *, CASE WHEN rg = 'lot' THEN 'territorial' WHEN rg = want THEN 'preferred' ELSE 'alternative' END AS why FROM cu WHERE usable >= CASE WHEN rg = 'lot' THEN 2 ELSE min_k END QUALIFY row_number() OVER (PARTITION BY purpose ORDER BY rg = want DESC) = 1),
+pol AS (SELECT *, CASE WHEN n_conflict = 0 THEN 'none' WHEN clean THEN 'excluded' ELSE 'included' END AS policy FROM pick),
+done AS (SELECT p.purpose, p.rg AS regime, why, policy, CASE WHEN kept THEN 'kept' ELSE 'excluded' END AS status, CASE WHEN reasons <> '' THEN 'regra determinística' WHEN z > 3.5 AND n >= 15 THEN 'filtro robusto automático' WHEN z > 2.5 THEN 'alerta robusto' END AS stage,
+    CASE WHEN z > 3.5 AND n >= 15 THEN 'valor unitário extremo na amostra de transações' ELSE reasons END AS reasons, coalesce((z > 3.5 AND n < 15) OR (z > 2.5 AND z <= 3.5), false) OR (conflict AND kept) AS flagged, listing_id, registration, uv
+    FROM u3 JOIN pol p ON p.purpose = u3.purpose AND p.rg = u3.rg AND u3.ch = CASE WHEN p.clean THEN 'clean' ELSE 'full' END
+  UNION ALL SELECT p.purpose, p.rg, why, policy, 'excluded', 'política de conflito tipológico', 'fontes divergem sobre a finalidade', false, listing_id, registration, value / nullif(CASE p.rg WHEN 'total' THEN total ELSE private END, 0) FROM sh JOIN pol p ON p.purpose = sh.purpose WHERE conflict AND policy = 'excluded'
+  UNION ALL SELECT purpose, NULL, 'insufficient', CASE WHEN count(*) FILTER (conflict) OVER (PARTITION BY purpose) = 0 THEN 'none' END, 'excluded', 'regime de área', 'nenhum regime de área com dados suficientes', false, listing_id, registration, NULL FROM k2 WHERE ch = 'full' AND purpose NOT IN (SELECT purpose FROM pol))"""
+
+
+@query(f"WITH {SHEETS_SQL} SELECT purpose, regime, why, policy, status, stage, reasons, flagged, count(*) AS n, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum, round(avg(uv), 4) AS mean_unit FROM done GROUP BY ALL")
+def prepared_purposes(spark, sf_dir):
+    """The preparation of all purposes in one plan: regime of area and conflict policy of each."""
+    purpose, k = F.col("purpose"), F.col("listing_id")
+    conflict = F.when(purpose == T.APARTMENT, k % 3000 != 0).when(purpose == T.SHOP, k % 10 == 0).otherwise(False)
+    private = F.when((k % 4 != 0) & ((purpose != T.OFFICE) | (k % 5000 == 0)), F.col("built_area") * 0.8)
+    sheet = _sheet(market_rows(spark, sf_dir), conflict, private.alias("privativa"), F.when(k % 3 != 0, F.col("lot_area") / 50).alias("lote"))
+    done = prepare_all(sheet, ColumnMapping(info_type="info_type", purpose="finalidade", value="valor", built_area="area", private_area="privativa", lot_area="lote"))
+    rows = done.rows.drop("regime").join(done.choices.select("_p", "regime", "why", F.col("conflict_policy").alias("policy")), "_p")
+    by = ("purpose", "regime", "why", "policy", F.col("_status").alias("status"), F.col("_stage").alias("stage"), F.col("_reasons").alias("reasons"), F.col("_flagged").alias("flagged"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("_order") * 7 + F.col("siat_inscricao").cast("long")).alias("id_sum"), F.round(F.avg("unit_value"), 4).alias("mean_unit"))
+
+
 @query(f"""WITH {MARKET_SQL}, v AS (SELECT purpose, median(lat) AS lat, median(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS span, count(*) AS n_points FROM m WHERE is_sale OR is_offer GROUP BY 1)
 SELECT purpose, round(lat, 6) AS lat, round(lon, 6) AS lon, n_points, CAST(CASE WHEN n_points = 1 THEN 15.0 WHEN span <= 0.002 THEN 15.5 WHEN span <= 0.005 THEN 14.5 WHEN span <= 0.01 THEN 13.8 WHEN span <= 0.03 THEN 12.5 WHEN span <= 0.08 THEN 11.3 WHEN span <= 0.2 THEN 10.2 WHEN span <= 0.5 THEN 9.0 ELSE 7.8 END AS DOUBLE) AS zoom FROM v""")
 def map_view(spark, sf_dir):
