@@ -23,6 +23,7 @@ def workbook(path, sheets):
 def test_sheets(spark, tmp_path):
     first = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>valor</t></is></c><c r="D1"><v>7</v></c></row><row><c r="A2"><v>1.5</v></c><c r="B2" t="s"><v>1</v></c></row><row/><row><c r="D4"><v>9</v></c></row>'
     workbook(tmp_path / "b.xlsx", {"um": first, "dois": "<row><c><v>x</v></c></row>"})
+    assert tables.sheet_names(f"file://{tmp_path}/b.xlsx") == ["um", "dois"]
     df = tables.read_sheet(spark, f"{tmp_path}/b.xlsx")
     assert df.columns == roles.unique_headers(["Valor", "valor", "column_3", "7"]) and [tuple(r) for r in df.collect()] == [("1.5", "Rua A", None, None), (None, None, None, "9")]
     with pytest.raises(ValueError):

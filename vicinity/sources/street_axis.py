@@ -2,8 +2,7 @@
 
 The driver reads headers only.  A task takes a range of records: their places from the
 index (.shx), neighbouring shapes (.shp) in one read of up to BLOCK bytes, and their
-attributes (.dbf), which lie at places that the record length gives.  Paths are local
-or URIs that pyarrow knows.
+attributes (.dbf), which lie at places that the record length gives.
 """
 from __future__ import annotations
 
@@ -14,13 +13,13 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.geocode import street_index
+from .files import open_file
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,8 +35,7 @@ FIELDS = {"cdlog": "CDLOG", "name": "NMIDELOG", "short_name": "NMIDEABR", "even_
 
 
 def _open(base: str, part: str):
-    where, path = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base)
-    return where.open_input_file(path + part)
+    return open_file(base + part)
 
 
 def _at(file, offset: int, length: int) -> bytes:

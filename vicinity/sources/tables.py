@@ -1,7 +1,6 @@
 """Reading sheets and writing reports as tables."""
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.roles import unique_headers
+from .files import open_file
 from .stage import staged
 
 
@@ -52,8 +52,8 @@ class SheetSource(DataSource):
         return "sheet"
 
     def _rows(self) -> Iterator[list[str | None]]:
-        with open(self.options["path"].removeprefix("file://"), "rb") as f:
-            yield from workbook_rows(f.read(), self.options.get("sheet"))
+        with open_file(self.options["path"]) as f:
+            yield from workbook_rows(f, self.options.get("sheet"))
 
     def schema(self):
         header = next(self._rows(), None)
@@ -80,31 +80,59 @@ class SheetReader(DataSourceReader):
                 yield tuple((r + [None] * self.width)[: self.width])
 
 
-def workbook_rows(content: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
-    """Cells of a worksheet as text."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _sheets(book: zipfile.ZipFile) -> dict[str, str]:
+    """Member of each worksheet by its name, in the workbook's order."""
     ident = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        sheets = {s.get("name"): links[s.get(ident)] for s in book.find("m:sheets", ns)}
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    return {s.get("name"): "xl/" + links[s.get(ident)].removeprefix("/xl/") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(MAIN + "sheet")}
+
+
+def sheet_names(path: str) -> list[str]:
+    """The worksheets of a workbook, to choose from where there are several."""
+    with open_file(path) as f, zipfile.ZipFile(f) as z:
+        return list(_sheets(z))
+
+
+def _elements(book: zipfile.ZipFile, member: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Elements of a member one by one; each is emptied after its use, and the tree above
+    holds none."""
+    with book.open(member) as f:
+        path: list[ElementTree.Element] = []
+        for event, e in ElementTree.iterparse(f, ("start", "end")):
+            if event == "start":
+                path.append(e)
+                continue
+            path.pop()
+            if e.tag == MAIN + tag:
+                yield e
+                e.clear()
+                if path:
+                    path[-1].remove(e)
+
+
+def workbook_rows(file, sheet: str | None = None) -> Iterator[list[str | None]]:
+    """Cells of a worksheet as text, row by row as they are read; only the workbook's
+    shared texts are held."""
+    text_of = lambda e: "".join(t.text or "" for t in e.iter(MAIN + "t"))
+    with zipfile.ZipFile(file) as z:
+        sheets = _sheets(z)
         if sheet is not None and sheet not in sheets:
             raise ValueError(f"no sheet {sheet}; there are {', '.join(sheets)}")
-        target = sheets[sheet] if sheet else next(iter(sheets.values()))
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            strings = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        root = ElementTree.fromstring(z.read("xl/" + target.removeprefix("/xl/")))
-        for row in root.iter(f"{{{ns['m']}}}row"):
+        shared = "xl/sharedStrings.xml"
+        strings = [text_of(e) for e in _elements(z, shared, "si")] if shared in z.namelist() else []
+        for row in _elements(z, sheets[sheet] if sheet else next(iter(sheets.values())), "row"):
             cells: dict[int, str | None] = {}
             for c in row:
-                letters = re.match("[A-Z]+", c.get("r", "")) or ""
+                letters = re.match("[A-Z]+", c.get("r", ""))
                 at = 0
                 for ch in letters.group() if letters else "":
                     at = at * 26 + ord(ch) - 64
-                v = c.find("m:v", ns)
+                v = c.find(MAIN + "v")
                 kind = c.get("t")
-                text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if kind == "inlineStr" else None if v is None else v.text
+                text = text_of(c) if kind == "inlineStr" else None if v is None else v.text
                 cells[at - 1 if at else len(cells)] = strings[int(text)] if kind == "s" and text is not None else text
             yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
 
