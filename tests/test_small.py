@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from vicinity.operators import dedup, geocode, knn
+from vicinity.operators import dedup, geocode, knn, report
 from vicinity.sources.market_view import market_rows
 
 
@@ -38,3 +38,12 @@ def test_ids_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(2_000_000_000 + i, "LARGE", 5, 900.0) for i in range(3)], "p_partkey long, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(big + i,) for i in range(3)], "o_orderkey long").withColumn("o_orderdate", F.current_timestamp()).write.parquet(f"{tmp_path}/orders.parquet")
     assert {r.id for r in market_rows(spark, str(tmp_path)).select("id").collect()} == {f"{big + i}-{1 + i}-{2_000_000_000 + i}-3000000000" for i in range(3)}
+
+
+def test_map_of_targets_with_neighbours(spark):
+    near = spark.createDataFrame([(1, "a", -30.0, -51.0, 0.6, 10.0, 0.5), (1, "b", 95.0, -51.0, 0.4, 12.0, 0.7), (2, "c", None, None, 1.0, 9.0, None)], "target_id long, id string, lat double, lon double, weight double, unit double, geo_km double")
+    targets = spark.createDataFrame([(1, -30.001, -51.0), (2, None, None), (3, -30.1, -51.2)], "target_id long, lat double, lon double")
+    got = {(r.target_id, r.position): (r.id, r.is_target, r.distance_text) for r in report.map_points(near, targets).collect()}
+    assert got == {(1, 0): (None, True, "0,000"), (1, 1): ("a", False, "0,500"), (3, 0): (None, True, "0,000")}
+    views = {r.target_id: (r.n_points, r.n_discarded, r.zoom) for r in report.map_extents(near, targets).collect()}
+    assert views == {1: (2, 1, 15.5), 3: (1, 0, 15.0)}  # the second has no point at all

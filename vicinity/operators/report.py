@@ -65,6 +65,21 @@ def map_view(points: DataFrame, by: list[str]) -> DataFrame:
     return v.withColumn("zoom", F.when(F.col("n_points") == 1, 15.0).otherwise(zoom))
 
 
+def map_points(near: DataFrame, targets: DataFrame) -> DataFrame:
+    """map_table() with a row for each target that has a place, at position 0."""
+    own = targets.where(valid_coordinates(F.col("lat"), F.col("lon"))).select("target_id", F.lit(0).alias("position"), "lat", "lon", brazilian_number(F.lit(0.0), 3).alias("distance_text"), F.lit("—").alias("weight_text"))
+    return map_table(near).unionByName(own, allowMissingColumns=True).withColumn("is_target", F.col("position") == 0)
+
+
+def map_extents(near: DataFrame, targets: DataFrame) -> DataFrame:
+    """map_view() of each target together with its neighbours, and n_discarded: its
+    neighbours without a place.  Targets without any point have no view."""
+    points = near.select("target_id", "lat", "lon", F.lit(False).alias("own")).unionByName(targets.select("target_id", "lat", "lon", F.lit(True).alias("own")))
+    points = staged(points.withColumn("placed", F.coalesce(valid_coordinates(F.col("lat"), F.col("lon")), F.lit(False))))
+    lost = points.groupBy("target_id").agg(F.count_if(~F.col("own") & ~F.col("placed")).alias("n_discarded"))
+    return map_view(points.where("placed"), ["target_id"]).join(lost, "target_id")
+
+
 def audit_columns(df: DataFrame) -> DataFrame:
     """Control columns first."""
     first = [c for c in CONTROL if c in df.columns]

@@ -598,6 +598,17 @@ def map_table(spark, sf_dir):
     return report.map_table(near).select("target_id", F.col("position").cast("long").alias("position"), "id", r6("marker_size").alias("marker_size"), "distance_text", "weight_text")
 
 
+@query(f"""WITH {NEAR}, pts AS (SELECT nb.target_id, CASE WHEN right(p.id, 1) <> '7' THEN p.lat END AS lat, p.lon, false AS own FROM nb JOIN p ON p.id = nb.id UNION ALL SELECT target_id, tlat, tlon, true FROM t),
+v AS (SELECT target_id, median(lat) AS lat, median(lon) AS lon, greatest(max(lat) - min(lat), max(lon) - min(lon)) AS span, count(*) AS n_points FROM pts WHERE lat IS NOT NULL GROUP BY 1),
+d AS (SELECT target_id, count(*) FILTER (NOT own AND lat IS NULL) AS n_discarded FROM pts GROUP BY 1)
+SELECT target_id, round(lat, 6) AS lat, round(lon, 6) AS lon, n_points, n_discarded, CAST(CASE WHEN n_points = 1 THEN 15.0 WHEN span <= 0.002 THEN 15.5 WHEN span <= 0.005 THEN 14.5 WHEN span <= 0.01 THEN 13.8 WHEN span <= 0.03 THEN 12.5 WHEN span <= 0.08 THEN 11.3 WHEN span <= 0.2 THEN 10.2 WHEN span <= 0.5 THEN 9.0 ELSE 7.8 END AS DOUBLE) AS zoom FROM v JOIN d USING (target_id)""")
+def map_extents(spark, sf_dir):
+    """The view of each target with its neighbours, of which some lack a latitude."""
+    market, targets = _market_and_nations(spark, sf_dir)
+    near = knn.adaptive(knn.nearest(market, targets, LAST_YEAR)).withColumn("lat", F.when(~F.col("id").endswith("7"), F.col("lat")))
+    return report.map_extents(near, targets).select("target_id", r6("lat").alias("lat"), r6("lon").alias("lon"), "n_points", "n_discarded", "zoom")
+
+
 @query(f"""WITH {MARKET_SQL} SELECT purpose, row_number() OVER (ORDER BY purpose) AS position FROM m WHERE purpose <> '' GROUP BY 1""")
 def sorted_purposes(spark, sf_dir):
     """The purposes of the market in order, as a list to choose from."""
