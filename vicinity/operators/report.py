@@ -5,7 +5,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import valid_coordinates, valid_year
-from ..functions.text import brazilian_money, brazilian_number, brazilian_percent
+from ..functions.roles import unique_headers
+from ..functions.text import brazilian_money, brazilian_number, brazilian_percent, norm
 from ..sources.stage import staged
 from .robust import by_name, quantiles
 
@@ -45,6 +46,43 @@ def coverage_counts(df: DataFrame, by: list[str], last_year: int) -> DataFrame:
     )
 
 
+def source_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of rows by where their purpose comes from (refined ones have a source of
+    their own and aren't among these), of those whose sources conflict, and of sales and
+    offers whose sources don't."""
+    source, conflict = F.col("_purpose_source"), F.coalesce(norm(F.col("_purpose_conflict")).isin("sim", "moderado"), F.lit(False))
+    usable = F.col("is_sale") | F.col("is_offer")
+    return df.groupBy(*by).agg(
+        F.count_if(usable).alias("n_usable"), F.count_if(source == "FINALIDADE_CRAWLER").alias("n_explicit"), F.count_if(source == "TIPO_CRAWLER").alias("n_listed"), F.count_if(source == "SIAT").alias("n_cadastral"),
+        F.count_if(source == "SIAT_FALLBACK").alias("n_fallback"), F.count_if(conflict).alias("n_conflict"), F.count_if(usable & ~conflict).alias("n_clean_usable"),
+    )
+
+
+# Columns of a neighbour that reports show, in this order.
+EXPORTED = (
+    "target_id", "id", "_row_id", "info_type", "_info_type", "purpose", "_purpose_explicit", "_purpose_cadastral", "_purpose_listed", "_purpose", "_purpose_source", "_purpose_conflict", "_purpose_confidence", "_use_nature",
+    "regime", "_conflict", "value", "area", "built_area", "private_area", "lot_area", "frontage", "year", "lat", "lon", "query", "method", "matched", "score", "cdlog", "failure", "unit_value", "unit", "clipped", "geo_km", "weight", "contribution",
+)
+# Their names in reports.
+EXPORT_NAMES = {
+    "_row_id": "linha_excel", "unit_value": "valor_unitario_original", "unit": "valor_unitario_ajustado", "clipped": "valor_unitario_robusto", "geo_km": "distancia_geografica_km", "weight": "peso_knn",
+    "contribution": "contribuicao_valor_unitario",
+}
+
+
+def neighbour_export(near: DataFrame, sheet: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbours with the columns of their rows in the sheet that reports show, then
+    those named in `more`, under the reports' names and in order of weight.  What both
+    tables have is the neighbour's; names that are repeated get numbers; what neither
+    has is left out.  Rows of the sheet are found by id."""
+    own = [c for c in dict.fromkeys((*EXPORTED, *more)) if c in near.columns]
+    theirs = [c for c in dict.fromkeys((*EXPORTED, *more)) if c in sheet.columns and c not in own]
+    shown = [c for c in dict.fromkeys((*EXPORTED, *more)) if c in own or c in theirs]
+    order = [F.col("target_id"), F.desc("weight"), F.col("id")]
+    out = near.select(*own).join(sheet.select("id", *(f"`{c}`" for c in theirs)), "id", "left").select(*(f"`{c}`" for c in shown))
+    return out.orderBy(*order).toDF(*unique_headers(EXPORT_NAMES.get(c, c) for c in shown))
+
+
 def map_table(near: DataFrame) -> DataFrame:
     """Neighbours in order of weight, with marker sizes and texts."""
     w = Window.partitionBy("target_id")

@@ -1,6 +1,8 @@
 """Registered queries over the market view, each with its SQL where SQL can say it."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,6 +227,103 @@ def purpose_cascade(spark, sf_dir):
     return m.groupBy(out["_purpose"].alias("purpose"), out["_purpose_source"].alias("source")).agg(F.count("*").alias("n"))
 
 
+# A text for each rule of purpose_class(), in the rules' order, with its class.
+RULE_TEXTS = (
+    ("  Não   Informado ", ""), ("Apart-Hotel no centro", "FLAT / APART-HOTEL"), ("COBERTURA duplex", "COBERTURA"), ("Kitinete mobiliada", "APARTAMENTO"), ("Loja, Shopping norte", "LOJA EM SHOPPING"), ("Loja (galeria)", "LOJA EM GALERIA"),
+    ("Sala de Cobertura", "SALA COMERCIAL"), ("Ponto Comercial", "LOJA"), ("Unidade de Serviço", "IMÓVEL COMERCIAL"), ("Pavilhão industrial", "GALPÃO / DEPÓSITO"), ("Construção em área projetada de gleba", "CONSTRUÇÃO EM ÁREA DE GLEBA"), ("gleba urbana", "GLEBA"),
+    ("Sítio", "TERRENO"), ("Edifício garagem", "GARAGEM / VAGA NÃO RESIDENCIAL"), ("vaga, uso residencial", "GARAGEM / VAGA RESIDENCIAL"), ("Box coberto", "GARAGEM / VAGA"), ("Pousada", "HOTEL"), ("Sobrado geminado", "CASA / RESIDÊNCIA"), ("ESPECIAL", "IMÓVEL ESPECIAL"), ("torre de água", ""),
+)
+FAMILIES = {
+    "RESIDENCIAL_MULTIFAMILIAR": T.MULTI_HOME, "RESIDENCIAL_UNIFAMILIAR": (T.HOUSE,), "COMERCIAL": T.TRADE, "INDUSTRIAL": (T.WAREHOUSE,), "TERRITORIAL": T.GROUND, "ESTACIONAMENTO_RESIDENCIAL": (T.PARKING_HOME,),
+    "ESTACIONAMENTO_NAO_RESIDENCIAL": (T.PARKING_OTHER,), "ESTACIONAMENTO": (T.PARKING,), "HOSPEDAGEM": (T.HOTEL,), "ESPECIAL": (T.SPECIAL,),
+}
+
+
+def sql_list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def sql_family(c: str) -> str:
+    return "CASE " + " ".join(f"WHEN list_contains({sql_list(members)}, {c}) THEN '{name}'" for name, members in FAMILIES.items()) + " ELSE '' END"
+
+
+def picked(items, k):
+    """The item at a number, from 0."""
+    return F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
+
+
+@query(f"""WITH k AS (SELECT p_partkey, {sql_list(c for _, c in RULE_TEXTS)}[p_partkey % {len(RULE_TEXTS)} + 1] AS purpose FROM part) SELECT p_partkey, purpose, {sql_family("purpose")} AS family,
+  CASE WHEN purpose IN ('TERRENO', 'GLEBA', 'CONSTRUÇÃO EM ÁREA DE GLEBA') THEN 'terreno' WHEN purpose IN ('LOJA', 'LOJA EM GALERIA', 'LOJA EM SHOPPING', 'IMÓVEL COMERCIAL') THEN 'privativa_ou_construida'
+    WHEN purpose IN ('APARTAMENTO', 'COBERTURA', 'FLAT / APART-HOTEL', 'SALA COMERCIAL') OR purpose LIKE 'GARAGEM%' THEN 'privativa' ELSE 'construida' END AS area FROM k""")
+def purpose_rules(spark, sf_dir):
+    """Every rule of the classes of use."""
+    c = T.purpose_class(picked([t for t, _ in RULE_TEXTS], F.col("p_partkey") % len(RULE_TEXTS)))
+    p = table(spark, sf_dir, "part").select("p_partkey", c.alias("purpose"))
+    return p.select("p_partkey", "purpose", T.family(F.col("purpose")).alias("family"), T.area_preference(F.col("purpose")).alias("area"))
+
+
+CADASTRAL = (T.APARTMENT, T.PARKING_HOME, T.PARKING_OTHER, T.SHOP, "", T.HOUSE)
+EXPLICIT = ("", "", T.PARKING, T.OFFICE, T.PENTHOUSE)
+LISTED = ("", T.PARKING, T.APARTMENT, T.SHOP, T.LAND, T.FLAT, T.PARKING_HOME)
+
+
+def sql_level(a: str, b: str) -> str:
+    """The conflict of two classes: 0 where one is missing, then none, moderate, full."""
+    return f"""CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN 1 WHEN {a} LIKE 'GARAGEM%' AND {b} LIKE 'GARAGEM%' THEN CASE WHEN 'GARAGEM / VAGA' IN ({a}, {b}) THEN 1 ELSE 3 END
+    WHEN {sql_family(a)} = {sql_family(b)} THEN 2 ELSE 3 END"""
+
+
+SOURCES_SQL = f"""{MARKET_SQL},
+so0 AS (SELECT is_sale, is_offer, {sql_list(CADASTRAL)}[CAST(registration AS BIGINT) % {len(CADASTRAL)} + 1] AS cad, {sql_list(EXPLICIT)}[listing_id % {len(EXPLICIT)} + 1] AS exp, {sql_list(LISTED)}[CAST(area AS BIGINT) % {len(LISTED)} + 1] AS lst FROM m WHERE is_sale OR is_offer),
+so1 AS (SELECT *, cad IN ('GARAGEM / VAGA RESIDENCIAL', 'GARAGEM / VAGA NÃO RESIDENCIAL') AND CASE WHEN exp <> '' THEN exp ELSE lst END = 'GARAGEM / VAGA' AND (exp <> '' OR is_offer) AS refined FROM so0),
+so2 AS (SELECT *, CASE WHEN refined THEN cad WHEN exp <> '' THEN exp WHEN is_offer AND lst <> '' THEN lst ELSE cad END AS final,
+    CASE WHEN exp <> '' THEN CASE WHEN refined THEN 'FINALIDADE_CRAWLER_REFINADA_SIAT' ELSE 'FINALIDADE_CRAWLER' END WHEN is_offer AND lst <> '' THEN CASE WHEN refined THEN 'TIPO_CRAWLER_REFINADO_SIAT' ELSE 'TIPO_CRAWLER' END
+      WHEN cad = '' THEN '' WHEN is_sale THEN 'SIAT' ELSE 'SIAT_FALLBACK' END AS source FROM so1),
+so3 AS (SELECT *, greatest({sql_level("final", "cad")}, {sql_level("final", "lst")}) AS lv, {sql_level("exp", "lst")} AS versus FROM so2),
+so AS (SELECT *, ['Não aplicável', 'Não', 'Moderado', 'Sim'][lv + 1] AS conflict, CASE WHEN source LIKE '%REFINAD%' THEN 'Média' WHEN source = 'SIAT' THEN 'Alta' WHEN source = 'TIPO_CRAWLER' THEN CASE WHEN lv <= 1 THEN 'Alta' ELSE 'Média' END
+    WHEN source = 'FINALIDADE_CRAWLER' THEN CASE versus WHEN 3 THEN 'Baixa' WHEN 1 THEN 'Alta' ELSE 'Média' END ELSE 'Baixa' END AS confidence FROM so3)"""
+
+
+def _sourced(spark, sf_dir) -> DataFrame:
+    """Sales and offers with purposes from three sources."""
+    m = traded(spark, sf_dir)
+    given = (picked(EXPLICIT, F.col("listing_id") % len(EXPLICIT)), picked(CADASTRAL, F.col("registration").cast("long") % len(CADASTRAL)), picked(LISTED, F.col("area").cast("long") % len(LISTED)))
+    m = m.select("is_sale", "is_offer", F.when(F.col("is_sale"), T.SALE).otherwise(T.OFFER).alias("kind"), *(c.alias(name) for c, name in zip(given, ("exp", "cad", "lst"))))
+    for columns in enrich.purpose_cascade(*map(F.col, ("kind", "exp", "cad", "lst"))):
+        m = m.withColumns(columns)
+    return m
+
+
+@query(f"WITH {SOURCES_SQL} SELECT final AS purpose, source, conflict, confidence, count(*) AS n FROM so GROUP BY 1, 2, 3, 4")
+def purpose_confidence(spark, sf_dir):
+    """The whole cascade: parking refined by the cadastre, conflicts of all sources, confidence."""
+    return _sourced(spark, sf_dir).groupBy(F.col("_purpose").alias("purpose"), F.col("_purpose_source").alias("source"), F.col("_purpose_conflict").alias("conflict"), F.col("_purpose_confidence").alias("confidence")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SOURCES_SQL} SELECT final AS purpose, count(*) AS n_usable, count(*) FILTER (source = 'FINALIDADE_CRAWLER') AS n_explicit, count(*) FILTER (source = 'TIPO_CRAWLER') AS n_listed, count(*) FILTER (source = 'SIAT') AS n_cadastral,
+  count(*) FILTER (source = 'SIAT_FALLBACK') AS n_fallback, count(*) FILTER (lv >= 2) AS n_conflict, count(*) FILTER (lv < 2) AS n_clean_usable FROM so GROUP BY 1""")
+def source_counts(spark, sf_dir):
+    """Coverage of each purpose by source and conflict."""
+    return report.source_counts(_sourced(spark, sf_dir).withColumn("purpose", F.col("_purpose")), ["purpose"])
+
+
+@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderkey % 7 <> 0 THEN round(-30 - (o_orderkey % 1000) / 1000.0::DOUBLE, 6) END AS lat,
+  CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 1250.5 WHEN 2 THEN 80.0 ELSE o_orderkey % 100 + 1 END::DOUBLE AS area FROM orders""")
+def typed_text(spark, sf_dir):
+    """Dates, coordinates and areas as sheets hold them: dates in five forms, decimal
+    commas, the first positive area of the list that the information type has."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = [F.date_format(day, f) for f in ("dd/MM/yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy HH:mm")]
+    forms.append(F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string"))
+    text = reduce(lambda out, f: F.when(k % 5 == f[0], f[1]).otherwise(out), enumerate(forms), F.lit(None).cast("string"))
+    lat = F.when(k % 7 == 0, "sem dado").otherwise(F.concat(F.lit(" -30,"), F.lpad((k % 1000).cast("string"), 3, "0")))
+    kind = picked([T.SALE, "  oferta ", T.OFFER, "Outra"], k % 4)
+    listed = N.first_positive(N.parse_number(F.when(k % 4 == 1, "0 m²").otherwise("80 m²")), N.parse_number(F.lit("1.250,5 m²")))
+    other = N.first_positive(N.parse_number(F.lit("-3")), N.number(k % 100 + 1, "bigint"))
+    area = N.by_information_type(kind, listed, N.first_positive(), other)
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.parse_date(text, "string").cast("date").alias("day"), F.round(N.coordinate(lat), 6).alias("lat"), area.alias("area"))
+
+
 @query(f"""WITH {MARKET_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY listing_id, CASE WHEN listing_id = 0 THEN id END ORDER BY "date" DESC NULLS LAST, id DESC) AS rn FROM m WHERE is_offer)
 SELECT purpose, count(*) AS n_kept, CAST(sum(listing_id * 7 + CAST(registration AS BIGINT)) AS BIGINT) AS id_sum FROM (SELECT purpose, listing_id, registration FROM o WHERE rn = 1 UNION ALL SELECT purpose, listing_id, registration FROM m WHERE is_sale) GROUP BY 1""")
 def keep_latest_listing(spark, sf_dir):
@@ -354,6 +453,20 @@ def estimate_batch(spark, sf_dir):
     return out.select("target_id", "purpose", "k_used", r6("n_eff").alias("n_eff"), "n_candidates", F.round("unit_estimate", 4).alias("unit_estimate"), F.round("total_estimate", 2).alias("total_estimate"), r6("adjusted_weight").alias("adjusted_weight"), r6("geo_median_km").alias("geo_median_km"))
 
 
+@query(f"""WITH {ESTIMATE} SELECT cl.target_id, cl.id, info_type, cl.built_area, cl.year, round(lat, 6) AS lat, round(ln(unit_value), 8) AS ln_original, round(ln(cl.unit), 8) AS ln_adjusted, round(ln(clipped), 8) AS ln_robust,
+  round(cl.geo, 6) AS distancia_geografica_km, round(weight, 6) AS peso_knn, round(weight * clipped, 4) AS contribuicao_valor_unitario, round((cl.unit - clipped) / cl.unit, 6) AS adjustment_share FROM cl JOIN p ON p.id = cl.id""")
+def neighbour_report(spark, sf_dir):
+    """Neighbours as reports show them, with what the robust step changed."""
+    sheet = staged_wide(priced(spark, sf_dir).select("id", "purpose", "group", "info_type", "value", "unit_value", "unit", "built_area", "lot_area", "year", "lat", "lon"))
+    near = knn.neighbours(sheet, staged(knn.resolve_targets(nation_targets(spark, sf_dir), LAST_YEAR)), LAST_YEAR, local_filter=False)
+    out = report.neighbour_export(near, sheet, ("adjustment",))
+    ln = lambda c: F.round(F.ln(c), 8)
+    return out.select(
+        "target_id", "id", "info_type", "built_area", "year", r6("lat").alias("lat"), ln("valor_unitario_original").alias("ln_original"), ln("valor_unitario_ajustado").alias("ln_adjusted"), ln("valor_unitario_robusto").alias("ln_robust"),
+        r6("distancia_geografica_km").alias("distancia_geografica_km"), r6("peso_knn").alias("peso_knn"), F.round("contribuicao_valor_unitario", 4).alias("contribuicao_valor_unitario"), r6(F.col("adjustment") / F.col("valor_unitario_ajustado")).alias("adjustment_share"),
+    )
+
+
 @query(f"""WITH {filtered(ESTIMATE, CUTS)} SELECT t.target_id, tp AS purpose, CASE WHEN es.k_used IS NULL THEN 'fewer than 2 candidates' ELSE 'ok' END AS status, CAST(es.k_used AS INT) AS k_used, n_candidates, round(unit_estimate, 4) AS unit_estimate, round(total_estimate, 2) AS total_estimate, round(n_eff, 6) AS n_eff FROM t LEFT JOIN es ON es.target_id = t.target_id""")
 def valuation(spark, sf_dir):
     """The flagship: every target valued, with the local filter."""
