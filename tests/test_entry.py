@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ("info_type", "purpose_class", "conflict_level", "keep_latest_listing", "keep_latest_primary", "rule_filter", "robust_prefilter", "discount_by_purpose", "center_scales", "cap_weights", "estimate_batch", "street_range", "address_parse", "geocode_addresses", "attach_coordinates", "limited_queries", "street_names", "sorted_purposes", "prepared_market", "prepared_purposes", "purpose_rules", "purpose_confidence", "source_counts", "typed_text", "neighbour_report", "valuation")
+QUICK = ("info_type", "purpose_class", "conflict_level", "keep_latest_listing", "keep_latest_primary", "rule_filter", "robust_prefilter", "discount_by_purpose", "center_scales", "cap_weights", "estimate_batch", "street_range", "address_parse", "geocode_addresses", "attach_coordinates", "limited_queries", "street_names", "sorted_purposes", "prepared_market", "prepared_purposes", "purpose_rules", "purpose_confidence", "source_counts", "typed_text", "neighbour_report", "latest_events", "valuation")
 
 
 def cells(rows):

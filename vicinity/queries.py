@@ -17,6 +17,7 @@ from .plans.params import FLOORS
 from .plans.prepare import prepare, prepare_all
 from .sources.market_view import LAST_YEAR, MARKET_SQL, market_rows
 from .sources.stage import spread, staged, staged_wide
+from .streaming.latest import current, latest_changes, written_changes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -727,3 +728,12 @@ def sorted_purposes(spark, sf_dir):
     """The purposes of the market in order, as a list to choose from."""
     names = market_rows(spark, sf_dir).select(F.trim("purpose").alias("purpose")).where("purpose <> ''").distinct()
     return names.agg(F.array_sort(F.collect_set("purpose")).alias("p")).select(F.posexplode("p").alias("i", "purpose")).select("purpose", (F.col("i") + 1).cast("long").alias("position"))
+
+
+@query("""SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+def latest_events(spark, sf_dir):
+    """The latest event of each user and type, from a stream of the events over keyed state."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern: streams take no single file
+    log = written_changes(latest_changes(stream, F.concat_ws(":", "event_type", "user_id"), F.col("ts"), "event_id"))
+    return current(log).select("event_id", "user_id", "event_type", "value")

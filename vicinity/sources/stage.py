@@ -7,7 +7,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @cache
@@ -34,12 +34,10 @@ def scope():
             files.delete(folder, True)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The table, written below spark.checkpoint.dir and read again, so that plans that
-    use it several times compute it once and a lost executor costs no more than a read.
-    Where the setting is missing, as in tests, a temporary folder takes its place.
-    The table is removed at the end of the scope() around, or when the driver ends."""
-    spark = df.sparkSession
+def staging_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where the setting is missing, as in tests,
+    a temporary folder takes its place.  It is removed, with what was written to it, at
+    the end of the scope() around, or when the driver ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
         if not spark.sparkContext.master.startswith("local"):
@@ -52,8 +50,15 @@ def staged(df: DataFrame) -> DataFrame:
     files.deleteOnExit(folder)  # also if writing fails
     for own in _scopes.get()[-1:]:
         own.append((files, folder))
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table, written to a staging_folder() and read again, so that plans that use it
+    several times compute it once and a lost executor costs no more than a read."""
+    path = staging_folder(df.sparkSession)
     df.write.parquet(f"{path}/rows")
-    return spark.read.schema(df.schema).parquet(f"{path}/rows")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 def staged_wide(df: DataFrame) -> DataFrame:
