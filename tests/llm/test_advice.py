@@ -135,3 +135,25 @@ def test_line_runs_with_another_first_place(spark):
     out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOCS)).collect()}
     assert [out[0], out[1], out[7]] == [w, "y1\ny2\nown 0\nmore 0", ""]
     assert [out[k + 1] for k in range(1, 6)] == [f"own {k}\nmore {k}" for k in range(1, 6)]
+
+
+def test_model_with_pieces_over_line_ends_is_refused(tmp_path):
+    """Runs end at line ends, so a piece that goes on after one can't be found; one that ends there can."""
+    import pytest
+    from sentencepiece import sentencepiece_model_pb2
+
+    from vicinity.llm.sentencepiece import Model
+
+    def model(*pieces):
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.normalizer_spec.remove_extra_whitespaces = False
+        proto.pieces.add(piece="<unk>", score=0.0, type=2)
+        for p in pieces:
+            proto.pieces.add(piece=p, score=-1.0, type=1)
+        (tmp_path / "m").write_bytes(proto.SerializeToString())
+        return Model(str(tmp_path / "m"))
+
+    assert len(model("a", "a\n", "\n").pieces) == 4
+    for bad in ("\na", "a\nb", "\n\n", "a▁"):
+        with pytest.raises(ValueError):
+            model("a", bad)

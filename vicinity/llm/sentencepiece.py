@@ -8,10 +8,10 @@ piece is longest.  Characters that no piece covers cost less than the worst piec
 and are written as byte pieces (or the unknown piece, if the model has no bytes).
 
 White space (U+0020) is escaped as U+2581 and a leading one is added when the
-model says so.  No piece has an escape after another character, so a text falls
-into runs (escapes, then other characters) whose best segmentations are
-independent; each distinct run is encoded once per worker cache.  A model whose
-pieces break that rule is refused.
+model says so.  No piece has an escape after another character, or anything after a
+line's end, so a text falls into runs (escapes, then other characters up to a
+line's end) whose best segmentations are independent; each distinct run is encoded
+once per worker cache.  A model whose pieces break that rule is refused.
 
 Null text: null ids on encoding, null text on decoding; empty text: no ids.
 Extra columns are ignored by `encode`; repeated rows give repeated rows.
@@ -48,6 +48,8 @@ class Model:
         normal = [(p.piece, i, p.score) for i, p in enumerate(proto.pieces) if p.type in (1, 4)]
         if any(ESCAPE in p.lstrip(ESCAPE) for p, _, _ in normal):
             raise ValueError("a piece has white space after another character")
+        if any("\n" in p[:-1] for p, _, _ in normal):
+            raise ValueError("a piece goes on after a line's end")
         self.low = min(s for _, _, s in normal) - 10.0
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
