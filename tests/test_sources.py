@@ -67,3 +67,28 @@ def test_one_local_folder_per_application():
     from vicinity.sources.stage import _local_dir
 
     assert _local_dir("a") == _local_dir("a") != _local_dir("b")
+
+
+def test_repeated_headers_of_text_files(spark, tmp_path):
+    """The first column of a name keeps it, in every file of a folder."""
+    (tmp_path / "t.csv").mkdir()
+    for k in range(2):
+        (tmp_path / "t.csv" / f"{k}.csv").write_text(f'Valor;valor;;Valor;"a;b"\n{k};2;3;4;5\n;;;;\n')
+    df = tables.read_sheet(spark, f"{tmp_path}/t.csv", sep=";")
+    assert df.columns == ["Valor", "valor_2", "column_3", "Valor_3", "a;b"]
+    assert sorted(r[0] for r in df.where("valor_2 IS NOT NULL").select(tables.first_named(df, "Valor")).collect()) == ["0", "1"] and df.count() == 4
+    missing = df.select(tables.first_named(df, "Lote").alias("x"))
+    assert missing.dtypes == [("x", "double")] and missing.where("x IS NOT NULL").isEmpty()
+    (tmp_path / "none.csv").write_text("")
+    (tmp_path / "head.csv").write_text("a,b\n")
+    for name in ("none", "head"):
+        with pytest.raises(ValueError, match="no rows"):
+            tables.read_sheet(spark, f"{tmp_path}/{name}.csv")
+
+
+def test_address_columns():
+    """Each part's column by its aliases; an address needs its full text or a street."""
+    got = roles.address_columns(["CEP", "Número", "Bairro (portal)", "Rua", "valor"])
+    assert got == {"full": None, "street": "Rua", "number": "Número", "neighborhood": "Bairro (portal)", "city": None, "state": None, "postal_code": "CEP"}
+    assert roles.has_address(got) and not roles.has_address(got | {"street": None}) and roles.has_address({"full": "Endereço"})
+    assert roles.unique_in_order(["b", None, "a", "b"]) == ["b", "a"]

@@ -6,9 +6,10 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.roles import unique_headers
 from .files import open_file
@@ -23,7 +24,12 @@ def read_sheet(spark: SparkSession, path: str, format: str | None = None, **opti
         spark.dataSource.register(SheetSource)
         df = spark.read.format("sheet").options(**options).load(path)
     elif format == "csv":
-        df = spark.read.options(header="true", **options).csv(path)
+        # headers by position: Spark would number every one of a repeated name, the first too
+        header = spark.read.options(**{**options, "header": "false"}).csv(path).first()
+        if header is None:
+            raise ValueError(f"no rows in {path}")
+        names = unique_headers(h or f"column_{i}" for i, h in enumerate(header, 1))
+        df = spark.read.schema(StructType([StructField(n, StringType()) for n in names])).options(**{**options, "header": "true"}).csv(path)
     else:
         df = spark.read.format(format).options(**options).load(path)
     df = df.toDF(*unique_headers(df.columns))
@@ -32,6 +38,12 @@ def read_sheet(spark: SparkSession, path: str, format: str | None = None, **opti
     return df
 
 
+def first_named(df: DataFrame, name: str) -> Column:
+    """The first of the columns that a sheet had under a name, which keeps it when
+    read_sheet() numbers the others; null numbers where there is none."""
+    return F.col(f"`{name}`") if name in df.columns else F.lit(None).cast("double")
+
+
 def with_row_id(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """_row_id that keeps the order of the input files (unique, increasing), or numbers
     from 1 by given columns where the order must not depend on the layout: rows are
