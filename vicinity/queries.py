@@ -736,4 +736,4 @@ def latest_events(spark, sf_dir):
     path = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern: streams take no single file
     log = written_changes(latest_changes(stream, F.concat_ws(":", "event_type", "user_id"), F.col("ts"), "event_id"))
-    return current(log).select("event_id", "user_id", "event_type", "value")
+    return current(log, "event_id").select("event_id", "user_id", "event_type", "value")

@@ -1,4 +1,4 @@
-"""Keep-latest over a stream: state of one row a key, with a time limit."""
+"""Keep-latest over a stream: state of one row a key, with or without a time limit."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -11,51 +11,55 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources.stage import staging_folder
 
 UNDATED = -(1 << 62)
-STATE = "d long, r string, n long"
-# Rows without a key have no state: they pass in as many groups as this, by their id.
+# Rows without a key have no state: beside a time limit they pass in as many groups, by their id.
 PASSING = 64
 
 
 def latest_changes(stream: DataFrame, key: Column, date: Column, row_id: str, expires: str | None = None, event_time: str | None = None, delay: str = "0 seconds") -> DataFrame:
-    """A stream of the rows that become the latest of their key, under the rule of
+    """A stream of the latest row of each key that a batch names, under the rule of
     dedup.keep_latest(): latest date, undated rows first, then highest row id.
 
-    Adds _key (null: the row has none and passes as it is) and _version, which counts a
-    key's changes from 1.  A row that is older than what its key has, or repeats it, is
-    dropped; so the last version of each key is its row of the batch operator over all
-    rows (current()).  Rows of one key and id in one batch count as repeats.
-
-    The state of a key is its latest date and id, and never holds rows.  With `expires`
-    (of time without a change: the state's timeout) it goes once the watermark, `delay`
-    behind the largest event_time, is that far beyond the key's last change; a key that
-    comes again starts anew at version 1.  Spark then drops rows that are not after the
-    watermark, so delay and expires must exceed the time by which records come late.
-
-    Before the shuffle each task keeps only the latest row of a key in each Arrow batch,
-    so a hot key sends a row for each batch, and its task reads those one by one."""
-    order = F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(UNDATED))
+    Adds _key (null: the row has none and passes as it is) and _order (its date).  The
+    latest row in what was written of a key is that of the batch operator over all rows
+    (current()); of rows with equal key, date and id one stays.
+
+    Without a time limit this is an aggregation with state in the state store, combined
+    before its shuffle, so a key that is very common sends one row a task; a key that a
+    batch names is written again even where its row stays.
+
+    With `expires` (of time without a record) the state of a key is its latest date and
+    id, which goes once the watermark, `delay` behind the largest event_time, is that far
+    beyond the key's last record; only changes are written; a key that comes again starts
+    anew.  Spark then drops rows that are not after the watermark, so delay and expires
+    must exceed the time by which records come late.  Spark has no such limit for an
+    aggregation by key alone, so this way goes through pandas, a group a key (about a
+    millisecond each), of which tasks send no more than one row for each Arrow batch."""
     if (expires is None) != (event_time is None):
         raise ValueError("expires and event_time go together")
     kind = stream.schema[row_id].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint", "string"):
         raise ValueError(f"row ids must be whole numbers or text, not {kind}")
-    whole = kind != "string"
-    marked = stream.withColumns({"_key": F.nullif(key.cast("string"), F.lit("")), "_d": order, "_r": F.coalesce(F.col(row_id).cast("string"), F.lit(""))})
-    marked = marked.withColumn("_group", F.coalesce(F.concat(F.lit("k"), "_key"), F.concat(F.lit("p"), F.pmod(F.xxhash64("_r"), F.lit(PASSING)))))
-    limit = None
-    if event_time is not None:
-        marked = marked.withWatermark(event_time, delay)
-        limit = int(pd.Timedelta(expires).total_seconds() * 1000)
+    marked = stream.withColumns({"_key": F.nullif(key.cast("string"), F.lit("")), "_order": F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(UNDATED))})
+    if expires is not None:
+        return _expiring(marked, row_id, kind != "string", int(pd.Timedelta(expires).total_seconds() * 1000), event_time, delay)
+    row = F.struct(*(f"`{c}`" for c in (*stream.columns, "_order")))
+    last = marked.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.max_by(row, F.struct("_order", F.col(row_id))).alias("_row"))
+    return last.select("_row.*", "_key").unionByName(marked.where(F.col("_key").isNull()))
+
+
+def _expiring(marked: DataFrame, row_id: str, whole: bool, limit: int, event_time: str, delay: str) -> DataFrame:
+    marked = marked.withColumn("_r", F.coalesce(F.col(row_id).cast("string"), F.lit("")))
+    marked = marked.withColumn("_group", F.coalesce(F.concat(F.lit("k"), "_key"), F.concat(F.lit("p"), F.pmod(F.xxhash64("_r"), F.lit(PASSING))))).withWatermark(event_time, delay)
     fields = marked.schema
 
     def rank(d, r: str):
-        return (int(d), int(r or -(1 << 63)) if whole else r)
+        return int(d), int(r or -(1 << 63)) if whole else r
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             r = pd.to_numeric(b["_r"].where(b["_r"] != "", str(-(1 << 63)))).astype("int64") if whole else b["_r"]
             keyed = b["_key"].notna()
-            last = pd.DataFrame({"g": b["_group"], "d": b["_d"], "r": r})[keyed].sort_values(["d", "r"], kind="stable").drop_duplicates("g", keep="last")
+            last = pd.DataFrame({"g": b["_group"], "d": b["_order"], "r": r})[keyed].sort_values(["d", "r"], kind="stable").drop_duplicates("g", keep="last")
             yield b[~keyed | b.index.isin(last.index)]
 
     def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,27 +68,24 @@ def latest_changes(stream: DataFrame, key: Column, date: Column, row_id: str, ex
             return
         if group[0][0] == "p":
             for b in batches:
-                yield b.drop(columns=["_d", "_r", "_group"]).assign(_version=1)
+                yield b.drop(columns=["_r", "_group"])
             return
-        d, r, n = state.get if state.exists else (None, None, 0)
-        best = None
+        d, r = state.get if state.exists else (None, None)
+        best, now = None, state.getCurrentWatermarkMs()
         for b in batches:
-            for k in range(len(b)):
-                now = b["_d"].iloc[k], b["_r"].iloc[k]
-                if d is None or rank(*now) > rank(d, r):
-                    (d, r), best = now, b.iloc[k : k + 1]
+            for k, own in enumerate(zip(b["_order"], b["_r"])):
+                if d is None or rank(*own) > rank(d, r):
+                    (d, r), best = own, b.iloc[k : k + 1]
         if best is not None:
-            state.update((int(d), r, n + 1))
-            if limit is not None:
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(best[event_time].iloc[0].timestamp() * 1000) if pd.notna(best[event_time].iloc[0]) else 0) + limit)
-            yield best.drop(columns=["_d", "_r", "_group"]).assign(_version=n + 1)
-        elif limit is not None and state.exists:
-            # a timeout holds for one call only: name it again
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + limit)
+            state.update((int(d), r))
+            seen = best[event_time].iloc[0]
+            state.setTimeoutTimestamp(max(now, int(seen.timestamp() * 1000) if pd.notna(seen) else 0) + limit)
+            yield best.drop(columns=["_r", "_group"])
+        else:  # a timeout holds for one call only: name it again
+            state.setTimeoutTimestamp(now + limit)
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name not in ("_d", "_r", "_group")) + ", _version long"
-    timeout = GroupStateTimeout.NoTimeout if limit is None else GroupStateTimeout.EventTimeTimeout
-    return marked.mapInPandas(combine, fields).groupBy("_group").applyInPandasWithState(update, out, STATE, "update", timeout)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name not in ("_r", "_group"))
+    return marked.mapInPandas(combine, fields).groupBy("_group").applyInPandasWithState(update, out, "d long, r string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def written_changes(changes: DataFrame) -> DataFrame:
@@ -96,10 +97,9 @@ def written_changes(changes: DataFrame) -> DataFrame:
     return changes.sparkSession.read.schema(changes.schema).parquet(f"{path}/log/*")
 
 
-def current(changes: DataFrame) -> DataFrame:
-    """The table that a written stream of changes stands for: the last version of each
-    key, and every row without one.  One aggregation by key and a join, as keys change
-    seldom; for a log without expired keys."""
-    last = changes.where("_key IS NOT NULL").groupBy("_key").agg(F.max("_version").alias("_version"))
-    keyed = changes.join(last, ["_key", "_version"], "left_semi")
-    return keyed.unionByName(changes.where("_key IS NULL")).drop("_key", "_version")
+def current(changes: DataFrame, row_id: str) -> DataFrame:
+    """The table that a written stream of changes stands for: the latest row of each key,
+    and every row without one.  One aggregation by key."""
+    columns = [c for c in changes.columns if c not in ("_key", "_order")]
+    last = changes.where("_key IS NOT NULL").groupBy("_key").agg(F.max_by(F.struct(*(f"`{c}`" for c in columns)), F.struct("_order", F.col(row_id))).alias("_row"))
+    return last.select("_row.*").unionByName(changes.where("_key IS NULL").select(*(f"`{c}`" for c in columns)))
