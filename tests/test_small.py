@@ -47,3 +47,17 @@ def test_map_of_targets_with_neighbours(spark):
     assert got == {(1, 0): (None, True, "0,000"), (1, 1): ("a", False, "0,500"), (3, 0): (None, True, "0,000")}
     views = {r.target_id: (r.n_points, r.n_discarded, r.zoom) for r in report.map_extents(near, targets).collect()}
     assert views == {1: (2, 1, 15.5), 3: (1, 0, 15.0)}  # the second has no point at all
+
+
+def test_keep_latest_deals_out_rows_without_key(spark):
+    """Rows without a key, also with equal ids, all stay and don't meet in one task; the input is read once."""
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), (F.col("id") % 100).cast("string"))).otherwise("").alias("k"), F.lit("2020-01-01").alias("d"), (F.col("id") % 3000).alias("_row_id"))
+    kept = dedup.keep_latest(df, F.col("k"), F.to_timestamp("d"))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in kept.where("k = ''").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 3000 and max(sizes) < 1500
+    assert kept.where("k <> ''").count() == 25

@@ -1,30 +1,31 @@
 """Keeps the latest of duplicated records, in two passes."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import listing_key, money_key, registration_key
+from ..functions.text import bound, listing_key, money_key, registration_key
 
-# A key that holds very many rows is spread before the one-row-per-key comparison:
-# aggregation combines rows within tasks first, so no window over a hot key is needed.
+# A key that holds very many rows: the limit to a key's first row is taken within tasks
+# before the shuffle too (WindowGroupLimit), so that a task sends one row of a hot key.
 
 
 def keep_latest(df: DataFrame, key: Column, date: Column, row_id: str = "_row_id", only: Column | None = None) -> DataFrame:
     """Of rows with equal key (not '') keeps the one with the latest date, undated rows
     first, then the highest row id; rows without a key, or for which `only` doesn't
-    hold, all stay.  One aggregation by key (combined before its shuffle) and a join."""
-    keyed = F.when((key != "") if only is None else ((key != "") & F.coalesce(only, F.lit(False))), key)
-    marked = df.withColumn("_key", keyed).withColumn("_rank", F.struct(F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(-(1 << 62))).alias("d"), F.col(row_id).alias("r")))
-    last = marked.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.max("_rank").alias("_last"))
-    kept = marked.join(last, "_key", "left").where(F.col("_last").isNull() | (F.col("_rank.r") == F.col("_last.r")))
-    return kept.drop("_key", "_rank", "_last")
+    hold, all stay.  One pass and one shuffle; rows without a key have numbers of their
+    own and are dealt out by them."""
+    keyed = bound(key, lambda k: F.when((k != "") if only is None else ((k != "") & F.coalesce(only, F.lit(False))), k))
+    marked = df.withColumns({"_key": keyed, "_date": F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(-(1 << 62)))})
+    marked = marked.withColumns({"_hash": F.xxhash64("_key"), "_alone": F.when(F.col("_key").isNull(), F.monotonically_increasing_id())})  # hashes sort faster than texts
+    order = Window.partitionBy("_hash", "_key", "_alone").orderBy(F.desc("_date"), F.desc(row_id))
+    return marked.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_hash", "_key", "_alone", "_date", "_place")
 
 
 def primary_key(info_type: Column, registration: Column, value: Column) -> Column:
     """type::registration::amount where both parts are valid."""
-    r, m = registration_key(registration), money_key(value)
-    return F.when((r != "") & (m != ""), F.concat_ws("::", info_type, r, m)).otherwise("")
+    both = lambda r: bound(money_key(value), lambda m: F.when((r != "") & (m != ""), F.concat_ws("::", info_type, r, m)).otherwise(""))
+    return bound(registration_key(registration), both)
 
 
 def deduplicate(df: DataFrame, info_type: str, date: Column, registration: Column | None, value: Column | None, listing_columns: list[str], is_offer: Column, row_id: str = "_row_id") -> DataFrame:
