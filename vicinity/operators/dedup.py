@@ -1,4 +1,4 @@
-"""Keeps the latest of duplicated records, in two passes."""
+"""Keeps the latest of duplicated records, in one pass."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
