@@ -101,3 +101,19 @@ def test_nothing_is_left(tmp_path):
     done = subprocess.run([sys.executable, "-c", textwrap.dedent(job)], capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and done.stdout.split()[-1] == "failed", done.stderr
     assert not [p for p in tmp_path.rglob("*") if p.is_file() or p.name.startswith("vicinity")]  # Spark itself leaves an empty folder
+
+
+def test_language_models_go():
+    """Words far longer than others leave nothing of a model behind in a worker."""
+    import gc
+    import weakref
+
+    from vicinity.llm.language_id import _automaton, phrases
+
+    code = [k * 7 % 190 + 1 for k in range(600)]
+    table, *rare = _automaton(code)
+    assert phrases(table, np.array(code), np.array([0]), np.array([600]), rare).tolist() == [1]
+    left = weakref.ref(table)
+    del table
+    gc.collect()
+    assert left() is None

@@ -25,6 +25,7 @@ labelled text every document is `und`.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -109,18 +110,20 @@ def fit(texts: dict[str, list[str]], train_chars: int) -> dict | None:
     return {"langs": list(joined), "char": char, "codes": codes, "letter": letter, "tables": automata}
 
 
-_walks: dict[int, tuple] = {}
+def _walk(table: np.ndarray, rare: tuple[np.ndarray, np.ndarray]):
+    """The transition of one state by one symbol, -1 without: reads the arrays as they
+    are, so that nothing is held once the model is gone."""
+    flat, width = memoryview(table.reshape(-1)), table.shape[1]
+    keys, targets = map(memoryview, rare)
 
+    def step(s: int, c: int) -> int:
+        if c < width:
+            return flat[s * width + c]
+        want = s << 32 | c
+        at = bisect_left(keys, want)
+        return targets[at] if at < len(keys) and keys[at] == want else -1
 
-def _walk(table: np.ndarray, rare: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
-    """All transitions as one dict by state << 32 | symbol (made once a worker)."""
-    held = _walks.get(id(table))
-    if held is None or held[0] is not table:
-        state, symbol = np.nonzero(table >= 0)
-        step = dict(zip((state << 32 | symbol).tolist(), table[state, symbol].tolist()))
-        step.update(zip(rare[0].tolist(), rare[1].tolist()))
-        _walks[id(table)] = held = (table, step)
-    return held[1]
+    return step
 
 
 def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, rare=(np.zeros(0, np.int64), np.zeros(0, np.int32))) -> np.ndarray:
@@ -151,10 +154,10 @@ def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.n
             for k in range(live):
                 s, n = int(state[k]), 0
                 for c in codes[starts[k] + t : starts[k] + lens[k]].tolist():
-                    to = step.get(s << 32 | c, -1)
+                    to = step(s, c)
                     if to < 0:
                         n += s > 0
-                        to = step.get(c, -1)
+                        to = step(0, c)
                         if to < 0:
                             n, to = n + 1, 0
                     s = to
