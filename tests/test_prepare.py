@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.roles import ColumnMapping
 from vicinity.operators import dedup
+from vicinity.operators.discount import adjust, offer_discount
 from vicinity.plans import params
 from vicinity.plans.prepare import STAGE_CONFLICT, STAGE_REGIME, prepare, prepare_all
 
@@ -84,3 +85,16 @@ def test_regime_columns_agree_with_the_driver(spark):
         except ValueError:
             want = (None, "insufficient")
         assert (r.regime, r.why) == want, r
+
+
+def test_duplicates_in_one_pass_and_purposes_not_dealt_out(spark):
+    """Steps of choices read their rows once; rows aren't dealt out by purpose to meet discounts."""
+    df = spark.range(400).selectExpr("id as _row_id", "cast(id % 3 as string) as g", "'guia itbi' as t", "cast(id % 17 + 100000 as string) as r", "cast(id % 5 as double) as v", "id % 4 = 0 as c", "timestamp_seconds(id) as d", "cast(id % 23 as string) as anuncio", "id % 2 = 0 as offer")
+    out = dedup.deduplicate_choices(df, {"full": F.lit(True), "part": ~F.col("c")}, "t", F.col("d"), F.col("r"), F.col("v"), ["anuncio"], F.col("offer"), ["g"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    rows = df.selectExpr("g", "v + 1 as unit_value", "NOT offer as is_sale", "offer as is_offer")
+    plan = adjust(rows, offer_discount(rows, ["g"]), ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    names = [*params.CLASSES, " garagem /  vaga", "Apartamento", "outra"]
+    got = [r.f for r in spark.createDataFrame([(k, p) for k, p in enumerate(names)], "k int, p string").orderBy("k").select(params.floor_of(F.col("p")).alias("f")).collect()]
+    assert got == [params.FLOORS.get(params.plain(p), 0.0) for p in names]

@@ -42,23 +42,22 @@ def deduplicate_choices(df: DataFrame, choices: dict[str, Column], info_type: st
     """deduplicate() of several choices of rows at once, each within groups: adds for each
     choice whether a row is left in it, as a column of its name, and the step (1: by
     registration, 2: by listing) that took it out, as <name>_by; no row is dropped.  A
-    key's latest row of every choice comes from the same aggregation; rows without a key
-    meet no other in the join."""
-    out = df.withColumns({name: F.coalesce(c, F.lit(False)) for name, c in choices.items()} | {f"{name}_by": F.lit(None).cast("int") for name in choices})
-    order = F.struct(F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(-(1 << 62))).alias("d"), F.col(row_id).alias("r"))
+    step is one shuffle for all choices: from a key's latest row on, a choice keeps its
+    first.  Rows without a key have numbers of their own and are dealt out by them."""
+    out = df.withColumns({name: F.coalesce(c, F.lit(False)) for name, c in choices.items()} | {f"{name}_by": F.lit(None).cast("int") for name in choices} | {"_date": F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(-(1 << 62)))})
     steps = {}
     if registration is not None and value is not None:
         steps[1] = primary_key(F.col(info_type), registration, value)
     if listing_columns:
         steps[2] = F.when(F.coalesce(is_offer, F.lit(False)), listing_key([(c, F.col(f"`{c}`").cast("string")) for c in listing_columns]))
     for step, key in steps.items():
-        out = out.withColumn("_key", F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("\0"), F.col(row_id).cast("string"))))
-        last = out.where(~F.col("_key").startswith("\0")).groupBy(*within, "_key").agg(*(F.max(F.when(F.col(c), order)).alias(f"_last_{c}") for c in choices))
-        out = out.join(last, [*within, "_key"], "left")
-        lost = {c: F.col(c) & F.coalesce(F.col(f"_last_{c}.r") != F.col(row_id), F.lit(False)) for c in choices}
+        out = out.withColumn("_key", F.nullif(key, F.lit(""))).withColumns({"_hash": F.xxhash64(*within, "_key"), "_alone": F.when(F.col("_key").isNull(), F.monotonically_increasing_id())})
+        upto = Window.partitionBy("_hash", *within, "_key", "_alone").orderBy(F.desc("_date"), F.desc(row_id)).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({f"_n_{c}": F.count_if(F.col(c)).over(upto) for c in choices})
+        lost = {c: F.col(c) & (F.col(f"_n_{c}") > 1) for c in choices}
         out = out.withColumns({f"{c}_by": F.when(gone, step).otherwise(F.col(f"{c}_by")) for c, gone in lost.items()} | {c: F.col(c) & ~gone for c, gone in lost.items()})
-        out = out.drop("_key", *(f"_last_{c}" for c in choices))
-    return out
+        out = out.drop("_hash", "_key", "_alone", *(f"_n_{c}" for c in choices))
+    return out.drop("_date")
 
 
 def duplicate_groups(df: DataFrame, key: Column) -> DataFrame:

@@ -59,7 +59,7 @@ def _select(df: DataFrame, mapping: roles.ColumnMapping, purpose: str | None) ->
     out = df if "_row_id" in df.columns else with_row_id(df)
     kind = norm(col(mapping.info_type).cast("string"))
     out = out.withColumns({"is_sale": kind == norm(F.lit(SALE)), "is_offer": kind == norm(F.lit(OFFER)), "_kind": kind, "purpose": col(mapping.purpose).cast("string")})
-    out = out.withColumn("_p", norm(F.col("purpose"))).where(F.col("is_sale") | F.col("is_offer"))
+    out = out.withColumn("_p", norm(F.col("purpose"))).where(F.col("_kind").isin(norm(F.lit(SALE)), norm(F.lit(OFFER))))
     out = out.where(F.col("_p") != "" if purpose is None else F.col("_p") == norm(F.lit(purpose)))
     typed = {"value": mapping.value, "lot_area": mapping.lot_area, "built_area": mapping.built_area, "private_area": mapping.private_area, "frontage": mapping.frontage, "year": mapping.year}
     new = {role: number(col(c), types[c]) if c else F.lit(None).cast("double") for role, c in typed.items()}
@@ -110,7 +110,7 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
     preference = area_preference(purpose_class(F.col("purpose")))
     some = F.any_value if fixed else F.min
     base = staged(rows.groupBy("_p").agg(some("purpose").alias("purpose"), F.count_if("_conflict").alias("n_conflict"), F.count_if(F.col("lot_area") > 0).alias("n_land")).withColumn("_both", F.lit(minimum is not None) & (F.col("n_conflict") > 0)).withColumns({
-        "preference": preference, "min_k": min_k, "use_land": F.lit(fixed is None) & F.col("_p").isin(*(norm(F.lit(p)) for p in (HOUSE, WAREHOUSE))) & (F.col("n_land") >= min_k), "_minimum": F.lit(0) if minimum is None else minimum,
+        "preference": preference, "min_k": min_k, "_set_floor": floor_of(F.col("_p")), "use_land": F.lit(fixed is None) & F.col("_p").isin(*(norm(F.lit(p)) for p in (HOUSE, WAREHOUSE))) & (F.col("n_land") >= min_k), "_minimum": F.lit(0) if minimum is None else minimum,
     }))
 
     # every regime and choice of a purpose, with the columns that filters read
@@ -118,12 +118,12 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
     ground = F.col("preference") == "terreno"
     wanted = lambda r: F.lit(True) if fixed else ground if r == "lot" else ~ground
     each = [F.when(F.col(flag) & wanted(r) & (F.col("_both") if flag == "_clean" else F.lit(True)), F.struct(F.lit(r).alias("_regime"), F.lit(flag).alias("_choice"), F.col(c).alias("area"))) for r, c in areas.items() for flag in ("_full", "_clean")]
-    floors = {r: floor if floor is not None else F.when(floor_fits(F.col("preference"), r), floor_of(F.col("_p"))).otherwise(0.0) for r in REGIMES.values()}
+    floors = {r: floor if floor is not None else F.when(floor_fits(F.col("preference"), r), F.col("_set_floor")).otherwise(0.0) for r in REGIMES.values()}
     floor_now = F.when(F.col("_regime") == "lot", floors["lot"]).when(F.col("_regime") == "total", floors["total"]).otherwise(floors["private"])
     tests = tuple(map(F.col, sheet))
     sale, group = F.col("is_sale"), ["_p", "_regime", "_choice"]
     none = F.array().cast("array<struct<_regime: string, _choice: string, area: double>>")
-    narrow = rows.join(base.select("_p", "preference", "_both", "use_land"), "_p").select("_p", "preference", "use_land", "is_sale", "value", "year", "lot_area", *sheet, F.inline(F.array_compact(F.array(*each)) if each else none))
+    narrow = rows.join(base.select("_p", "preference", "_both", "use_land", "_set_floor"), "_p").select("_p", "preference", "use_land", "_set_floor", "is_sale", "value", "year", "lot_area", *sheet, F.inline(F.array_compact(F.array(*each)) if each else none))
     tried = prefilter.apply_rules(narrow, "_p", sale, kind, floor_now, tests)
     bounds = staged(prefilter.robust_bounds(tried, group, sale))
     kept = F.col("_status") == "kept"
@@ -139,9 +139,9 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
     by_regime = lambda values: F.when(F.col("regime") == "lot", values["lot"]).when(F.col("regime") == "total", values["total"]).when(F.col("regime") == "private", values["private"])
     t = t.withColumns({"regime": regime, "why": why, **{f"n_{r}": sample[r] for r in REGIMES.values()}}).withColumn("_used", by_regime(used))
     policy = F.when(F.col("n_conflict") == 0, "none").when(F.col("_used") == "_clean", "excluded").when(F.col("_used") == "_full", "included" if minimum is not None else "kept")
-    chosen = staged(t.select("_p", "purpose", "preference", "min_k", "use_land", "n_land", "n_conflict", "n_private", "n_total", "n_lot", "regime", "why", "_used", policy.alias("conflict_policy")))
+    chosen = staged(t.select("_p", "_set_floor", "purpose", "preference", "min_k", "use_land", "n_land", "n_conflict", "n_private", "n_total", "n_lot", "regime", "why", "_used", policy.alias("conflict_policy")))
 
-    rows = rows.join(chosen.select("_p", "preference", F.col("regime").alias("_regime"), "_used"), "_p")
+    rows = rows.join(chosen.select("_p", "preference", "_set_floor", F.col("regime").alias("_regime"), "_used"), "_p")
     unpriced, left_out = F.col("_regime").isNull(), F.coalesce(F.col("_used") == "_clean", F.lit(False)) & F.col("_conflict")
     rows = rows.where(left_out | F.when(F.col("_used") == "_clean", F.col("_clean")).otherwise(F.col("_full")))
     area = {r: F.col(c) for c, r in REGIMES.items()}
@@ -157,7 +157,7 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
         "_status": F.when(F.col("_out"), "excluded").otherwise(F.col("_status")), "_stage": F.when(left_out, STAGE_CONFLICT).when(unpriced, STAGE_REGIME).otherwise(F.col("_stage")),
         "_reasons": F.when(left_out, "fontes divergem sobre a finalidade").when(unpriced, "nenhum regime de área com dados suficientes").otherwise(F.col("_reasons")),
     })
-    rows = staged(rows.drop("_full", "_clean", "_full_by", "_clean_by", "preference", "_used", "_out", *sheet))
+    rows = rows.drop("_full", "_clean", "_full_by", "_clean_by", "preference", "_used", "_out", "_set_floor", *sheet)
     discount = offer_discount(rows.where("_status = 'kept'"), ["_p"])
     stage, gone = F.col("_stage"), F.col("_status") == "excluded"
     rows = _written(
@@ -165,7 +165,7 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
         prefilter_input=~gone | ~stage.isin(STAGE_CONFLICT, STAGE_REGIME), deterministic_excluded=gone & (stage == prefilter.STAGE_RULE), statistical_excluded=gone & (stage == prefilter.STAGE_ROBUST), below_floor=F.col("_reasons").contains("piso"),
         flagged=F.col("_flagged"), sales_before=F.col("is_sale") & (~gone | ~stage.isin(STAGE_CONFLICT, STAGE_REGIME)), sales_after=F.col("is_sale") & ~gone, offers_after=F.col("is_offer") & ~gone, kept=~gone, conflict_rows_included=F.col("_conflict") & ~gone,
     )
-    return Prepared(rows, discount, _diagnostics(rows, kind).join(chosen.drop("_used", "purpose", "regime"), "_p", "left"), chosen.drop("_used"), totals)
+    return Prepared(rows, discount, _diagnostics(rows, kind).join(chosen.drop("_used", "_set_floor", "purpose", "regime"), "_p", "left"), chosen.drop("_used", "_set_floor"), totals)
 
 
 def prepare(df: DataFrame, mapping: roles.ColumnMapping, purpose: str, reference: str = "built_area", kind: str | None = None, minimum: int | None = None, floor: Column | None = None) -> Prepared:
