@@ -47,3 +47,11 @@ def test_passes_read_what_targets_use(spark):
 def test_parts_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(stage, "PART_ROWS", 100)
     assert len(stage.staged_wide(spark.range(0, 1000, 1, 2)).inputFiles()) == 10
+
+
+def test_rows_at_once_are_few(spark):
+    """A worker's memory follows the rows it holds at once, not its part of the market."""
+    market = spark.range(0, 200_000, 1, 1).selectExpr("'LOJA' as purpose", "1.0D as unit", "cast(id as double) as built_area")
+    target = {"t": 0, "purpose": "LOJA", **dict.fromkeys(passes.FEATURES), "built_area": 1.0, "use_place": False, "exclude_id": None, "exclude_group": None}
+    sizes = [r.n for r in passes.met(market, [target], 2026, lambda t, rows: [(rows.n,)], "n long").collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= 80_000
