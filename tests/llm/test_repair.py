@@ -117,3 +117,29 @@ def test_language_models_go():
     del table
     gc.collect()
     assert left() is None
+
+
+def test_workers_give_memory_back():
+    """After a task of packing a worker holds little: what was freed is the system's again."""
+    job = f"""
+    import re, sys
+    sys.path.insert(0, {ROOT!r})
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import public_tokenizers
+    from types import SimpleNamespace
+    from vicinity.llm import packing
+
+    packing.TaskContext = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0))
+    kind = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))
+    docs = SimpleNamespace(schema=dict(doc_id=kind), select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_batches()
+    before = held()
+    print(sum(b.num_rows for b in packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))(iter(rows))))
+    print(held() - before)
+    """
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(job)], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    pieces, more = map(int, done.stdout.split())
+    assert pieces > 0 and more < 40, more

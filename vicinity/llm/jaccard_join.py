@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .shared import components, written
+from .shared import components, tidy, written
 
 CHUNK_BYTES = 3 << 20
 BUCKET_SHINGLES, MOST_SHINGLES = 1 << 20, 1 << 23  # a bucket holds, with few and with many buckets
@@ -138,7 +138,7 @@ def _deal(docs: DataFrame, n: int, bits: int) -> DataFrame:
         if held:
             yield from flush(key(), held)
 
-    return docs.mapInArrow(run, "bucket int, chunk long, kind int, data binary")
+    return docs.mapInArrow(tidy(run), "bucket int, chunk long, kind int, data binary")
 
 
 def _keys(low: np.ndarray) -> np.ndarray:

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import tidy
 
 SYMBOLS = 64  # symbols of the table
 TABLES = 24  # languages up to which there are tables, of some 15 MB each
@@ -230,7 +231,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), *own, *(batch.column(c) for c in carry)], [id_col, "lang_pred", "score", *carry])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in ((id_col, docs.schema[id_col].dataType.simpleString()), ("lang_pred", "string"), ("score", "double"), *((c, docs.schema[c].dataType.simpleString()) for c in carry)))
-    return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(tidy(run), schema)
 
 
 def learn(docs: DataFrame, learnable: Column, id_col="doc_id", text_col="text", lang_col="lang", train_chars=30_000, max_languages: int | None = None) -> dict | None:

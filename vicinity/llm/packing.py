@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import text as tx
+from .shared import tidy
 from .tokens import WordIds, document_ids
 
 
@@ -178,4 +179,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
         if got is not None:
             yield got
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(tidy(run), schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .shared import tidy
 
 #: Identity terms that are swapped for one another; a parameter of fit().
 IDENTITY_TERMS = (
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         used = np.flatnonzero(pos + neg >= 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(pos[used], totals[1]).astype(np.int64)), pa.array(np.append(neg[used], totals[0]).astype(np.int64))], ["f", "p", "n"])
 
-    counts = rows.mapInArrow(count, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     total = counts.where("f = -1").first()
     if total is None or not total.p + total.n:
         return ToxicityModel(bits, 0.0)
@@ -114,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
                 own += [k[k >= 0].tolist() for k in (keep[u] for u in _distinct(f, first))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "f"])
 
-    sample = rows.mapInArrow(select, "y int, f array<int>").toPandas()
+    sample = rows.mapInArrow(tidy(select), "y int, f array<int>").toPandas()
     return _solve(sample, features, np.searchsorted(features, np.unique(groups)), bits, l2, fairness)
 
 
@@ -177,4 +178,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_col="doc_id", text_col="text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *(batch.column(c) for c in carry)], [id_col, "score", *carry])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in ((id_col, docs.schema[id_col].dataType.simpleString()), ("score", "double"), *((c, docs.schema[c].dataType.simpleString()) for c in carry)))
-    return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *(c for c in carry if c not in (id_col, text_col))).mapInArrow(tidy(run), schema)
