@@ -109,3 +109,20 @@ def test_nearest_mode(spark):
     cut = knn.local_cutoffs(market, t, 2026).first()
     assert (cut["mode"], cut.n_reference, cut.cancelled) == ("nearest", 41, None) and 100 < cut.bound < 3000
     assert [r.id for r in knn.local_exclusions(knn.pairs(market, t, 2026), knn.local_cutoffs(market, t, 2026)).collect()] == ["low"]
+
+
+def test_cells_once(spark):
+    """Cells are computed once, not again where rows are joined to them, and hold every row
+    of a positive value; equal values, nulls and an area without cuts included."""
+    from vicinity.operators import knn
+
+    rows = [(k, "p" if k % 3 else "q", float(k % 7) or None, 2000.0 + k % 11, -30 + k % 5 / 100, None if k % 4 == 0 else -51.0, float(k % 13)) for k in range(300)]
+    market = spark.createDataFrame(rows, "id long, purpose string, built_area double, year double, lat double, lon double, unit double")
+    found, cells = knn.indexed(market, 2026)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == sum(r[6] > 0 for r in rows)
+    want = {(r.purpose, r._cell): (r.n, r.lo, r.hi) for r in found.groupBy("purpose", "_cell").agg(F.count("*").alias("n"), F.min("year").alias("lo"), F.max("year").alias("hi")).collect()}
+    assert {(r.purpose, r._cell): (r.n, r.year_lo, r.year_hi) for r in cells.collect()} == want
+    cuts = found.groupBy("purpose").agg(F.percentile_approx("unit", F.array(F.lit(0.5)), F.lit(1000))[0].alias("cut"))
+    part = found.join(cuts, "purpose").select(F.shiftright("_cell", 6 + 32).alias("part"), (F.col("unit") > F.col("cut")).cast("long").alias("above"))
+    assert part.where("part <> above").isEmpty()
