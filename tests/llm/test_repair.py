@@ -143,3 +143,40 @@ def test_workers_give_memory_back():
     assert done.returncode == 0, done.stderr
     pieces, more = map(int, done.stdout.split())
     assert pieces > 0 and more < 40, more
+
+
+def test_language_workers_stay_small():
+    """A worker that tells languages holds 16-bit tables and the arrays of a small slice."""
+    job = f"""
+    import re, sys, threading, time
+    sys.path.insert(0, {ROOT!r})
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from types import SimpleNamespace
+    from vicinity.llm import language_id
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"])
+    own = {{}}
+    for t, l in zip(texts.column("text").to_pylist(), texts.column("lang").to_pylist()):
+        if t and l and len(own.setdefault(l, "")) < 30000:
+            own[l] += " " + t
+    model = language_id.fit({{l: [t] for l, t in own.items()}}, 30000)
+    assert all(t.dtype == "uint16" for t, *_ in model["tables"])
+    kind = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "long"))
+    docs = SimpleNamespace(schema=dict(doc_id=kind), select=lambda *c: SimpleNamespace(mapInArrow=lambda run, schema: run))
+    docs.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda m: SimpleNamespace(value=m)))
+    held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+    rows, most = texts.select(["doc_id", "text"]).combine_chunks().to_batches(), [0]
+    before = held()
+    def watch():
+        while True:
+            most[0] = max(most[0], held())
+            time.sleep(0.005)
+    threading.Thread(target=watch, daemon=True).start()
+    print(sum(b.num_rows for b in language_id.predict(docs, model)(iter(rows))))
+    print(most[0] - before)
+    """
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(job)], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    n, more = map(int, done.stdout.split())
+    assert n > 0 and more < 120, more

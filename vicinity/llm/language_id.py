@@ -37,7 +37,7 @@ from . import text as tx
 from .shared import tidy
 
 SYMBOLS = 64  # symbols of the table
-TABLES = 24  # languages up to which there are tables, of some 15 MB each
+TABLES = 24  # languages up to which there are tables, of some 8 MB each
 SEGMENT, FEW = 64, 32  # beyond so many letters, fewer words than these are ended one by one
 POINTS = 0x110000
 UND = "und"
@@ -45,8 +45,8 @@ UND = "und"
 
 def _automaton(codes: list[int], width: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The smallest automaton that accepts exactly the substrings of `codes`; state 0 is
-    the start.  Transitions by symbols below width are a table [state, symbol] -> state
-    or -1; those by others are keys (state << 32 | symbol), ascending, and states."""
+    the start.  Transitions by symbols below width are a table [state, symbol] -> state + 1
+    or 0, of 16 bits where they do; those by others are keys (state << 32 | symbol), ascending, and states."""
     step, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         new = len(step)
@@ -71,12 +71,12 @@ def _automaton(codes: list[int], width: int = SYMBOLS) -> tuple[np.ndarray, np.n
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.full((len(step), width), -1, np.int32)
+    table = np.zeros((len(step), width), np.uint16 if len(step) < 1 << 16 else np.int32)
     rare = {}
     for s, out in enumerate(step):
         for c, to in out.items():
             if c < width:
-                table[s, c] = to
+                table[s, c] = to + 1
             else:
                 rare[s << 32 | c] = to
     keys = np.array(sorted(rare), np.int64)
@@ -119,7 +119,7 @@ def _walk(table: np.ndarray, rare: tuple[np.ndarray, np.ndarray]):
 
     def step(s: int, c: int) -> int:
         if c < width:
-            return flat[s * width + c]
+            return flat[s * width + c] - 1
         want = s << 32 | c
         at = bisect_left(keys, want)
         return targets[at] if at < len(keys) and keys[at] == want else -1
@@ -136,7 +136,7 @@ def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray, lens: np.n
 
     def move(state, c):
         far = c >= width
-        to = flat[state * width + np.where(far, 0, c)].astype(np.int64)
+        to = flat[state * width + np.where(far, 0, c)].astype(np.int64) - 1
         if far.any():
             to[far] = -1
             if len(keys):
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
         cache = tx.WordCache(_word_counts(m)) if m else None
         for batch in batches:
             langs, scores = [], []
-            for a, b, data, offsets in tx.text_slices(batch.column(1)):
+            for a, b, data, offsets in tx.text_slices(batch.column(1), tx.SMALL_SLICE):
                 n = b - a
                 pred, score = np.full(n, -1), np.zeros(n)
                 if m:

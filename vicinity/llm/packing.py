@@ -159,7 +159,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Lim
         for batch in batches:
             like = batch.column(0).type
             keys = batch.column(0).to_pylist()
-            for a, b, data, offsets in tx.text_slices(batch.column(1)):
+            for a, b, data, offsets in tx.text_slices(batch.column(1), tx.SMALL_SLICE):
                 ids, begin = document_ids(cache, data, offsets)
                 if prompt_col:
                     asked = [document_ids(cache, d, o) for _, _, d, o in tx.text_slices(batch.column(2).slice(a, b - a), 1 << 62)]

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+SMALL_SLICE = 1 << 20  # where a worker also holds a model: arrays of a slice take some 30 times its bytes
 
 _rng = np.random.default_rng(20240229)
 BYTE_KEYS = _rng.integers(0, 2**64, 256, dtype=np.uint64)

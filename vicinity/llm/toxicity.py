@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
             y = batch.column(0).to_numpy(zero_copy_only=False)
             totals[0] += int((y == 0).sum())
             totals[1] += int((y == 1).sum())
-            for a, b, data, offsets in tx.text_slices(batch.column(1)):
+            for a, b, data, offsets in tx.text_slices(batch.column(1), tx.SMALL_SLICE):
                 features, first = word_features(data, offsets, bits)
                 for label, own in zip(y[a:b].tolist(), _distinct(features, first)):
                     (pos if label else neg)[own] += 1
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         keep[chosen.value] = np.arange(len(chosen.value))
         for batch in batches:
             own = []
-            for _, _, data, offsets in tx.text_slices(batch.column(1)):
+            for _, _, data, offsets in tx.text_slices(batch.column(1), tx.SMALL_SLICE):
                 f, first = word_features(data, offsets, bits)
                 own += [k[k >= 0].tolist() for k in (keep[u] for u in _distinct(f, first))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "f"])
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col="doc_id", text_col="text
         table = m.table()
         for batch in batches:
             out = [np.zeros(0)]
-            for a, b, data, offsets in tx.text_slices(batch.column(1)):
+            for a, b, data, offsets in tx.text_slices(batch.column(1), tx.SMALL_SLICE):
                 f, first = word_features(data, offsets, m.bits)
                 hit = np.flatnonzero(table[f])  # words that weigh anything
                 doc = np.searchsorted(first, hit, "right") - 1
