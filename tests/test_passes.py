@@ -55,3 +55,24 @@ def test_rows_at_once_are_few(spark):
     target = {"t": 0, "purpose": "LOJA", **dict.fromkeys(passes.FEATURES), "built_area": 1.0, "use_place": False, "exclude_id": None, "exclude_group": None}
     sizes = [r.n for r in passes.met(market, [target], 2026, lambda t, rows: [(rows.n,)], "n long").collect()]
     assert sum(sizes) == 200_000 and max(sizes) <= 80_000
+
+
+def test_reference_sets_take_one_pass(spark, monkeypatch):
+    """Mode, size and first rows of strict, relaxed and nearest sets come from one pass,
+    also where no chunk alone holds a set."""
+    n = 400
+    market = spark.range(0, n, 1, 40).selectExpr("lpad(id, 4, '0') as id", "'LOJA' as purpose", "'' as `group`", "cast(id + 1 as double) as built_area", "1.0D as unit")
+    local = {"proximity_power": 1.0, "max_reference": 30}
+    base = {"purpose": "LOJA", **dict.fromkeys(passes.FEATURES), "use_place": False, "exclude_id": None, "exclude_group": None, "n_features": 1, "physical": 1.0, "built_area_scale": 10.0, "min_k": 5, "max_k": 10, "local": local, "n_candidates": n}
+    targets = [base | {"t": k, "built_area": x} for k, x in enumerate((100.0, 2.6, 0.1))]
+    calls, real = [], passes.met
+    monkeypatch.setattr(passes, "met", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = {t["t"]: t for t in passes.weigh_targets(market, targets, 2026)}
+    area = np.arange(1, n + 1, dtype=float)
+    for k, (x, mode) in enumerate(((100.0, "strict"), (2.6, "nearest"), (0.1, "nearest"))):
+        strict = (area / x >= 0.5) & (area / x <= 2.0)
+        size = int(strict.sum()) if mode == "strict" else 20
+        d = np.abs(area - x) / 10.0
+        last = 5 if mode == "strict" else size
+        assert (got[k]["mode"], got[k]["n_ref"]) == (mode, size) and abs(got[k]["reach"][0] - np.sort(d[strict] if mode == "strict" else d)[last - 1]) < 1e-12
+    assert len(calls) == 1
