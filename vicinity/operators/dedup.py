@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bound, listing_key, money_key, registration_key
+from ..sources.stage import staged
 
 # A key that holds very many rows: the limit to a key's first row is taken within tasks
 # before the shuffle too (WindowGroupLimit), so that a task sends one row of a hot key.
@@ -38,25 +39,35 @@ def deduplicate(df: DataFrame, info_type: str, date: Column, registration: Colum
     return out
 
 
-def deduplicate_choices(df: DataFrame, choices: dict[str, Column], info_type: str, date: Column, registration: Column | None, value: Column | None, listing_columns: list[str], is_offer: Column, within: list[str], row_id: str = "_row_id") -> DataFrame:
+def deduplicate_choices(df: DataFrame, choices: dict[str, Column], info_type: str, date: Column, registration: Column | None, value: Column | None, listing_columns: list[str], is_offer: Column, within: list[str], row_id: str = "_row_id", path: str | None = None) -> DataFrame:
     """deduplicate() of several choices of rows at once, each within groups: adds for each
     choice whether a row is left in it, as a column of its name, and the step (1: by
     registration, 2: by listing) that took it out, as <name>_by; no row is dropped.  A
     step is one shuffle for all choices: from a key's latest row on, a choice keeps its
-    first.  Rows without a key have numbers of their own and are dealt out by them."""
+    first.  Rows without a key have numbers of their own and are dealt out by them.
+
+    With a path (a staging_folder(), to be removed by the caller once the result is
+    written) rows are staged there between steps, so that a step's shuffle is gone before
+    the next one's is written, and rows without a key aren't shuffled after the first."""
     out = df.withColumns({name: F.coalesce(c, F.lit(False)) for name, c in choices.items()} | {f"{name}_by": F.lit(None).cast("int") for name in choices} | {"_date": F.coalesce(F.unix_micros(date.cast("timestamp")), F.lit(-(1 << 62)))})
     steps = {}
     if registration is not None and value is not None:
         steps[1] = primary_key(F.col(info_type), registration, value)
     if listing_columns:
         steps[2] = F.when(F.coalesce(is_offer, F.lit(False)), listing_key([(c, F.col(f"`{c}`").cast("string")) for c in listing_columns]))
-    for step, key in steps.items():
-        out = out.withColumn("_key", F.nullif(key, F.lit(""))).withColumns({"_hash": F.xxhash64(*within, "_key"), "_alone": F.when(F.col("_key").isNull(), F.monotonically_increasing_id())})
+    for k, (step, key) in enumerate(steps.items()):
+        out, rest = out.withColumn("_key", F.nullif(key, F.lit(""))), None
+        if k and path:
+            out = staged(out, f"{path}/{step}")
+            out, rest = out.where(F.col("_key").isNotNull()), out.where(F.col("_key").isNull())
+        out = out.withColumns({"_hash": F.xxhash64(*within, "_key"), "_alone": F.when(F.col("_key").isNull(), F.monotonically_increasing_id())})
         upto = Window.partitionBy("_hash", *within, "_key", "_alone").orderBy(F.desc("_date"), F.desc(row_id)).rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumns({f"_n_{c}": F.count_if(F.col(c)).over(upto) for c in choices})
         lost = {c: F.col(c) & (F.col(f"_n_{c}") > 1) for c in choices}
         out = out.withColumns({f"{c}_by": F.when(gone, step).otherwise(F.col(f"{c}_by")) for c, gone in lost.items()} | {c: F.col(c) & ~gone for c, gone in lost.items()})
         out = out.drop("_hash", "_key", "_alone", *(f"_n_{c}" for c in choices))
+        if rest is not None:
+            out = out.unionByName(rest.drop("_key"))
     return out.drop("_date")
 
 

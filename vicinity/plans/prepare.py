@@ -12,7 +12,7 @@ from ..functions.text import HOUSE, OFFER, SALE, WAREHOUSE, area_preference, nor
 from ..operators import dedup, prefilter
 from ..operators.discount import adjust, offer_discount
 from ..plans.params import GLOBAL, PROFILES, by_purpose, floor_fits, floor_of, regime_choice
-from ..sources.stage import staged
+from ..sources.stage import removed, staged, staging_folder
 from ..sources.tables import with_row_id
 
 CONFLICTS = ("sim", "moderado")
@@ -53,15 +53,22 @@ class Prepared:
 
 
 def _select(df: DataFrame, mapping: roles.ColumnMapping, purpose: str | None) -> DataFrame:
-    """Rows of the purpose (null: of any) that are sales or offers, with typed roles."""
+    """Rows of the purpose (null: of any) that are sales or offers, with what removing
+    duplicates reads; _typed() adds the rest, which isn't shuffled with them."""
     types = dict(df.dtypes)
     col = lambda name: F.col(f"`{name}`")
     out = df if "_row_id" in df.columns else with_row_id(df)
     kind = norm(col(mapping.info_type).cast("string"))
-    out = out.withColumns({"is_sale": kind == norm(F.lit(SALE)), "is_offer": kind == norm(F.lit(OFFER)), "_kind": kind, "purpose": col(mapping.purpose).cast("string")})
-    out = out.withColumn("_p", norm(F.col("purpose"))).where(F.col("_kind").isin(norm(F.lit(SALE)), norm(F.lit(OFFER))))
-    out = out.where(F.col("_p") != "" if purpose is None else F.col("_p") == norm(F.lit(purpose)))
-    typed = {"value": mapping.value, "lot_area": mapping.lot_area, "built_area": mapping.built_area, "private_area": mapping.private_area, "frontage": mapping.frontage, "year": mapping.year}
+    out = out.withColumns({"is_offer": kind == norm(F.lit(OFFER)), "_kind": kind, "_p": norm(col(mapping.purpose).cast("string")), "value": number(col(mapping.value), types[mapping.value])})
+    out = out.where(F.col("_kind").isin(norm(F.lit(SALE)), norm(F.lit(OFFER))))
+    return out.where(F.col("_p") != "" if purpose is None else F.col("_p") == norm(F.lit(purpose)))
+
+
+def _typed(out: DataFrame, mapping: roles.ColumnMapping, types: dict[str, str]) -> DataFrame:
+    """Adds the typed roles to rows of _select(); types are those of the sheet."""
+    col = lambda name: F.col(f"`{name}`")
+    out = out.withColumns({"is_sale": F.col("_kind") == norm(F.lit(SALE)), "purpose": col(mapping.purpose).cast("string")})
+    typed = {"lot_area": mapping.lot_area, "built_area": mapping.built_area, "private_area": mapping.private_area, "frontage": mapping.frontage, "year": mapping.year}
     new = {role: number(col(c), types[c]) if c else F.lit(None).cast("double") for role, c in typed.items()}
     for role, c in (("lat", mapping.latitude), ("lon", mapping.longitude)):
         new[role] = coordinate(col(c)) if c else F.lit(None).cast("double")
@@ -98,7 +105,9 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
     date = parse_date(F.col(f"`{date_col}`"), types[date_col]) if date_col else F.lit(None).cast("timestamp")
     ids = [c for c in roles.LISTING_IDS if c in original]
     choices = {"_full": F.lit(True)} | ({"_clean": ~F.col("_conflict")} if minimum is not None else {})
-    rows = dedup.deduplicate_choices(rows, choices, "_kind", date, F.col(f"`{registration}`").cast("string") if registration else None, F.col("value") if registration else None, ids, F.col("is_offer"), ["_p"])
+    between = staging_folder(df.sparkSession)
+    rows = dedup.deduplicate_choices(rows, choices, "_kind", date, F.col(f"`{registration}`").cast("string") if registration else None, F.col("value") if registration else None, ids, F.col("is_offer"), ["_p"], path=between)
+    rows = _typed(rows, mapping, dict(df.dtypes))
     if minimum is None:
         rows = rows.withColumns({"_clean": F.lit(False), "_clean_by": F.lit(None).cast("int")})
     sheet = dict(zip(("_nature", "_fraction", "_several"), prefilter.sheet_predicates(rows.select(*original))))
@@ -106,6 +115,7 @@ def _prepare(df: DataFrame, mapping: roles.ColumnMapping, kind: str | None, purp
         rows.withColumns(sheet), totals, n_rows=F.lit(True), conflict_rows=F.col("_conflict"), removed_by_registration=F.col("_full_by") == 1, removed_by_listing=F.col("_full_by") == 2,
         removed_by_registration_without_conflicts=F.col("_clean_by") == 1, removed_by_listing_without_conflicts=F.col("_clean_by") == 2,
     )
+    removed(df.sparkSession, between)
     min_k = by_purpose(F.col("_p"), PROFILES, GLOBAL, "min_k")
     preference = area_preference(purpose_class(F.col("purpose")))
     some = F.any_value if fixed else F.min
