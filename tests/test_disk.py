@@ -4,9 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from vicinity.operators import dedup
+from vicinity.operators import dedup, knn
 from vicinity.sources.stage import collected, staged, staging_folder
 
+from .test_neighbours import frames
+
 
 def shuffle_files(spark) -> int:
     """Bytes of shuffle files of the session's block manager."""
@@ -43,3 +45,17 @@ def test_steps_of_duplicates_staged_between(spark):
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
     assert {r.full_by for r in got.collect()} == {None, 1, 2}
     assert os.listdir(path.removeprefix("file://")) == ["2"]
+
+
+def test_pairs_meet_few_targets_without_a_shuffle(spark):
+    """Tables of targets, which Spark can't tell to be small, are broadcast; nothing
+    beyond a target's reach is ranked, and cells leave no shuffle behind."""
+    _, targets, market, resolved = frames(spark)
+    index, scale = knn.indexed(market, 2026), knn.scales(market, resolved, 2026)
+    before = shuffle_files(spark)
+    found = knn.search(index, resolved, scale, 2026, most=4)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert settles(lambda: shuffle_files(spark), before)
+    rows = staged(found.select("target_id", "dist"))
+    inside = {r.target_id: r.n for r in rows.groupBy("target_id").agg(F.count("*").alias("n")).collect()}
+    assert len(inside) == len(targets) and min(inside.values()) >= 4
